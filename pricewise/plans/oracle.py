@@ -104,4 +104,7 @@ def with_fixtures(body: str, extra: list[tuple[str, str]] | None = None) -> str:
     """``WITH <fixture ctes>[, <extra ctes>] <body>``."""
     ctes = [(name, FIXTURES[name]) for name in _ORDER] + list(extra or [])
     head = ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in ctes)
-    return f"WITH {head}\n{body.strip()}"
+    body = body.strip()
+    if body[:5].lower() == "with ":          # the query's own CTEs continue the list
+        return f"WITH {head},\n{body[5:]}"
+    return f"WITH {head}\n{body}"
