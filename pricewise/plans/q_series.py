@@ -149,7 +149,7 @@ stats as (select {KEYS_SQL}, count(y) as n, max(t) as t_last, max(idx) as idx_la
           regr_slope(y, ylag) as b, regr_intercept(y, ylag) as c from lagged group by 1, 2),
 steps as (select *, unnest(range(1, {horizon} + 1)) as h from stats),
 fc as (select {KEYS_SQL}, cast(h as int) as h, t_last + cast({shift} as int) as t_forecast, n, last as f_last, round(mean, 6) as f_mean,
-       round(last + h * ((last - first) / nullif(n - 1, 0)), 8) as f_drift,
+       round(last + h * ((last - first) / nullif(n - 1, 0)), 6) as f_drift,
        round(b, 6) as ar_slope, round(c, 2) as ar_intercept,
        round(case when b = 1 then last + h * c else c * (1 - pow(b, h)) / (1 - b) + pow(b, h) * last end, 2) as f_ar1,
        idx_last - {season} + ((h - 1) % {season}) + 1 as sidx from steps)
@@ -162,7 +162,7 @@ def _forecasts(spark, sf, step: str, horizon: int):
     filled = _panel(Pipeline(spark, sf), step)
     fc = forecast.baseline_forecasts(filled, KEYS, "median_price", step, horizon, SEASON[step])
     return fc.withColumns({
-        "f_drift": F.round("f_drift", 8), "f_mean": F.round("f_mean", 6), "ar_slope": F.round("ar_slope", 6),
+        "f_drift": F.round("f_drift", 6), "f_mean": F.round("f_mean", 6), "ar_slope": F.round("ar_slope", 6),
         "ar_intercept": F.round("ar_intercept", 2), "f_ar1": F.round("f_ar1", 2)})
 
 
