@@ -98,7 +98,7 @@ def fold_id(key, k: int = 4) -> F.Column:
 
 
 def cross_validate(df: DataFrame, label: str, features: list[str], grid: list[dict],
-                   fold_col: str = "fold", parallelism: int = 2) -> DataFrame:
+                   fold_col: str = "fold", k: int = 4, parallelism: int = 2) -> DataFrame:
     """k-fold CV of a random forest over a parameter grid; mean R^2 per point.
 
     ``CrossValidator`` needs a 0-based integer fold column.
@@ -113,7 +113,7 @@ def cross_validate(df: DataFrame, label: str, features: list[str], grid: list[di
     data = df.withColumn("_fold", (F.col(fold_col) - 1).cast("int"))
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
                         evaluator=RegressionEvaluator(metricName="r2"),
-                        foldCol="_fold", parallelism=parallelism, collectSubModels=False)
+                        foldCol="_fold", numFolds=k, parallelism=parallelism, collectSubModels=False)
     fitted = cv.fit(data)
     spark = df.sparkSession
     rows = [(int(m[rf.numTrees]), int(m[rf.minInstancesPerNode]), float(s), float(sd))
