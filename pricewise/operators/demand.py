@@ -60,9 +60,15 @@ def chain_total(df: DataFrame, brand: str, measure: str = "total_sales", name: s
 
 
 def mean_of_store_totals(df: DataFrame, by: str = "store_type", measure: str = "margin") -> DataFrame:
-    """Sum per store, then the mean of those sums per store attribute (A5)."""
-    per_store = df.groupBy("store_id", by).agg(F.sum(measure).alias("store_total"))
-    return per_store.groupBy(by).agg(F.avg("store_total").alias("mean_store_total"))
+    """Sum per store, then the mean of those sums per store attribute (A5).
+
+    Store totals are exact decimal sums (line values at 1e-6), so the mean does not
+    depend on the order in which partial sums meet; one double division at the end.
+    """
+    per_store = df.groupBy("store_id", by).agg(
+        F.sum(F.col(measure).cast("decimal(38,6)")).alias("store_total"))
+    return per_store.groupBy(by).agg(
+        (F.sum("store_total").cast("double") / F.count("*")).alias("mean_store_total"))
 
 
 def monthly_trend(df: DataFrame, dims=(), measure: str = "total_sales", name: str = "demand") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pricewise.functions import columns as C
 from pricewise.operators.joins import bounded_broadcast
+from pricewise.session import materialize
 
 # A calendar has one row per period; a century of days is under 40,000 rows.
 CALENDAR_ROW_BOUND = 100_000
@@ -25,13 +26,17 @@ def period_median(daily: DataFrame, keys: list[str], step: str, value: str = "pr
             .agg(F.percentile(value, 0.5).alias(out)))
 
 
-def calendar(obs: DataFrame, step: str, t: str = "t") -> DataFrame:
-    """Every period between the first and last observed one, with its labels.
-    The bounds are scalar subqueries: one aggregate, evaluated once."""
-    lo = obs.agg(F.min(t)).scalar()
-    hi = obs.agg(F.max(t)).scalar()
+def bounds(obs: DataFrame, t: str = "t"):
+    """First and last observed period: two scalars from one aggregate job."""
+    row = obs.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
+    return row["lo"], row["hi"]
+
+
+def calendar(obs: DataFrame, step: str, t: str = "t", span=None) -> DataFrame:
+    """Every period between the first and last observed one, with its labels."""
+    lo, hi = span or bounds(obs, t)
     periods = obs.sparkSession.range(1).select(
-        F.explode(F.sequence(lo, hi, C.step_interval(step))).alias("t"))
+        F.explode(F.sequence(F.lit(lo), F.lit(hi), C.step_interval(step))).alias("t"))
     return periods.select(
         "t", C.period_index("t", step).alias("idx"),
         C.iso_week("t").alias("iso_week"), C.iso_year("t").alias("iso_year"),
@@ -43,14 +48,23 @@ def dense_panel(obs: DataFrame, keys: list[str], step: str, value: str, t: str =
 
     The grid is generated per series with ``explode(sequence(...))`` — no cross join:
     each observed series row expands into its periods, then the observations are
-    joined back on (keys, t).
+    joined back on (keys, t).  The observations are written once to the shared
+    checkpoint folder: the bounds, the series list and the join all read that copy
+    instead of recomputing the upstream plan, and a lost executor recomputes from it
+    rather than from the raw scan.
     """
-    lo = obs.agg(F.min(t)).scalar()
-    hi = obs.agg(F.max(t)).scalar()
-    series = obs.select(*keys).distinct()
-    grid = series.select(*keys, F.explode(F.sequence(lo, hi, C.step_interval(step))).alias(t))
-    joined = grid.join(obs.select(*keys, t, value), [*keys, t], "left")
-    cal = calendar(obs, step, t).withColumnRenamed("t", t)
+    obs = materialize(obs.select(*keys, t, value), "panel-obs")
+    lo, hi = bounds(obs, t)
+    # The series list is small but every row explodes into a whole calendar.  A hash
+    # exchange on the keys would be coalesced by AQE into one task (it is tiny) and then
+    # reused by the window below, so the whole panel would run in that one task.  A
+    # round-robin spread is kept as asked, and the window gets its own exchange after
+    # the explode, sized by AQE from the real panel volume.
+    parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    series = obs.select(*keys).distinct().repartition(parts)
+    grid = series.select(*keys, F.explode(F.sequence(F.lit(lo), F.lit(hi), C.step_interval(step))).alias(t))
+    joined = grid.join(obs, [*keys, t], "left")
+    cal = calendar(obs, step, t, (lo, hi)).withColumnRenamed("t", t)
     return joined.join(bounded_broadcast(cal, CALENDAR_ROW_BOUND), t, "left")
 
 

@@ -357,8 +357,9 @@ def a4b(spark, sf):
 
 
 @register("a5_mean_store_margin_by_type", W("""
-select store_type, round(avg(store_total), 2) as mean_store_total from
-(select store_id, store_type, sum(margin) as store_total from tx_enriched group by store_id, store_type)
+select store_type, round(cast(sum(store_total) as double) / count(*), 2) as mean_store_total from
+(select store_id, store_type, sum(cast(margin as decimal(38,6))) as store_total from tx_enriched
+ group by store_id, store_type)
 group by store_type"""))
 def a5(spark, sf):
     return rounded(demand.mean_of_store_totals(Pipeline(spark, sf).tx), 2, "mean_store_total")

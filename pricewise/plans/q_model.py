@@ -33,10 +33,9 @@ opt as (select distinct store_id, sku, category, group_name, brand, region, pric
 def _optimal(spark, sf):
     p = Pipeline(spark, sf)
     curve = optimise.log_linear_demand(p.item_day)
-    grid = optimise.price_grid(p.item_range)
-    prof = optimise.expected_profit(optimise.score_log_linear(grid, curve))
-    best = optimise.optimal_prices(prof, OPT_KEEP)
-    return best.withColumns({"prediction": F.round("prediction", 8), "profit": F.round("profit", 4)}).dropDuplicates()
+    cats = p.rt.product_master.select("category").distinct()
+    best = optimise.optimal_prices_closed_form(p.item_range, curve, groups=cats).select(*OPT_KEEP)
+    return best.withColumns({"prediction": F.round("prediction", 8), "profit": F.round("profit", 4)})
 
 
 @register("m13_price_grid", W("""

@@ -8,6 +8,7 @@ from pricewise.functions import columns as C
 from pricewise.operators import forecast, panel, quality
 from pricewise.plans.oracle import with_fixtures as W
 from pricewise.plans.registry import Pipeline, register, rounded
+from pricewise.session import materialize
 
 # Panel grain for the registered queries: store x category (the store x subgroup leaf
 # is almost empty at test scale; the operators take any keys).
@@ -159,7 +160,9 @@ from fc left join pf on fc.store_id = pf.store_id and fc.category = pf.category
 
 
 def _forecasts(spark, sf, step: str, horizon: int):
-    filled = _panel(Pipeline(spark, sf), step)
+    # The filled panel feeds two passes (series statistics and the seasonal lookup):
+    # write it once rather than recompute its windows.
+    filled = materialize(_panel(Pipeline(spark, sf), step), f"panel-{step}")
     fc = forecast.baseline_forecasts(filled, KEYS, "median_price", step, horizon, SEASON[step])
     return fc.withColumns({
         "f_drift": F.round("f_drift", 6), "f_mean": F.round("f_mean", 6), "ar_slope": F.round("ar_slope", 6),

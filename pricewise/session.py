@@ -60,3 +60,16 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/pricewise-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor recomputes from the written files, not from the
+    raw scan) and lets several consumers share one computation.  Unlike
+    ``DataFrame.checkpoint`` it computes the plan once and stores it columnar.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
