@@ -73,19 +73,22 @@ def fill_gaps(panel: DataFrame, keys: list[str], value: str, out: str,
     """Linear interpolation of inner gaps by position, then carry the last value
     forward and the first value backward (W2, W3, W4; ordering W7).
 
-    One partition/order spec for all four window values, so Spark sorts once per
-    direction.
+    Both directions are running frames (unbounded preceding .. current row): the
+    next observed value is the last one seen when the series is walked backwards.
+    A ``current row .. unbounded following`` frame would be recomputed for every
+    row, quadratic in the series length.  The two orders share one partitioning,
+    so the second costs a sort inside each partition, not a shuffle.
     """
-    w = Window.partitionBy(*keys).orderBy(t)
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    running = (Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy(F.col(t).asc()).rowsBetween(*running)
+    after = Window.partitionBy(*keys).orderBy(F.col(t).desc()).rowsBetween(*running)
     seen_idx = F.when(F.col(value).isNotNull(), F.col(idx))
     p = panel.select(
         "*",
         F.last(value, ignorenulls=True).over(before).alias("_pv"),
         F.last(seen_idx, ignorenulls=True).over(before).alias("_pi"),
-        F.first(value, ignorenulls=True).over(after).alias("_nv"),
-        F.first(seen_idx, ignorenulls=True).over(after).alias("_ni"),
+        F.last(value, ignorenulls=True).over(after).alias("_nv"),
+        F.last(seen_idx, ignorenulls=True).over(after).alias("_ni"),
     )
     frac = (F.col(idx) - F.col("_pi")).cast("double")
     span = (F.col("_ni") - F.col("_pi")).cast("double")

@@ -21,12 +21,20 @@ PROXY_DONOR = "small ring"               # sells, and shares its SKUs with ...
 PROXY_TARGET = "twin small ring"         # ... a subgroup with no sales of its own
 
 
+def _padded_id(prefix: str, col, width: int) -> F.Column:
+    """prefix + the key zero-padded to ``width`` digits; longer keys are kept whole.
+    (``lpad`` and ``concat`` stay in generated code; ``format_string`` runs a
+    java.util.Formatter per row.)"""
+    digits = F.col(col).cast("string") if isinstance(col, str) else col.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))
+
+
 def store_id(col) -> F.Column:
-    return F.format_string("S%04d", col)
+    return _padded_id("S", col, 4)
 
 
 def sku_id(col) -> F.Column:
-    return F.format_string("P%06d", col)
+    return _padded_id("P", col, 6)
 
 
 def key_of(store, subgroup, day) -> F.Column:
