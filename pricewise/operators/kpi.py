@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewise.functions import columns as C
+from pricewise.session import materialize
 
 _LOCAL_BITS = 33   # monotonically_increasing_id = partition index << 33 | row index in partition
 
@@ -28,20 +29,26 @@ def top_k(df: DataFrame, by: str, k: int, tiebreak: list[str]) -> DataFrame:
     return df.orderBy(F.desc(by), *tiebreak).limit(k)
 
 
-def global_row_number(df: DataFrame, order: list[str], partitions: int = 64) -> DataFrame:
+def global_row_number(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
     """Exact 1-based row number over a total order, without a single-partition window.
 
     Range-partition on the order, sort inside each partition, number rows locally,
     then add the running count of earlier partitions (one row per partition).
     Rows tied on every ``order`` column are interchangeable; give enough columns
-    to make the order total when that matters.
+    to make the order total when that matters.  ``partitions`` defaults to the
+    session's shuffle width, so range slices grow with the cluster, not the data.
     """
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.withColumns({
         "_pid": F.shiftright("_mid", _LOCAL_BITS),
         "_local": F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)),
-    })
+    }).drop("_mid")
+    # Written once: the counts, the numbering join and every later consumer read the
+    # same rows, and a recomputation after a lost executor cannot renumber ties.
+    ranged = materialize(ranged, "ranged")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
@@ -53,7 +60,7 @@ def global_row_number(df: DataFrame, order: list[str], partitions: int = 64) ->
     return out.withColumns({
         "row_number": F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local") + 1,
         "n_rows": F.col("_total"),
-    }).drop("_mid", "_pid", "_local", "_offset", "_total")
+    }).drop("_pid", "_local", "_offset", "_total")
 
 
 def ntile_column(k: int, row_number: str = "row_number", n_rows: str = "n_rows") -> Column:

@@ -229,12 +229,12 @@ preds as (select store_subgroup_date_id, prediction as total_sales from scored
 def _frame(spark, sf, step: str):
     p = Pipeline(spark, sf)
     if step == "week":
-        obs = panel.period_median(p.daily, ["store_id", "subgroup"], "week").withColumn(
+        obs = panel.period_median(p.daily_written, ["store_id", "subgroup"], "week").withColumn(
             "price_median", F.round("price_median", 8))
         price = assemble.last_value_price(obs, ["store_id", "subgroup"], "price_median").drop("t_last")
         keys = ["store_id", "subgroup"]
     else:
-        obs = panel.period_median(p.daily, ["store_id", "subgroup"], "day").withColumn(
+        obs = panel.period_median(p.daily_written, ["store_id", "subgroup"], "day").withColumn(
             "price_median", F.round("price_median", 8))
         last = assemble.last_value_price(obs, ["store_id", "subgroup"], "price_median")
         end = obs.agg(F.max("t")).scalar()
@@ -242,8 +242,8 @@ def _frame(spark, sf, step: str):
         price = last.select("store_id", "subgroup", "price_", F.explode(days).alias("date_id"))
         keys = ["store_id", "subgroup", "date_id"]
     from pricewise.operators import demand
-    profile = demand.early_january_profile(p.daily)
-    return p, assemble.score_frame(p.rt.ids_test, p.stores_open, price, keys, profile,
+    profile = demand.early_january_profile(p.daily_written)
+    return p, assemble.score_frame(p.ids_written, p.stores_open, price, keys, profile,
                                    PROXY_DONOR, PROXY_TARGET)
 
 
@@ -267,7 +267,7 @@ def j14(spark, sf):
 def _assembled(spark, sf, step):
     p, frame = _frame(spark, sf, step)
     preds = assemble.proxy_predictions(assemble.price_times_units(frame), PROXY_DONOR, PROXY_TARGET)
-    return assemble.back_fill(p.rt.ids_test, preds)
+    return assemble.back_fill(p.ids_written, preds)
 
 
 @register("m16_j15_assembled_forecast_weekly_price", W(_assembly_sql("week") + """
@@ -294,4 +294,4 @@ def m16g(spark, sf):
                                "group_name": F.lit(None).cast("string")})
     scored = model.predict(fitted, feats.withColumn("price_", F.coalesce("price_", F.lit(0.0))))
     preds = assemble.proxy_predictions(scored, PROXY_DONOR, PROXY_TARGET)
-    return assemble.back_fill(p.rt.ids_test, preds)
+    return assemble.back_fill(p.ids_written, preds)

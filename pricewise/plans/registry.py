@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewise.operators import demand, enrich
+from pricewise.session import materialize
 from pricewise.sources.fixtures import CUTOFF, RetailTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +46,17 @@ class Pipeline:
     def daily(self) -> DataFrame:
         return demand.daily_demand(self.tx)
 
+    @cached_property
+    def daily_written(self) -> DataFrame:
+        """``daily`` written once to the shared checkpoint folder, for queries that
+        read it more than once (each read would otherwise rescan the transactions)."""
+        return materialize(self.daily, "daily")
+
+    @cached_property
+    def ids_written(self) -> DataFrame:
+        """The ids to score, written once (read by the score frame and the back-fill)."""
+        return materialize(self.rt.ids_test, "ids")
+
     @cached_property
     def item_day(self) -> DataFrame:
         return demand.item_day(self.tx)
