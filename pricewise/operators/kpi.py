@@ -147,6 +147,14 @@ def product_kpis(tx: DataFrame) -> DataFrame:
 
 
 def group_totals_on_rows(df: DataFrame, key: str, measures: list[str]) -> DataFrame:
-    """Each row with its group's totals repeated."""
-    w = Window.partitionBy(key)
-    return df.withColumns({f"{m}_group": F.sum(m).over(w) for m in measures})
+    """Each row with its group's totals repeated.
+
+    Not ``sum() over (partition by key)``: that puts a whole group in one task, and
+    one key may hold a large share of the rows.  The totals are a partial + final
+    aggregate (map-side combine), joined back on the key.  AQE sees the totals'
+    measured shuffle size and broadcasts them when small; otherwise it stays a
+    shuffle join whose hot partitions AQE's skew-join handling splits.  (A count
+    to prove the bound up front would compute the aggregate twice.)
+    """
+    totals = df.groupBy(key).agg(*[F.sum(m).alias(f"{m}_group") for m in measures])
+    return df.join(totals, key, "left")
