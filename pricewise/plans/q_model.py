@@ -32,9 +32,9 @@ opt as (select distinct store_id, sku, category, group_name, brand, region, pric
 
 def _optimal(spark, sf):
     p = Pipeline(spark, sf)
-    curve = optimise.log_linear_demand(p.item_day)
+    curve = optimise.log_linear_demand(p.item_day_written)
     cats = p.rt.product_master.select("category").distinct()
-    best = optimise.optimal_prices_closed_form(p.item_range, curve, groups=cats).select(*OPT_KEEP)
+    best = optimise.optimal_prices_closed_form(p.item_range_written, curve, groups=cats).select(*OPT_KEEP)
     return best.withColumns({"prediction": F.round("prediction", 8), "profit": F.round("profit", 4)})
 
 
@@ -72,10 +72,10 @@ def t4(spark, sf):
 def m6(spark, sf):
     """Poisson GLM of units on price and item attributes scores the grid (rows-only)."""
     p = Pipeline(spark, sf)
-    items = p.item_day.withColumn("quantity", F.col("quantity").cast("double"))
+    items = p.item_day_written.withColumn("quantity", F.col("quantity").cast("double"))
     model.check_glm_width(items, model.UNITS_FEATURES)
     fitted = model.poisson_glm("quantity", model.UNITS_FEATURES).fit(items)
-    grid = optimise.price_grid(p.item_range)
+    grid = optimise.price_grid(p.item_range_written)
     prof = optimise.expected_profit(model.predict(fitted, grid))
     return optimise.optimal_prices(prof, OPT_KEEP)
 
@@ -84,10 +84,10 @@ def m6(spark, sf):
 def m5(spark, sf):
     """Boosted trees (9 x 0.5, subsample 0.8) of units score the grid (rows-only)."""
     p = Pipeline(spark, sf)
-    items = p.item_day.withColumn("quantity", F.col("quantity").cast("double"))
+    items = p.item_day_written.withColumn("quantity", F.col("quantity").cast("double"))
     fitted = model.boosted_trees("quantity", model.UNITS_FEATURES, max_iter=9, step_size=0.5,
                                  subsample=0.8).fit(items)
-    prof = optimise.expected_profit(model.predict(fitted, optimise.price_grid(p.item_range)))
+    prof = optimise.expected_profit(model.predict(fitted, optimise.price_grid(p.item_range_written)))
     return optimise.optimal_prices(prof, OPT_KEEP)
 
 

@@ -65,6 +65,16 @@ class Pipeline:
     def item_range(self) -> DataFrame:
         return demand.item_price_range(self.item_day)
 
+    @cached_property
+    def item_day_written(self) -> DataFrame:
+        """``item_day`` written once, for the optimiser (curve fit and price ranges both
+        read it) and the models that iterate over it."""
+        return materialize(self.item_day, "item-day")
+
+    @cached_property
+    def item_range_written(self) -> DataFrame:
+        return demand.item_price_range(self.item_day_written)
+
 
 def rounded(df: DataFrame, scale: int, *cols: str) -> DataFrame:
     """Round the named double columns (sums are order-dependent in their last bits)."""
