@@ -54,8 +54,11 @@ class Pipeline:
 
     @cached_property
     def ids_written(self) -> DataFrame:
-        """The ids to score, written once (read by the score frame and the back-fill)."""
-        return materialize(self.rt.ids_test, "ids")
+        """The ids to score, written once (read by the score frame and the back-fill).
+        Built from the store x subgroup pairs of the written daily table: the same pairs
+        as sold in open stores, without another pass over the transactions."""
+        pairs = self.daily_written.select("store_id", "subgroup").distinct()
+        return materialize(self.rt.ids_for_pairs(pairs), "ids")
 
     @cached_property
     def item_day(self) -> DataFrame:

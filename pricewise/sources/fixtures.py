@@ -163,7 +163,11 @@ class RetailTables:
         open_ids = self.stores.filter(
             (F.col("closedate") > F.lit(CUTOFF)) | F.col("closedate").isNull()).select("store_id")
         sold = self.transactions.select("store_id", "subgroup").distinct()
-        pairs = sold.join(open_ids, "store_id", "left_semi")
+        return self.ids_for_pairs(sold.join(open_ids, "store_id", "left_semi"))
+
+    def ids_for_pairs(self, pairs: DataFrame) -> DataFrame:
+        """Ids for the given open store x subgroup pairs (e.g. those of an already built
+        daily table, which saves a second pass over the transactions)."""
         pairs = pairs.unionByName(
             pairs.filter(F.col("subgroup") == PROXY_DONOR)
             .withColumn("subgroup", F.lit(PROXY_TARGET)))
