@@ -56,14 +56,14 @@ class RetailTables:
         """A fact table scan, spread over the cluster when the files give fewer splits
         than there are task slots (one big unsplittable file would otherwise run as
         one task).  Well-split inputs are left alone: no shuffle is added.  The spread
-        hashes the scan's own row id, unique per row and the same on a re-run of a
-        split: no hot key or group of copies can pile up in one task, and unlike a
-        round-robin spread it needs no sort to be repeatable after a task retry."""
-        df = self.raw(name).select(*columns)     # prune before the row id (it stops pruning)
+        hashes every selected column (the row's content), not one business key, so a
+        hot key does not pile up in one task; it is deterministic, so a retried task
+        gets the same rows without the sort a round-robin spread needs, and later
+        plans may use scalar subqueries inside aggregates (a row id would forbid it)."""
+        df = self.raw(name).select(*columns)
         slots = self.spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < slots:
-            df = (df.withColumn("_row", F.monotonically_increasing_id())
-                  .repartition(slots, "_row").drop("_row"))
+            df = df.repartition(slots, *columns)
         return df
 
     @cached_property
