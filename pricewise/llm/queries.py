@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewise.llm import bpe, decontaminate, quality, simhash
+from pricewise.llm import bpe, decontaminate, linededup, quality, simhash
 from pricewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,39 @@ def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("id_bytes", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", F.col("cut.n_lines").cast("long").alias("n_lines"), F.col("cut.n_removed").cast("long").alias("n_removed"),
+                        F.col("cut.n_runs").cast("long").alias("n_runs"), F.sha2(F.coalesce("cut.text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE["op6_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+owned AS (
+  SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS seen,
+         sum(CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS pos
+  FROM lines),
+pairs AS (
+  SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM owned WHERE seen),
+later AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, pos) AS nth FROM pairs WHERE following IS NOT NULL)
+  WHERE nth > 1),
+gone AS (SELECT doc_id, pos FROM later UNION SELECT doc_id, pos + 1 FROM later),
+marked AS (
+  SELECT o.*, g.pos IS NOT NULL AS removed FROM owned o LEFT JOIN gone g ON o.doc_id = g.doc_id AND o.pos = g.pos),
+runs AS (
+  SELECT doc_id, count(*) FILTER (WHERE removed) AS n_removed, count(*) AS n_lines,
+         count(*) FILTER (WHERE removed AND NOT coalesce(before, false)) AS n_runs
+  FROM (SELECT doc_id, removed, lag(removed) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM marked WHERE seen)
+  GROUP BY doc_id)
+SELECT m.doc_id, coalesce(max(r.n_lines), 0)::BIGINT AS n_lines, coalesce(max(r.n_removed), 0)::BIGINT AS n_removed,
+       coalesce(max(r.n_runs), 0)::BIGINT AS n_runs,
+       sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.i) FILTER (WHERE NOT m.removed), '')) AS kept_sha256
+FROM marked m LEFT JOIN runs r ON m.doc_id = r.doc_id GROUP BY m.doc_id
+"""
