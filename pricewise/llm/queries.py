@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewise.llm import bpe, decontaminate, linededup, quality, simhash
+from pricewise.llm import bpe, decontaminate, langid, linededup, quality, simhash
 from pricewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ SELECT m.doc_id, coalesce(max(r.n_lines), 0)::BIGINT AS n_lines, coalesce(max(r.
        sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.i) FILTER (WHERE NOT m.removed), '')) AS kept_sha256
 FROM marked m LEFT JOIN runs r ON m.doc_id = r.doc_id GROUP BY m.doc_id
 """
+
+
+@register
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
