@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewise.llm import bpe, decontaminate, langid, linededup, quality, simhash
+from pricewise.llm import bpe, decontaminate, langid, linededup, quality, records, simhash
 from pricewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ FROM marked m LEFT JOIN runs r ON m.doc_id = r.doc_id GROUP BY m.doc_id
 @register
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
