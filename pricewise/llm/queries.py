@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewise.llm import bpe, decontaminate, langid, linededup, quality, records, simhash
+from pricewise.llm import bpe, decontaminate, langid, linededup, quality, records, simhash, warc
 from pricewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,46 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = records.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@register
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e.key, F.lit(": "), e.value)))
+    return found.select("record_id", "canonical_url", "resolved_id", "state", "payload_digest", F.array_join(lines, "\n").alias("headers"))
+
+
+ORACLE["op7_warc_revisits"] = r"""
+WITH base AS (
+  SELECT page_id, url, coalesce(html, '') AS html, k FROM pages, (SELECT unnest(range(4)) AS k)),
+records AS (
+  SELECT page_id * 4 + k AS record_id, (page_id * 7919 + k * 104729) % 1000003 AS ts,
+         CASE WHEN k = 0 OR (k = 2 AND page_id % 5 = 0) THEN 'response' ELSE 'revisit' END AS kind,
+         k = 1 AND page_id % 11 = 0 AS bare,
+         html || CASE WHEN k >= 2 AND page_id % 5 = 0 THEN '<!-- 2 -->' ELSE '' END || CASE WHEN k = 3 AND page_id % 7 = 0 THEN '?' ELSE '' END AS content,
+         trim(CASE WHEN k = 1 THEN url || '#part' ELSE url END) AS u
+  FROM base),
+split AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') AS host,
+         regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), p -> p <> '' AND NOT starts_with(lower(p), 'utm_'))) AS params
+  FROM records),
+canonical AS (
+  SELECT *, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://')
+                 THEN host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END
+                 ELSE regexp_replace(u, '#.*$', '') END AS canonical_url
+  FROM split),
+joined AS (
+  SELECT v.record_id, v.canonical_url, v.ts, v.bare, md5(v.content) AS own, r.record_id AS rid, md5(r.content) AS theirs, strlen(r.content) AS size, r.ts AS rts
+  FROM (SELECT *, ts * 10000000000 + record_id AS at FROM canonical WHERE kind = 'revisit') v
+  ASOF LEFT JOIN (SELECT *, ts * 10000000000 + record_id AS at FROM canonical WHERE kind = 'response') r
+  ON v.canonical_url = r.canonical_url AND v.at > r.at),
+states AS (
+  SELECT *, CASE WHEN rid IS NULL THEN 'no_response' WHEN bare THEN 'unverified' WHEN own = theirs THEN 'resolved' ELSE 'mismatch' END AS state FROM joined)
+SELECT record_id, canonical_url, state,
+       CASE WHEN state IN ('resolved', 'unverified') THEN rid END AS resolved_id,
+       CASE WHEN state IN ('resolved', 'unverified') THEN theirs END AS payload_digest,
+       CASE WHEN state = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: W/"' || own || '"'
+            WHEN state = 'unverified' THEN 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: "' || theirs || '"' END AS headers
+FROM states
+"""
