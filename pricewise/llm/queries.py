@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewise.llm import bpe, decontaminate, langid, linededup, quality, records, simhash, warc
+from pricewise.llm import bpe, decontaminate, langid, linededup, pii, quality, records, simhash, warc
 from pricewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,9 @@ SELECT record_id, canonical_url, state,
             WHEN state = 'unverified' THEN 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: "' || theirs || '"' END AS headers
 FROM states
 """
+
+
+@register
+def op1_pii_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
