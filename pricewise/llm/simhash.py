@@ -137,7 +137,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = forest(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return fps.select("fp").mapInArrow(emit, "bucket int, slots binary").repartition(tasks, "bucket") \
+    return fps.select("fp").repartition(tasks, "fp").mapInArrow(emit, "bucket int, slots binary").repartition(tasks, "bucket") \
         .select("slots").mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -190,7 +190,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root): fingerprints linked through any chain share a root (a fingerprint)."""
-    distinct = materialize(fps.select("fp").distinct(), "fingerprints")
+    distinct = materialize(fps.select("fp").distinct(), "fingerprints")  # small rows: dealt anew before they grow
     found = components(links(distinct, radius))
     return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
