@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pricewise.llm.common import texts
 
 #: Documents that the dictionary of common words is taken from, its entries, their most bytes.
-SAMPLE_DOCUMENTS = 20_000
-DICTIONARY_WORDS = 65_536
+SAMPLE_DOCUMENTS = 40_000
+DICTIONARY_WORDS = 131_072
 DICTIONARY_BYTES = 48
 #: Runs of more pieces merge all places of a rank in one step.
 LONG = 256
@@ -46,8 +46,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _buckets(entries: dict[str, object], kind: str) -> tuple[Column, int]:
-    """A literal map as an array of maps of a few entries each, and the bits of its address."""
-    bits = max(1, (len(entries) // 4).bit_length())
+    """A literal map as an array of maps of an entry or two, and the bits of its address."""
+    bits = max(1, len(entries).bit_length() - 1)
     rows: list[dict] = [{} for _ in range(1 << bits)]
     for k, v in entries.items():
         rows[xxhash.xxh64_intdigest(k.encode(), 42) & ((1 << bits) - 1)][k] = v
@@ -85,7 +85,7 @@ class Codec:
 
     def _pairs(self, rank, p: Column) -> Column:
         last = F.size(p) - 1
-        return F.transform(F.slice(p, F.lit(1), last), lambda x, i: rank(F.concat(x, F.get(p, i + 1))))
+        return F.zip_with(F.slice(p, F.lit(1), last), F.slice(p, F.lit(2), last), lambda a, b: rank(F.concat(a, b)))
 
     def _merge_first(self, rank, s: Column) -> Column:
         """Merge the leftmost place of the best rank; only its two neighbours' ranks change."""
@@ -93,11 +93,11 @@ class Codec:
             joined = F.concat(F.get(s.p, i - 1), F.get(s.p, i))
 
             def merged(t):
-                n, none = F.size(s.p), F.array().cast("array<int>")
-                p = F.concat(F.slice(s.p, F.lit(1), i - 1), F.array(t), F.slice(s.p, i + 2, n))
-                left = F.when(i > 1, F.array(rank(F.concat(F.get(s.p, i - 2), t)))).otherwise(none)
-                right = F.when(i < n - 1, F.array(rank(F.concat(t, F.get(s.p, i + 1))))).otherwise(none)
-                r = F.concat(F.slice(s.r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(s.r, i + 2, n))
+                n = F.size(s.p)
+                left, right = rank(F.concat(F.get(s.p, i - 2), t)), rank(F.concat(t, F.get(s.p, i + 1)))
+                p = F.transform(F.slice(s.p, F.lit(1), n - 1), lambda x, k: F.when(k < i - 1, x).when(k == i - 1, t).otherwise(F.get(s.p, k + 1)))
+                r = F.transform(F.slice(s.r, F.lit(1), n - 2), lambda x, k: F.when(k < i - 2, x).when(k == i - 2, left)
+                                .when(k == i - 1, right).otherwise(F.get(s.r, k + 1)))
                 return _let(r, lambda r: self._state(p, r))
 
             return _let(joined, merged)
@@ -143,10 +143,11 @@ class Codec:
         return _let(self.ranks, lambda t: self._fold(lambda key: _find(t, self.bits, key), word))
 
     def learn_common(self, docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, words: int = DICTIONARY_WORDS) -> Codec:
-        """Fold the most frequent words of the first ``documents`` rows once, as a literal
-        dictionary of at most ``words`` entries of at most ``DICTIONARY_BYTES`` bytes."""
-        found = texts(docs).select("text").limit(documents).repartition("text") \
-            .select(F.explode(self.words(F.col("text"))).alias("word")) \
+        """Fold the most frequent words of the ``documents`` with the smallest hash of doc_id once, as
+        a literal dictionary of at most ``words`` entries of at most ``DICTIONARY_BYTES`` bytes."""
+        one = texts(docs)
+        ids = one.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+        found = one.join(F.broadcast(ids), "doc_id").select(F.explode(self.words(F.col("text"))).alias("word")) \
             .filter(F.octet_length("word") <= DICTIONARY_BYTES).groupBy("word").count() \
             .orderBy(F.desc("count"), "word").limit(words)
         entries = {r["word"]: r["ids"] for r in found.select("word", self.fold(F.col("word")).alias("ids")).collect()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewise.llm import bpe, decontaminate, langid, linededup, pii, quality, records, simhash, warc
+from pricewise.llm import bpe, decontaminate, langid, linededup, pii, quality, records, simhash, substrings, warc
 from pricewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,33 @@ FROM states
 def op1_pii_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.train(docs))
+
+
+ORACLE["op5_benchmark_decontamination"] = r"""
+WITH dw AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+patterns AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(list_slice(w, k, k + least(len(w), 10) - 1), ' ') AS pattern
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM iw WHERE len(w) > 0)),
+windows AS (
+  SELECT row, k, size, array_to_string(list_slice(w, k, k + size - 1), ' ') AS pattern
+  FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM dw, (SELECT DISTINCT size FROM patterns) WHERE len(w) >= size)),
+found AS (SELECT row, k, v.size, item_id FROM windows v JOIN patterns p ON v.pattern = p.pattern AND v.size = p.size),
+hit AS (SELECT row, count(DISTINCT at) AS n_hit FROM (SELECT row, unnest(range(k, k + size)) AS at FROM found) GROUP BY row),
+ids AS (
+  SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS items
+  FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (row) LEFT JOIN ids USING (row)
+"""
+
+
+@register
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
