@@ -112,7 +112,7 @@ records AS (
 split AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') AS host,
          regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
-         list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), p -> p <> '' AND NOT starts_with(lower(p), 'utm_'))) AS params
+         list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_'))) AS params
   FROM records),
 canonical AS (
   SELECT *, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://')
@@ -121,9 +121,9 @@ canonical AS (
   FROM split),
 joined AS (
   SELECT v.record_id, v.canonical_url, v.ts, v.bare, md5(v.content) AS own, r.record_id AS rid, md5(r.content) AS theirs, strlen(r.content) AS size, r.ts AS rts
-  FROM (SELECT *, ts * 10000000000 + record_id AS at FROM canonical WHERE kind = 'revisit') v
-  ASOF LEFT JOIN (SELECT *, ts * 10000000000 + record_id AS at FROM canonical WHERE kind = 'response') r
-  ON v.canonical_url = r.canonical_url AND v.at > r.at),
+  FROM (SELECT *, ts * 10000000000 + record_id AS place FROM canonical WHERE kind = 'revisit') v
+  ASOF LEFT JOIN (SELECT *, ts * 10000000000 + record_id AS place FROM canonical WHERE kind = 'response') r
+  ON v.canonical_url = r.canonical_url AND v.place > r.place),
 states AS (
   SELECT *, CASE WHEN rid IS NULL THEN 'no_response' WHEN bare THEN 'unverified' WHEN own = theirs THEN 'resolved' ELSE 'mismatch' END AS state FROM joined)
 SELECT record_id, canonical_url, state,
@@ -155,7 +155,7 @@ windows AS (
   SELECT row, k, size, array_to_string(list_slice(w, k, k + size - 1), ' ') AS pattern
   FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM dw, (SELECT DISTINCT size FROM patterns) WHERE len(w) >= size)),
 found AS (SELECT row, k, v.size, item_id FROM windows v JOIN patterns p ON v.pattern = p.pattern AND v.size = p.size),
-hit AS (SELECT row, count(DISTINCT at) AS n_hit FROM (SELECT row, unnest(range(k, k + size)) AS at FROM found) GROUP BY row),
+hit AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(k, k + size)) AS place FROM found) GROUP BY row),
 ids AS (
   SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS items
   FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY row)
