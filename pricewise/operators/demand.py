@@ -119,6 +119,20 @@ def early_january_profile(daily: DataFrame, days: int = 7) -> DataFrame:
                  C.stable_mean("quantity_").alias("quantity_avg")))
 
 
+def horizon_profile(daily: DataFrame, days: DataFrame) -> DataFrame:
+    """Mean units sold on the calendar days (mes, dia) of a horizon in earlier years, per
+    store and subgroup (A13 for any horizon)."""
+    return (daily.join(days.select("mes", "dia").distinct(), ["mes", "dia"], "left_semi")
+            .groupBy("store_id", "subgroup", "mes", "dia").agg(C.stable_mean("quantity_").alias("quantity_avg")))
+
+
+def series_facts(daily: DataFrame) -> DataFrame:
+    """Per store and subgroup: mean units on the days it sells, and its category and group
+    (the first by name if it has several)."""
+    return daily.groupBy("store_id", "subgroup").agg(
+        C.stable_mean("quantity_").alias("quantity_usual"), F.min("category").alias("category"), F.min("group_name").alias("group_name"))
+
+
 def item_day(tx_enriched: DataFrame) -> DataFrame:
     """Store x SKU x day: units, lowest price, sales, lowest cost, validity flag."""
     agg = tx_enriched.groupBy("store_id", "sku", "sale_date", "brand", "category",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewise.functions import columns as C
-from pricewise.operators.joins import bounded_broadcast, lookup
+from pricewise.operators.joins import lookup
 
 STORE_ATTRS = ["brand", "store_name", "state", "region", "store_type", "cluster"]
 PRODUCT_ATTRS = ["product_name", "category", "group_name", "brand_prod", "base_price",
@@ -27,7 +27,7 @@ def open_stores(stores: DataFrame, clusters: DataFrame, cutoff: dt.date) -> Data
     (brand, store_name) never need suffixes.
     """
     right = clusters.select("store_id", "cluster")
-    return stores.filter(is_open(cutoff)).join(bounded_broadcast(right), "store_id", "left")
+    return stores.filter(is_open(cutoff)).join(right, "store_id", "left")
 
 
 def label_unknown(df: DataFrame, column: str = "store_type", label: str = "Unknown") -> DataFrame:

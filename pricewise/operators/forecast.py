@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricewise.functions import columns as C
+from pricewise.session import ship_package
 
 
 def _horizon_date(t_last, h, step: str):
@@ -56,50 +57,61 @@ def baseline_forecasts(panel: DataFrame, keys: list[str], y: str, step: str, hor
 
 # ----------------------------------------------------------------------------- (b) AR per series
 
-# Candidate models: (autoregressive order, difference order, seasonal lag or 0).
-AR_CANDIDATES = [(1, 0, 0), (2, 0, 0), (3, 0, 0), (1, 1, 0), (2, 1, 0), (1, 0, 1)]
+# Candidate models: autoregressive order, differences, a seasonal lag (0/1), a seasonal difference (0/1).
+AR_CANDIDATES = [(1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (1, 1, 0, 0), (2, 1, 0, 0), (1, 0, 1, 0), (1, 0, 0, 1)]
 
 
-def _design(z: np.ndarray, p: int, season: int):
-    lags = list(range(1, p + 1)) + ([season] if season else [])
-    m = max(lags)
-    if len(z) - m < len(lags) + 2:
-        return None
-    X = np.column_stack([np.ones(len(z) - m)] + [z[m - L:len(z) - L] for L in lags])
-    return X, z[m:], lags
+def _needs(p: int, d: int, s: int, ds: int, season: int) -> int:
+    """Observations before the first one that the candidate can predict."""
+    return d + ds * season + max(p, s * season)
+
+
+def _fit(y: np.ndarray, p: int, d: int, s: int, ds: int, season: int, first: int):
+    """Least squares on the targets from ``first`` on; (errors, coefficients, lags, differenced series)."""
+    z = y[season:] - y[:-season] if ds else np.diff(y) if d else y
+    lags = list(range(1, p + 1)) + ([season] if s else [])
+    at = np.arange(first - (len(y) - len(z)), len(z))
+    x = np.column_stack([np.ones(len(at))] + [z[at - lag] for lag in lags])
+    beta, *_ = np.linalg.lstsq(x, z[at], rcond=None)
+    return z[at] - x @ beta, beta, lags, z
 
 
 def fit_ar(y: np.ndarray, horizon: int, season: int) -> tuple[np.ndarray, str]:
-    """Best AICc model among AR_CANDIDATES; recursive multi-step forecast."""
-    best = None
-    for p, d, s in AR_CANDIDATES:
-        z = np.diff(y, n=d) if d else y
-        lag_s = season if s else 0
-        des = _design(z, p, lag_s)
-        if des is None:
-            continue
-        X, target, lags = des
-        beta, *_ = np.linalg.lstsq(X, target, rcond=None)
-        resid = target - X @ beta
-        n, k = len(target), X.shape[1] + 1
-        sse = float(resid @ resid)
-        if n - k - 1 <= 0:
-            continue
-        aicc = n * np.log(max(sse / n, 1e-300)) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
-        if best is None or aicc < best[0]:
-            best = (aicc, p, d, lags, beta, z)
-    if best is None:
+    """Best AICc model among AR_CANDIDATES; recursive multi-step forecast.
+
+    All candidates predict the same observations (those that the longest one can), and a
+    difference changes no error, so the criteria compare.  Positive series are modelled in
+    logs: the choice does not depend on the unit of price, and no forecast is below the lowest
+    price seen.  Seasonal candidates need two seasons of targets.
+    """
+    y = np.asarray(y, dtype=float)
+    logs = bool((y > 0).all())
+    u = np.log(y) if logs else y
+    usable = [c for c in AR_CANDIDATES if not (c[2] or c[3]) or (season > 1 and len(u) - _needs(*c, season) >= 2 * season)]
+    while usable:
+        first = max(_needs(*c, season) for c in usable)
+        n = len(u) - first
+        if n >= max(c[0] + c[2] for c in usable) + 5:
+            break
+        usable.remove(max(usable, key=lambda c: _needs(*c, season)))
+    if not usable or np.ptp(u) == 0:
         return np.repeat(y[-1], horizon), "last"
-    _, p, d, lags, beta, z = best
-    hist = list(z)
-    fz = []
+    best = None
+    for c in usable:
+        errors, beta, lags, z = _fit(u, *c, season, first)
+        k = len(beta) + 1
+        floor = (1e-9 * np.ptp(u)) ** 2      # errors of rounding size are equal
+        aicc = n * np.log(max(float(errors @ errors) / n, floor)) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+        if best is None or aicc < best[0] - 1e-9:
+            best = (aicc, c, beta, lags, z)
+    _, (p, d, s, ds), beta, lags, z = best
+    hist, levels = list(z), list(u)
     for _ in range(horizon):
-        nxt = beta[0] + sum(bj * hist[-L] for bj, L in zip(beta[1:], lags))
-        hist.append(nxt)
-        fz.append(nxt)
-    fz = np.array(fz)
-    f = y[-1] + np.cumsum(fz) if d else fz
-    return f, f"AR({p}) d={d}" + (f" s={lags[-1]}" if len(lags) > p else "")
+        hist.append(beta[0] + sum(b * hist[-lag] for b, lag in zip(beta[1:], lags)))
+        levels.append(hist[-1] + (levels[-1] if d else levels[-season] if ds else 0.0))
+    f = np.array(levels[len(u):])
+    f = np.maximum(np.exp(np.minimum(f, u.max() + 1)), y.min()) if logs else f
+    return f, f"AR({p}) d={d}" + (f" s={season}" if s else "") + (f" D={season}" if ds else "")
 
 
 def ar_forecasts(panel: DataFrame, keys: list[str], y: str, step: str, horizon: int,
@@ -123,5 +135,6 @@ def ar_forecasts(panel: DataFrame, keys: list[str], y: str, step: str, horizon:
         out["t_last"] = pdf[t].iloc[-1]
         return out[schema.fieldNames()]
 
+    ship_package(panel.sparkSession)
     res = panel.select(*keys, t, y).groupBy(*keys).applyInPandas(per_series, schema)
     return res.withColumn("t_forecast", _horizon_date(F.col("t_last"), F.col("h"), step)).drop("t_last")

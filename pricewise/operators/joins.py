@@ -1,38 +1,15 @@
-"""Join helpers: size-checked broadcast, dimension lookups."""
+"""Dimension lookups.
+
+No broadcast hints: Spark broadcasts a side only if its size, estimated or measured at
+run time by AQE, is under ``spark.sql.autoBroadcastJoinThreshold``, and otherwise shuffles
+(and splits skewed keys).  A hint would force any table that is small today.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# A dimension is broadcast only when a bounded job proves it has at most this many rows.
-DIMENSION_ROW_BOUND = 2_000_000
-
-
-_CHECKED: dict[tuple[int, int], bool] = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROW_BOUND,
-                      bound_by: DataFrame | None = None) -> DataFrame:
-    """Broadcast hint for ``df`` only if it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a limit pushed into the scan), so it
-    stays cheap; past the bound the side is left to a shuffle join (AQE may still convert
-    it at runtime from measured sizes).  The answer is remembered per plan
-    (``semanticHash``), so a dimension reused by many queries is counted once.
-
-    ``bound_by``: a cheaper table with at least as many rows as ``df`` (e.g. the
-    distinct group keys of a dimension, for a result grouped by them); it is
-    counted instead of recomputing ``df``.
-    """
-    proof = df if bound_by is None else bound_by
-    key = (proof.semanticHash(), max_rows)
-    if key not in _CHECKED:
-        _CHECKED[key] = proof.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if _CHECKED[key] else df
 
 
-def lookup(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-           max_rows: int = DIMENSION_ROW_BOUND) -> DataFrame:
-    """Fact joined to a dimension (J2/J3/J4): broadcast when the dimension is proven small."""
-    return fact.join(bounded_broadcast(dim, max_rows), on, how)
+def lookup(fact: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
+    """Fact joined to a dimension."""
+    return fact.join(dim, on, how)

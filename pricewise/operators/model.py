@@ -13,16 +13,21 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import (GBTRegressor, GeneralizedLinearRegression,
                                    RandomForestRegressor)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewise.functions.columns import hash_bucket
+from pricewise.session import materialize
 
+# The reference model's features and settings (fixed values).
 DEMAND_FEATURES = ["price_", "subgroup", "store_type", "region", "store_id", "mes", "dia", "anio",
                    "category", "group_name", "brand"]
-UNITS_FEATURES = ["price", "store_id", "sku", "category", "group_name", "brand", "region"]
-GLM_MAX_FEATURES = 4096     # Spark's normal-equation solver limit
+# Units models: SKU and store are as many as the business has, so they enter as means of the
+# label (one column), not as one column each.
+UNITS_LOW = ["category", "group_name", "brand", "region"]
+ITEM = ["store_id", "sku"]
+SMOOTHING = 10.0
 
 
 def formula(label: str, features: list[str]) -> str:
@@ -52,22 +57,37 @@ def boosted_trees(label: str, features: list[str], max_iter: int = 20, step_size
     return MLPipeline(stages=[featurizer(label, features), gbt])
 
 
-def poisson_glm(label: str, features: list[str]) -> MLPipeline:
-    """Poisson regression with log link (M6)."""
-    glm = GeneralizedLinearRegression(family="poisson", link="log", maxIter=25)
+def poisson_glm(label: str, features: list[str], offset: str | None = None) -> MLPipeline:
+    """Poisson regression with log link (M6); ``offset`` is a column added to the linear part."""
+    glm = GeneralizedLinearRegression(family="poisson", link="log", maxIter=25, regParam=1e-6)
+    if offset:
+        glm = glm.setOffsetCol(offset)
     return MLPipeline(stages=[featurizer(label, features), glm])
 
 
-def check_glm_width(df: DataFrame, features: list[str]) -> int:
-    """Number of one-hot columns the GLM would see; raise past the solver's limit."""
-    strings = [f for f in features if dict(df.dtypes)[f] == "string"]
-    width = len(features) - len(strings)
-    if strings:
-        row = df.agg(*[F.countDistinct(c).alias(c) for c in strings]).first()
-        width += sum(row[c] for c in strings)
-    if width > GLM_MAX_FEATURES:
-        raise ValueError(f"{width} features exceed the GLM limit of {GLM_MAX_FEATURES}")
-    return width
+def smoothed_means(train: DataFrame, keys: list[str], label: str, out: str, smoothing: float = SMOOTHING) -> DataFrame:
+    """Target encoding: the label's mean per key, drawn to the overall mean by ``smoothing`` rows."""
+    prior = train.agg(F.avg(label)).scalar()
+    sums = train.groupBy(*keys).agg(F.sum(label).alias("_s"), F.count(label).alias("_n"))
+    return sums.select(*keys, ((F.col("_s") + prior * smoothing) / (F.col("_n") + smoothing)).alias(out))
+
+
+class UnitsEncoder:
+    """Store, SKU and item (store x SKU) as smoothed mean units, learned once on ``train``."""
+
+    def __init__(self, train: DataFrame, label: str = "quantity"):
+        self.overall = train.agg(F.avg(label).alias("m")).first()["m"] or 0.0
+        self.tables = {out: materialize(smoothed_means(train, keys, label, out), out)
+                       for out, keys in (("store_units", ["store_id"]), ("sku_units", ["sku"]), ("item_units", ITEM))}
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        for out, table in self.tables.items():
+            keys = [c for c in table.columns if c != out]
+            df = df.join(table, keys, "left").withColumn(out, F.coalesce(out, F.lit(self.overall)))
+        return df.withColumn("log_item_units", F.ln(F.greatest("item_units", F.lit(1e-6))))
+
+
+UNITS_MEANS = ["store_units", "sku_units", "item_units"]
 
 
 def predict(model, df: DataFrame) -> DataFrame:
@@ -106,10 +126,7 @@ def cross_validate(df: DataFrame, label: str, features: list[str], grid: list[di
     rf = RandomForestRegressor(maxDepth=5, maxBins=40, subsamplingRate=0.8,
                                featureSubsetStrategy="onethird", seed=250)
     pipe = MLPipeline(stages=[featurizer(label, features), rf])
-    builder = ParamGridBuilder()
-    builder.addGrid(rf.numTrees, sorted({g["num_trees"] for g in grid}))
-    builder.addGrid(rf.minInstancesPerNode, sorted({g["min_instances"] for g in grid}))
-    maps = builder.build()
+    maps = [{rf.numTrees: g["num_trees"], rf.minInstancesPerNode: g["min_instances"]} for g in grid]
     data = df.withColumn("_fold", (F.col(fold_col) - 1).cast("int"))
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
                         evaluator=RegressionEvaluator(metricName="r2"),

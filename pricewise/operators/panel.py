@@ -11,12 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewise.functions import columns as C
-from pricewise.operators.joins import bounded_broadcast
 from pricewise.session import materialize
 
-# A calendar has one row per period; a century of days is under 40,000 rows.
-CALENDAR_ROW_BOUND = 100_000
-
 
 def period_median(daily: DataFrame, keys: list[str], step: str, value: str = "price_",
                   t: str = "date_id", out: str = "price_median") -> DataFrame:
@@ -65,7 +61,7 @@ def dense_panel(obs: DataFrame, keys: list[str], step: str, value: str, t: str =
     grid = series.select(*keys, F.explode(F.sequence(F.lit(lo), F.lit(hi), C.step_interval(step))).alias(t))
     joined = grid.join(obs, [*keys, t], "left")
     cal = calendar(obs, step, t, (lo, hi)).withColumnRenamed("t", t)
-    return joined.join(bounded_broadcast(cal, CALENDAR_ROW_BOUND), t, "left")
+    return joined.join(cal, t, "left")
 
 
 def fill_gaps(panel: DataFrame, keys: list[str], value: str, out: str,
@@ -105,6 +101,13 @@ def series_order(obs: DataFrame, keys: list[str], t: str) -> DataFrame:
     return obs.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(t)))
 
 
+def long_observations(obs: DataFrame, keys: list[str], min_rows: int = 5) -> DataFrame:
+    """The observations of series with more than ``min_rows`` of them (F5, applied before any
+    panel or forecast).  A series is bounded by the calendar."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return obs.withColumn("_n", n).filter(F.col("_n") > min_rows).drop("_n")
+
+
 def long_series(obs: DataFrame, keys: list[str], min_rows: int = 5) -> DataFrame:
     """Series with more than ``min_rows`` rows."""
     return obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs")).filter(F.col("n_obs") > min_rows)

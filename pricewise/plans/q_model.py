@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricewise.functions import columns as C
-from pricewise.operators import assemble, kpi, model, optimise, panel
+from pricewise.operators import assemble, demand, kpi, model, optimise, panel
+from pricewise.plans import q_series
 from pricewise.plans.oracle import with_fixtures as W
-from pricewise.plans.registry import Pipeline, register, rounded
-from pricewise.sources.fixtures import PROXY_DONOR, PROXY_TARGET
+from pricewise.plans.registry import Pipeline, register
+from pricewise.session import materialize
+from pricewise.sources.fixtures import HORIZON_DAYS, PROXY_DONOR, PROXY_TARGET
 
 ITEM_ATTRS = ["store_id", "sku", "category", "group_name", "brand", "region"]
 OPT_KEEP = ITEM_ATTRS + ["price_sim", "prediction", "profit"]
@@ -33,8 +35,7 @@ opt as (select distinct store_id, sku, category, group_name, brand, region, pric
 def _optimal(spark, sf):
     p = Pipeline(spark, sf)
     curve = optimise.log_linear_demand(p.item_day_written)
-    cats = p.rt.product_master.select("category").distinct()
-    best = optimise.optimal_prices_closed_form(p.item_range_written, curve, groups=cats).select(*OPT_KEEP)
+    best = optimise.optimal_prices_closed_form(p.item_range_written, curve).select(*OPT_KEEP)
     return best.withColumns({"prediction": F.round("prediction", 8), "profit": F.round("profit", 4)})
 
 
@@ -68,27 +69,59 @@ def t4(spark, sf):
     return kpi.top_k_with_ties(_optimal(spark, sf), "price_sim", 1000).select(*ITEM_ATTRS, "price_sim")
 
 
-@register("m6_poisson_glm_optimal_price")
-def m6(spark, sf):
-    """Poisson GLM of units on price and item attributes scores the grid (rows-only)."""
+def _units_model_optimum(spark, sf, fit):
+    """The price grid scored by a units model, best row of every item."""
     p = Pipeline(spark, sf)
     items = p.item_day_written.withColumn("quantity", F.col("quantity").cast("double"))
-    model.check_glm_width(items, model.UNITS_FEATURES)
-    fitted = model.poisson_glm("quantity", model.UNITS_FEATURES).fit(items)
-    grid = optimise.price_grid(p.item_range_written)
-    prof = optimise.expected_profit(model.predict(fitted, grid))
-    return optimise.optimal_prices(prof, OPT_KEEP)
+    encoder = model.UnitsEncoder(items)
+    fitted = fit(materialize(encoder(items), "units-train"))
+    grid = encoder(optimise.price_grid(p.item_range_written))
+    return p, optimise.optimal_prices(optimise.expected_profit(model.predict(fitted, grid)), OPT_KEEP)
+
+
+def _fit_glm(train):
+    return model.poisson_glm("quantity", ["price", *model.UNITS_LOW], offset="log_item_units").fit(train)
+
+
+def _fit_units_gbt(train):
+    return model.boosted_trees("quantity", ["price", *model.UNITS_MEANS, *model.UNITS_LOW], max_iter=9,
+                               step_size=0.5, subsample=0.8).fit(train)
+
+
+@register("m6_poisson_glm_optimal_price")
+def m6(spark, sf):
+    """Poisson GLM of units (offset: the item's smoothed mean units) scores the grid."""
+    return _units_model_optimum(spark, sf, _fit_glm)[1]
 
 
 @register("m5_gbt_units_optimal_price")
 def m5(spark, sf):
-    """Boosted trees (9 x 0.5, subsample 0.8) of units score the grid (rows-only)."""
-    p = Pipeline(spark, sf)
-    items = p.item_day_written.withColumn("quantity", F.col("quantity").cast("double"))
-    fitted = model.boosted_trees("quantity", model.UNITS_FEATURES, max_iter=9, step_size=0.5,
-                                 subsample=0.8).fit(items)
-    prof = optimise.expected_profit(model.predict(fitted, optimise.price_grid(p.item_range_written)))
-    return optimise.optimal_prices(prof, OPT_KEEP)
+    """Boosted trees (9 x 0.5, subsample 0.8) of units score the grid."""
+    return _units_model_optimum(spark, sf, _fit_units_gbt)[1]
+
+
+OPTIMUM_CHECK_SQL = W("select count(*) as n_items, 0 as n_outside from item_range")
+
+
+def _optimum_check(spark, sf, fit):
+    """Every item once, its price inside its own range."""
+    p, best = _units_model_optimum(spark, sf, fit)
+    ranges = p.item_range_written.select("store_id", "sku", "min_price", "max_price")
+    one = best.groupBy("store_id", "sku").agg(F.count(F.lit(1)).alias("n"), F.min("price_sim").alias("lo"), F.max("price_sim").alias("hi"))
+    j = one.join(ranges, ["store_id", "sku"], "full")
+    return j.agg(F.count_if(F.col("n") >= 1).alias("n_items"),
+                 F.count_if((F.col("lo") < F.col("min_price") - 1e-9) | (F.col("hi") > F.col("max_price") + 1e-9)
+                            | F.col("min_price").isNull() | F.col("n").isNull()).cast("int").alias("n_outside"))
+
+
+@register("m6_optimum_covers_items_in_range", OPTIMUM_CHECK_SQL)
+def m6_check(spark, sf):
+    return _optimum_check(spark, sf, _fit_glm)
+
+
+@register("m5_optimum_covers_items_in_range", OPTIMUM_CHECK_SQL)
+def m5_check(spark, sf):
+    return _optimum_check(spark, sf, _fit_units_gbt)
 
 
 # ----------------------------------------------------------------------------- demand models
@@ -98,8 +131,8 @@ FOLD_SQL = "cast(('0x' || substr(md5(store_subgroup_date_id), 1, 8))::bigint % 4
 
 
 def _with_split(p: Pipeline):
-    return p.daily.withColumns({"split": model.split_flag("store_subgroup_date_id"),
-                                "fold": model.fold_id("store_subgroup_date_id")})
+    return p.daily_written.withColumns({"split": model.split_flag("store_subgroup_date_id"),
+                                        "fold": model.fold_id("store_subgroup_date_id")})
 
 
 @register("m9_train_test_split", W(f"select store_subgroup_date_id, {SPLIT_SQL} as split from daily"))
@@ -186,74 +219,66 @@ sep as (select store_subgroup_date_id, split_part(store_subgroup_date_id, '_', 1
 att as (select s.*, so.brand, so.region, so.store_type, cast(month(date_id) as int) as mes,
                cast(day(date_id) as int) as dia, cast(year(date_id) as int) as anio
         from sep s left join stores_open so on s.store_id = so.store_id),
-prof as (select dia, store_id, subgroup, round(sum(quantity_), 8) / count(quantity_) as quantity_avg
-         from daily where dia <= 7 and mes = 1 group by dia, mes, store_id, subgroup)"""
+prof as (select mes, dia, store_id, subgroup, round(sum(quantity_), 8) / count(quantity_) as quantity_avg
+         from daily where (mes, dia) in (select distinct mes, dia from att) group by mes, dia, store_id, subgroup),
+facts as (select store_id, subgroup, round(sum(quantity_), 8) / count(quantity_) as quantity_usual,
+          min(category) as category, min(group_name) as group_name from daily group by store_id, subgroup)"""
+
+HORIZON = {"week": 1, "day": HORIZON_DAYS}
 
 
 def _assembly_sql(step: str) -> str:
-    if step == "week":
-        price = """
-wk as (select store_id, subgroup, cast(date_trunc('week', date_id) as date) as t,
-              round(quantile_cont(price_, 0.5), 8) as pm from daily group by 1, 2, 3),
-price as (select store_id, subgroup, arg_max(pm, t) as price_ from wk group by 1, 2),
-own as (select a.*, case when a.subgroup = '{T}' then dp.price_ else p.price_ end as price_
-        from att a left join price p on a.store_id = p.store_id and a.subgroup = p.subgroup
-        left join (select store_id, price_ from price where subgroup = '{D}') dp on a.store_id = dp.store_id)"""
-    else:
-        price = """
-dd as (select store_id, subgroup, date_id as t, round(quantile_cont(price_, 0.5), 8) as pm from daily group by 1, 2, 3),
-last as (select store_id, subgroup, arg_max(pm, t) as p from dd group by 1, 2),
-price as (select store_id, subgroup, cast(g.d as date) as date_id, p as price_ from last,
-          unnest(generate_series((select max(t) from dd) + interval 1 day, (select max(t) from dd) + interval 7 day,
-                                 interval 1 day)) as g(d)),
-own as (select a.*, case when a.subgroup = '{T}' then dp.price_ else p.price_ end as price_
-        from att a left join price p on a.store_id = p.store_id and a.subgroup = p.subgroup and a.date_id = p.date_id
-        left join (select store_id, date_id, price_ from price where subgroup = '{D}') dp
-          on a.store_id = dp.store_id and a.date_id = dp.date_id)"""
-    price = price.replace("{T}", PROXY_TARGET).replace("{D}", PROXY_DONOR)
+    trunc = {"week": "cast(date_trunc('week', date_id) as date)", "day": "date_id"}[step]
+    match = {"week": "", "day": " and s.date_id = f.t_forecast"}[step]
     return f"""
-with {IDS_SQL},
-{price.strip()},
-frame as (select o.*, coalesce(round_even(pr.quantity_avg, 0), 0) as quantity_ from own o
-          left join prof pr on o.store_id = pr.store_id and o.subgroup = pr.subgroup and o.dia = pr.dia),
+with fcs as ({q_series._forecast_sql(step, HORIZON[step])}),
+seen as (select store_id, subgroup, {trunc} as t, round(quantile_cont(price_, 0.5), 8) as pm from daily group by 1, 2, 3),
+last as (select store_id, subgroup, arg_max(pm, t) as price_last, min(pm) as lowest from seen group by 1, 2),
+fprice as (select f.store_id, f.subgroup, f.t_forecast,
+           case when f_ar1 is not null and abs(ar_slope) < 1 then greatest(f_ar1, lowest) else f_last end as price_forecast
+           from fcs f join last l on f.store_id = l.store_id and f.subgroup = l.subgroup),
+{IDS_SQL.strip()},
+source as (select *, case when subgroup = '{PROXY_TARGET}' then '{PROXY_DONOR}' else subgroup end as src from att),
+frame as (select s.* exclude (src), c.category, c.group_name, coalesce(f.price_forecast, l.price_last) as price_,
+                 coalesce(round_even(coalesce(pr.quantity_avg, c.quantity_usual), 0), 0) as quantity_
+          from source s left join facts c on s.store_id = c.store_id and s.src = c.subgroup
+          left join last l on s.store_id = l.store_id and s.src = l.subgroup
+          left join fprice f on s.store_id = f.store_id and s.src = f.subgroup{match}
+          left join prof pr on s.store_id = pr.store_id and s.src = pr.subgroup and s.mes = pr.mes and s.dia = pr.dia),
 scored as (select *, price_ * quantity_ as prediction from frame),
-donor as (select store_subgroup_date_id, store_id, dia, prediction * 0.5 as total_sales from scored
+donor as (select store_subgroup_date_id, store_id, date_id, prediction * 0.5 as total_sales from scored
           where subgroup = '{PROXY_DONOR}'),
 preds as (select store_subgroup_date_id, prediction as total_sales from scored
           where subgroup not in ('{PROXY_DONOR}', '{PROXY_TARGET}')
           union all select store_subgroup_date_id, total_sales from donor
           union all select s.store_subgroup_date_id, d.total_sales from scored s
-                    left join donor d on s.store_id = d.store_id and s.dia = d.dia where s.subgroup = '{PROXY_TARGET}')"""
+                    left join donor d on s.store_id = d.store_id and s.date_id = d.date_id where s.subgroup = '{PROXY_TARGET}')"""
 
 
 def _frame(spark, sf, step: str):
+    """Scoring frame with the F6 (one week for all days) or F7 (day by day) forecast as price."""
     p = Pipeline(spark, sf)
+    daily, keys = p.daily_written, q_series.KEYS
+    seen = panel.period_median(daily, keys, step).withColumn("price_median", F.round("price_median", 8))
+    last = assemble.last_value_price(seen, keys, "price_median")
+    lowest = seen.groupBy(*keys).agg(F.min("price_median").alias("lowest"))
+    price = assemble.forecast_price(q_series.forecasts(p, step, HORIZON[step]), lowest, keys)
     if step == "week":
-        obs = panel.period_median(p.daily_written, ["store_id", "subgroup"], "week").withColumn(
-            "price_median", F.round("price_median", 8))
-        price = assemble.last_value_price(obs, ["store_id", "subgroup"], "price_median").drop("t_last")
-        keys = ["store_id", "subgroup"]
+        price, on = price.drop("t_forecast"), keys
     else:
-        obs = panel.period_median(p.daily_written, ["store_id", "subgroup"], "day").withColumn(
-            "price_median", F.round("price_median", 8))
-        last = assemble.last_value_price(obs, ["store_id", "subgroup"], "price_median")
-        end = obs.agg(F.max("t")).scalar()
-        days = F.sequence(F.date_add(end, 1), F.date_add(end, 7))
-        price = last.select("store_id", "subgroup", "price_", F.explode(days).alias("date_id"))
-        keys = ["store_id", "subgroup", "date_id"]
-    from pricewise.operators import demand
-    profile = demand.early_january_profile(p.daily_written)
-    return p, assemble.score_frame(p.ids_written, p.stores_open, price, keys, profile,
+        price, on = price.withColumnRenamed("t_forecast", "date_id"), [*keys, "date_id"]
+    profile = demand.horizon_profile(daily, assemble.split_ids(p.ids_written))
+    return p, assemble.score_frame(p.ids_written, p.stores_open, last, price, on, profile, demand.series_facts(daily),
                                    PROXY_DONOR, PROXY_TARGET)
 
 
 @register("j12_j13_p16_score_frame_weekly", W(_assembly_sql("week") + """
 select store_subgroup_date_id, store_id, subgroup, date_id, brand, region, store_type, mes, dia, anio,
-       price_, quantity_ from frame"""))
+       category, group_name, price_, quantity_ from frame"""))
 def j12(spark, sf):
     _, frame = _frame(spark, sf, "week")
     return frame.select("store_subgroup_date_id", "store_id", "subgroup", "date_id", "brand", "region",
-                        "store_type", "mes", "dia", "anio", "price_", "quantity_")
+                        "store_type", "mes", "dia", "anio", "category", "group_name", "price_", "quantity_")
 
 
 @register("j14_p20_u1_proxy_predictions_daily", W(_assembly_sql("day") + """
@@ -290,8 +315,6 @@ def m16g(spark, sf):
     p, frame = _frame(spark, sf, "week")
     fitted = model.boosted_trees("total_sales_", model.DEMAND_FEATURES).fit(
         _with_split(p).filter(F.col("split") == "train"))
-    feats = frame.withColumns({"category": F.lit(None).cast("string"),
-                               "group_name": F.lit(None).cast("string")})
-    scored = model.predict(fitted, feats.withColumn("price_", F.coalesce("price_", F.lit(0.0))))
+    scored = model.predict(fitted, frame.filter("price_ IS NOT NULL"))   # unpriced ids are null in the back-fill
     preds = assemble.proxy_predictions(scored, PROXY_DONOR, PROXY_TARGET)
     return assemble.back_fill(p.ids_written, preds)

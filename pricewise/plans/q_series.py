@@ -10,15 +10,15 @@ from pricewise.plans.oracle import with_fixtures as W
 from pricewise.plans.registry import Pipeline, register, rounded
 from pricewise.session import materialize
 
-# Panel grain for the registered queries: store x category (the store x subgroup leaf
-# is almost empty at test scale; the operators take any keys).
-KEYS = ["store_id", "category"]
-KEYS_SQL = "store_id, category"
+# Panel grain: store x subgroup, of the series with more than MIN_OBS observed periods.
+KEYS = ["store_id", "subgroup"]
+KEYS_SQL = "store_id, subgroup"
+MIN_OBS = 5
 SEASON = {"week": 52, "day": 7}
 
 
 def _obs(p: Pipeline, step: str):
-    obs = panel.period_median(p.daily, KEYS, step)
+    obs = panel.long_observations(panel.period_median(p.daily_written, KEYS, step), KEYS, MIN_OBS)
     # Medians are rounded once at the source so every later step is reproducible.
     return obs.withColumn("price_median", F.round("price_median", 8))
 
@@ -42,18 +42,20 @@ def _panel_sql(step: str) -> str:
     trunc = {"week": "cast(date_trunc('week', date_id) as date)", "day": "date_id"}[step]
     interval = {"week": "interval 7 day", "day": "interval 1 day"}[step]
     return f"""
-obs as (select {KEYS_SQL}, {trunc} as t, round(quantile_cont(price_, 0.5), 8) as price_median
-        from daily group by 1, 2, 3),
+obs as (select * exclude (n_obs) from (
+          select *, count(*) over (partition by {KEYS_SQL}) as n_obs from (
+            select {KEYS_SQL}, {trunc} as t, round(quantile_cont(price_, 0.5), 8) as price_median
+            from daily group by 1, 2, 3)) where n_obs > {MIN_OBS}),
 bounds as (select min(t) as lo, max(t) as hi from obs),
 cal as (select cast(g.t as date) as t from bounds, unnest(generate_series(bounds.lo::timestamp, bounds.hi::timestamp,
         {interval})) as g(t)),
 cal2 as (select t, {_idx_sql(step)} as idx, cast(weekofyear(t) as int) as iso_week, cast(isoyear(t) as int) as iso_year,
          cast(floor((dayofyear(t) - 1) / 7) + 1 as int) as simple_week, cast(year(t) as int) as year from cal),
 series as (select distinct {KEYS_SQL} from obs),
-grid as (select s.store_id, s.category, c.t, c.idx, c.iso_week, c.iso_year, c.simple_week, c.year
+grid as (select s.store_id, s.subgroup, c.t, c.idx, c.iso_week, c.iso_year, c.simple_week, c.year
          from series s, cal2 c),
 dense as (select g.*, o.price_median from grid g left join obs o
-          on g.store_id = o.store_id and g.category = o.category and g.t = o.t),
+          on g.store_id = o.store_id and g.subgroup = o.subgroup and g.t = o.t),
 win as (select *,
   last_value(price_median ignore nulls) over (partition by {KEYS_SQL} order by t
       rows between unbounded preceding and current row) as pv,
@@ -64,7 +66,7 @@ win as (select *,
   first_value(case when price_median is not null then idx end ignore nulls) over (partition by {KEYS_SQL} order by t
       rows between current row and unbounded following) as ni
   from dense),
-pf as (select store_id, category, t, idx, iso_week, iso_year, simple_week, year, price_median,
+pf as (select store_id, subgroup, t, idx, iso_week, iso_year, simple_week, year, price_median,
   case when price_median is not null then price_median
        when pv is not null and nv is not null then pv + (nv - pv) * cast(idx - pi as double) / cast(ni - pi as double)
        when pv is not null then pv else nv end as median_price from win)"""
@@ -82,17 +84,31 @@ def f1(spark, sf):
 
 # ----------------------------------------------------------------------------- F2/F3: dense panels
 
-PANEL_COLS = "store_id, category, t, idx, iso_week, iso_year, simple_week, year, price_median, median_price"
+# A panel has millions of rows at small scale already: the queries return every series with
+# its length, span and sums over all its periods (which weigh each value by its place).
+PANEL_SQL = """
+select store_id, subgroup, count(*) as n, count(price_median) as n_observed, min(t) as t_first, max(t) as t_last,
+       min(median_price) as lowest, max(median_price) as highest, round(sum(median_price), 2) as total,
+       round(sum(median_price * (idx % 7)), 2) as by_idx, cast(sum(iso_week + iso_year + simple_week + year) as bigint) as labels
+from pf group by 1, 2"""
 
 
-@register("f2_weekly_panel_gap_filled", W(f"with {_panel_sql('week')} select {PANEL_COLS} from pf"))
+def _panel_summary(filled):
+    return filled.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.count("price_median").alias("n_observed"), F.min("t").alias("t_first"), F.max("t").alias("t_last"),
+        F.min("median_price").alias("lowest"), F.max("median_price").alias("highest"), F.round(F.sum("median_price"), 2).alias("total"),
+        F.round(F.sum(F.col("median_price") * (F.col("idx") % 7)), 2).alias("by_idx"),
+        F.sum(F.col("iso_week") + F.col("iso_year") + F.col("simple_week") + F.col("year")).cast("long").alias("labels"))
+
+
+@register("f2_weekly_panel_gap_filled", W(f"with {_panel_sql('week')} {PANEL_SQL}"))
 def f2(spark, sf):
-    return _panel(Pipeline(spark, sf), "week").select(*PANEL_COLS.split(", "))
+    return _panel_summary(_panel(Pipeline(spark, sf), "week"))
 
 
-@register("f3_daily_panel_gap_filled", W(f"with {_panel_sql('day')} select {PANEL_COLS} from pf"))
+@register("f3_daily_panel_gap_filled", W(f"with {_panel_sql('day')} {PANEL_SQL}"))
 def f3(spark, sf):
-    return _panel(Pipeline(spark, sf), "day").select(*PANEL_COLS.split(", "))
+    return _panel_summary(_panel(Pipeline(spark, sf), "day"))
 
 
 @register("j9_calendar_attributes", W(f"""
@@ -151,38 +167,38 @@ stats as (select {KEYS_SQL}, count(y) as n, max(t) as t_last, max(idx) as idx_la
 steps as (select *, unnest(range(1, {horizon} + 1)) as h from stats),
 fc as (select {KEYS_SQL}, cast(h as int) as h, t_last + cast({shift} as int) as t_forecast, n, last as f_last, round(mean, 6) as f_mean,
        round(last + h * ((last - first) / nullif(n - 1, 0)), 6) as f_drift,
-       round(b, 6) as ar_slope, round(c, 2) as ar_intercept,
+       round(b, 6) as ar_slope, round(c, 1) + 0.0 as ar_intercept,
        round(case when b = 1 then last + h * c else c * (1 - pow(b, h)) / (1 - b) + pow(b, h) * last end, 2) as f_ar1,
        idx_last - {season} + ((h - 1) % {season}) + 1 as sidx from steps)
-select fc.store_id, fc.category, h, t_forecast, n, f_last, f_mean, f_drift, ar_slope, ar_intercept, f_ar1,
+select fc.store_id, fc.subgroup, h, t_forecast, n, f_last, f_mean, f_drift, ar_slope, ar_intercept, f_ar1,
        pf.median_price as f_snaive
-from fc left join pf on fc.store_id = pf.store_id and fc.category = pf.category and fc.sidx = pf.idx"""
+from fc left join pf on fc.store_id = pf.store_id and fc.subgroup = pf.subgroup and fc.sidx = pf.idx"""
 
 
-def _forecasts(spark, sf, step: str, horizon: int):
+def forecasts(p: Pipeline, step: str, horizon: int):
     # The filled panel feeds two passes (series statistics and the seasonal lookup):
     # write it once rather than recompute its windows.
-    filled = materialize(_panel(Pipeline(spark, sf), step), f"panel-{step}")
+    filled = materialize(_panel(p, step), f"panel-{step}")
     fc = forecast.baseline_forecasts(filled, KEYS, "median_price", step, horizon, SEASON[step])
     return fc.withColumns({
         "f_drift": F.round("f_drift", 6), "f_mean": F.round("f_mean", 6), "ar_slope": F.round("ar_slope", 6),
-        "ar_intercept": F.round("ar_intercept", 2), "f_ar1": F.round("f_ar1", 2)})
+        "ar_intercept": F.round("ar_intercept", 1) + F.lit(0.0), "f_ar1": F.round("f_ar1", 2)})
 
 
 @register("f6_weekly_forecast_h1", W(_forecast_sql("week", 1)))
 def f6(spark, sf):
-    return _forecasts(spark, sf, "week", 1)
+    return forecasts(Pipeline(spark, sf), "week", 1)
 
 
 @register("f7_daily_forecast_h7", W(_forecast_sql("day", 7)))
 def f7(spark, sf):
-    return _forecasts(spark, sf, "day", 7)
+    return forecasts(Pipeline(spark, sf), "day", 7)
 
 
 @register("f8_horizon_dates", W(f"""
 select {KEYS_SQL}, h, t_forecast from ({_forecast_sql('day', 7)})"""))
 def f8(spark, sf):
-    return _forecasts(spark, sf, "day", 7).select(*KEYS, "h", "t_forecast")
+    return forecasts(Pipeline(spark, sf), "day", 7).select(*KEYS, "h", "t_forecast")
 
 
 @register("f6b_weekly_ar_forecast")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -25,7 +28,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("PRICEWISE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("PRICEWISE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
+        if not _is_local(spark) and re.match(r"(file:/*)?/?tmp/", current):
+            raise RuntimeError(f"{current} is a machine-local folder; executors on other machines cannot see it")
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
@@ -62,14 +67,51 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/pricewise-{name}-{uuid.uuid4().hex[:12]}"
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
+
+
 def materialize(df, name: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor recomputes from the written files, not from the
     raw scan) and lets several consumers share one computation.  Unlike
     ``DataFrame.checkpoint`` it computes the plan once and stores it columnar.
+    The result may be read until ``release`` or the end of the process deletes the files.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete all intermediate tables written so far; results that still read them end with it."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session has ended: the folder's owner cleans up
+            _WRITTEN.clear()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package (once per application), so that functions sent to
+    Python workers can be imported there without an installed copy."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="pricewise-ship-"), "pricewise.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("pricewise", os.path.relpath(full, package)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)

@@ -53,18 +53,9 @@ class RetailTables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def fact(self, name: str, columns: list[str]) -> DataFrame:
-        """A fact table scan, spread over the cluster when the files give fewer splits
-        than there are task slots (one big unsplittable file would otherwise run as
-        one task).  Well-split inputs are left alone: no shuffle is added.  The spread
-        hashes every selected column (the row's content), not one business key, so a
-        hot key does not pile up in one task; it is deterministic, so a retried task
-        gets the same rows without the sort a round-robin spread needs, and later
-        plans may use scalar subqueries inside aggregates (a row id would forbid it)."""
-        df = self.raw(name).select(*columns)
-        slots = self.spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots, *columns)
-        return df
+        """A fact table scan as the files are split: Catalyst prunes it to the columns that the
+        query needs, and results do not depend on the size of the cluster."""
+        return self.raw(name).select(*columns)
 
     @cached_property
     def stores(self) -> DataFrame:

@@ -79,3 +79,37 @@ def test_ar_forecast_recovers_ar1(spark):
 def test_short_series_falls_back_to_last_value():
     f, model = forecast.fit_ar(np.array([3.0, 4.0]), 2, season=0)
     assert model == "last" and list(f) == [4.0, 4.0]
+
+
+def _ar1_series(rng, n=250):
+    y = [100.0]
+    for _ in range(n):
+        y.append(max(1.0, 30 + 0.7 * y[-1] + rng.normal(0, 5)))
+    return np.array(y)
+
+
+def test_order_choice_ignores_the_unit_and_seldom_finds_a_season():
+    rng = np.random.default_rng(1)
+    seasonal = 0
+    for _ in range(40):
+        y = _ar1_series(rng)
+        f, model = forecast.fit_ar(y, 2, season=52)
+        scaled, same = forecast.fit_ar(y * 1e-7, 2, season=52)
+        assert model == same and np.allclose(scaled, f * 1e-7)
+        assert (f >= y.min()).all()
+        seasonal += "s=" in model or "D=" in model
+    assert seasonal <= 8
+
+
+def test_backtest_beats_seasonal_naive_and_finds_a_real_season():
+    rng = np.random.default_rng(2)
+    ar, naive = [], []
+    for _ in range(30):
+        y = _ar1_series(rng)
+        ar.append(abs(forecast.fit_ar(y[:-1], 1, season=52)[0][0] - y[-1]))
+        naive.append(abs(y[-53] - y[-1]))
+    assert np.mean(ar) < np.mean(naive)
+    t = np.arange(300)
+    y = 100 + 20 * np.sin(2 * np.pi * t / 52) + rng.normal(0, 1, 300)
+    f, model = forecast.fit_ar(y, 4, season=52)
+    assert "52" in model and np.allclose(f, 100 + 20 * np.sin(2 * np.pi * (300 + np.arange(4)) / 52), atol=4)
