@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewise.session import ship_package as ship
+
 #: The six ASCII white-space bytes that separate words, as ``bytes.split()`` does.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package (once per application), so that functions sent
-    to Python workers can be imported there without an installed copy."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    import tempfile
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="pricewise-ship-"), "pricewise.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(package):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("pricewise", os.path.relpath(full, package)))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
