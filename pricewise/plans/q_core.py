@@ -310,7 +310,7 @@ def a1(spark, sf):
 select subgroup, round(sum(total_sales_), 2) as demand, round(sum(quantity_), 2) as quantity
 from daily group by subgroup"""))
 def a2(spark, sf):
-    out = demand.total_by(Pipeline(spark, sf).daily, "subgroup", "total_sales_", with_quantity="quantity_")
+    out = demand.total_by(Pipeline(spark, sf).tx.withColumn("quantity_", C.quantity_from_sales()), "subgroup", "total_sales", with_quantity="quantity_")
     return rounded(out, 2, "demand", "quantity")
 
 
@@ -329,7 +329,7 @@ def a2c(spark, sf):
 @register("a2_demand_by_brand", W("""
 select brand, round(sum(total_sales_), 2) as demand from daily group by brand"""))
 def a2d(spark, sf):
-    return rounded(demand.total_by(Pipeline(spark, sf).daily, "brand", "total_sales_"), 2, "demand")
+    return rounded(demand.total_by(Pipeline(spark, sf).tx, "brand", "total_sales"), 2, "demand")
 
 
 @register("a3_margin_by_subgroup", W("""

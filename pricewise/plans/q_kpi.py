@@ -72,7 +72,7 @@ select case when grouping_id(group_name, subgroup) = 0 then subgroup
        round(sum(total_sales_), 2) as value, cast(grouping_id(group_name, subgroup) as int) as level
 from daily group by rollup(group_name, subgroup)"""))
 def a21(spark, sf):
-    t = kpi.rollup_tree(Pipeline(spark, sf).daily, "group_name", "subgroup", "total_sales_")
+    t = kpi.rollup_tree(Pipeline(spark, sf).tx, "group_name", "subgroup", "total_sales")
     return rounded(t.withColumn("level", F.col("level").cast("int")), 2, "value")
 
 
@@ -82,7 +82,7 @@ r as (select *, rank() over (order by demand desc) <= 9 as in_set from t),
 g as (select in_set, sum(demand) as total from r group by in_set)
 select in_set, round(total, 2) as total, round(100 * total / sum(total) over (), 6) as pct from g"""))
 def a22(spark, sf):
-    t = rounded(demand.total_by(Pipeline(spark, sf).daily, "subgroup", "total_sales_"), 2, "demand")
+    t = rounded(demand.total_by(Pipeline(spark, sf).tx, "subgroup", "total_sales"), 2, "demand")
     top = kpi.top_k_with_ties(t, "demand", 9).select("subgroup", F.lit(True).alias("in_set"))
     flagged = t.join(top, "subgroup", "left").withColumn("in_set", F.coalesce("in_set", F.lit(False)))
     out = kpi.share_of_total(flagged, F.col("in_set"), "demand")
@@ -173,7 +173,7 @@ def w6(spark, sf):
 select subgroup, demand from (select subgroup, round(sum(total_sales_), 2) as demand,
        rank() over (order by round(sum(total_sales_), 2) desc) as r from daily group by subgroup) where r <= 10"""))
 def t1(spark, sf):
-    t = rounded(demand.total_by(Pipeline(spark, sf).daily, "subgroup", "total_sales_"), 2, "demand")
+    t = rounded(demand.total_by(Pipeline(spark, sf).tx, "subgroup", "total_sales"), 2, "demand")
     return kpi.top_k_with_ties(t, "demand", 10)
 
 
@@ -223,11 +223,11 @@ s as (select coalesce(store_type, 'Unknown') as store_type, count(*) as n_stores
 select d.store_type, demand, n_stores from d left join s on d.store_type = s.store_type"""))
 def j11(spark, sf):
     p = Pipeline(spark, sf)
-    d = rounded(demand.total_by(p.daily, "store_type", "total_sales_"), 2, "demand")
+    d = rounded(demand.total_by(enrich.label_unknown(p.tx), "store_type", "total_sales"), 2, "demand")
     s = demand.count_by(enrich.label_unknown(p.rt.stores), "store_type")
     return d.join(s, "store_type", "left")
 
 
 @register("u3_distinct_series", W("select distinct store_id, subgroup from daily"))
 def u3(spark, sf):
-    return Pipeline(spark, sf).daily.select("store_id", "subgroup").distinct()
+    return Pipeline(spark, sf).tx.select("store_id", "subgroup").distinct()
