@@ -37,7 +37,8 @@ LENGTH = 100
 KMER = 32
 #: Bits of the document filter (its words come to the driver: 2 MB).
 FILTER_BITS = 24
-#: Windows that one sort holds.
+#: Bytes of text whose anchors are found at once, and strings that one sort holds.
+SLICE = 1_000_000
 SORTED = 400_000
 
 #: One run of strings with a common anchor: hashes of anchor and context, hashes of the bytes on either
@@ -204,21 +205,27 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> Da
 
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=SLICE):
                 firsts, later = settle(runs_of(text_bytes(part.column("text")), part.column("doc_id").to_pylist(), length, kmer))
                 bucket = (firsts["anchor"] % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 firsts, bucket = firsts[order], bucket[order]
                 cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)] if len(bucket) else np.zeros(1, int)
-                rows = [_packed(firsts[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-                spans = _run_spans(later, length).to_pylist()
+                rows = [_packed(firsts[a:b]) for a, b in zip(cuts[:-1], cuts[1:])] or [_packed(firsts)]
+                settled = _run_spans(later, length)
+                buckets_of = [int(bucket[a]) for a in cuts[:-1]] or [0]
+                # what is settled here goes along with the first bucket
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[a]) for a in cuts[:-1]] + [None] * len(spans), pa.int32()), pa.array(rows + [None] * len(spans), pa.binary()),
-                     pa.array([None] * len(rows) + spans, pa.struct([("known", pa.bool_()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))],
-                    names=["bucket", "runs", "span"])
+                    [pa.array(buckets_of, pa.int32()), pa.array(rows, pa.binary()), pa.array([_ipc(settled)] + [None] * (len(rows) - 1), pa.binary())],
+                    names=["bucket", "runs", "spans"])
 
     def meet(batches: Iterator[pa.RecordBatch]):
-        held = [_unpacked(x) for batch in batches for x in batch.column("runs").to_pylist()]
+        held = []
+        for batch in batches:
+            held += [_unpacked(x) for x in batch.column("runs").to_pylist()]
+            for x in batch.column("spans").to_pylist():
+                if x is not None:
+                    yield _wide(_of_ipc(x), np.zeros(0, RUN))
         if held:
             runs = np.concatenate(held)
             held.clear()
@@ -226,10 +233,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> Da
             yield _wide(_run_spans(later, length), np.zeros(0, RUN))
             yield _wide(_run_spans(later[:0], length), undecided(firsts))
 
-    emitted = materialize(texts(docs).mapInArrow(emit, f"bucket int, runs binary, span struct<{SPAN.replace(' ', ':').replace(',:', ',')}>"), "runs")
-    met = materialize(emitted.filter("bucket IS NOT NULL").select("bucket", "runs").repartition(tasks, "bucket").select("runs")
+    emitted = texts(docs).mapInArrow(emit, "bucket int, runs binary, spans binary")
+    met = materialize(emitted.repartition(tasks, "bucket").select("runs", "spans")
                       .mapInArrow(meet, f"{SPAN}, at long, before int, more int, anchor long"), "settled")
-    spans = emitted.filter("span IS NOT NULL").select("span.*").unionByName(met.filter("at IS NULL").select(*KEY, "a", "b"))
+    spans = met.filter("at IS NULL").select(*KEY, "a", "b")
     open_ = met.filter("at IS NOT NULL").groupBy(*KEY).agg(F.collect_set(F.struct("at", "before", "more", "anchor")).alias("runs"))
     open_ = materialize(open_, "undecided")
 
@@ -271,6 +278,18 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out
 
 
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _of_ipc(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as found:
+        return next(iter(found))
+
+
 def _wide(spans: pa.RecordBatch, runs: np.ndarray) -> pa.RecordBatch:
     """Spans and undecided runs as rows of one schema."""
     n, m = spans.num_rows, len(runs)
