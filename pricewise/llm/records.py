@@ -17,10 +17,12 @@ without rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ MAGIC = b"TOKREC1\n"
 HEADER_BYTES = len(MAGIC) + 1
 ENTRY = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
 #: Words whose ids a worker remembers, and records that are read at once.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 READ_RECORDS = 2_000
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
@@ -68,34 +70,86 @@ def _open(path: str):
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
+def _alphabet() -> dict[int, int]:
+    """Byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_ALPHABET = _alphabet()
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that never joins across ASCII white space: each
-    distinct word goes to the library once while it is remembered."""
+    """Ids of whole texts by a tokenizer that lower-cases, and that joins nothing across ASCII white
+    space nor across the border between an ASCII letter or digit and a final full stop or comma.
+
+    Each distinct word goes to the library once while it is remembered: as its core (A-Z in lower
+    case) and its final mark.  A core of letters that normalization leaves as it is is one piece, so
+    it goes to the library's model directly, bytes written as its alphabet; any other passes the whole chain.
+    """
 
     def __init__(self, source: str, width: int, cached: int = CACHED_WORDS):
         self.source, self.width, self.cached = source, width, cached
         self.tokenizer = None
-        self.known: dict[bytes, bytes] = {}
+        self.words: list[dict[bytes, bytes]] = [{}, {}]
+        self.cores: list[dict[bytes, bytes]] = [{}, {}]
 
     def __reduce__(self):
         return WordEncoder, (self.source, self.width, self.cached)
 
+    def _load(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores already
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_str(self.source)
+        self.tokenizer.encode_special_tokens = True
+        self.code = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size() + 1)]
+
+    def _recall(self, memory: list[dict], wanted: set[bytes]) -> set[bytes]:
+        """What ``memory`` (this generation and the one before) lacks; what is found is in
+        the newer one afterwards.  A full generation becomes the old one."""
+        if len(memory[0]) + len(wanted) > self.cached:
+            memory[:] = [{}, memory[0]]
+        new, old = memory
+        missing = wanted.difference(new)
+        again = {w: old[w] for w in missing if w in old}
+        new.update(again)
+        return missing.difference(again)
+
+    def _learn(self, cores: list[bytes]) -> None:
+        code, model, rest = self.code, self.tokenizer.model, []
+        for core in cores:
+            if core.isalpha():  # of bytes: ASCII letters only
+                piece = core.decode()
+            else:
+                text = core.decode("utf-8", "replace")
+                if not text.isalpha() or text != text.lower() or not is_normalized("NFC", text):
+                    rest.append(core)
+                    continue
+                piece = core.decode("latin-1").translate(_ALPHABET)
+            self.cores[0][core] = b"".join([code[t.id] for t in model.tokenize(piece)])
+        for i in range(0, len(rest), 5_000):
+            part = rest[i:i + 5_000]
+            found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
+            self.cores[0].update((c, b"".join([code[t] for t in x.ids])) for c, x in zip(part, found))
+
     def __call__(self, data: list[bytes]) -> list[bytes]:
         if self.tokenizer is None:
-            from tokenizers import Tokenizer
-            self.tokenizer = Tokenizer.from_str(self.source)
-            self.tokenizer.encode_special_tokens = True
-        words = [t.split() for t in data]
-        missing = sorted({w for ws in words for w in ws if w not in self.known})
-        if len(missing) + len(self.known) > self.cached:
-            self.known.clear()
-            missing = sorted({w for ws in words for w in ws})
-        kind = f"<u{self.width}"
-        for i in range(0, len(missing), 10_000):
-            part = missing[i:i + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(x.ids, kind).tobytes()) for w, x in zip(part, found))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+            self._load()
+        texts_words = [t.split() for t in data]
+        distinct = set().union(*texts_words)
+        missing = self._recall(self.words, distinct)
+        split = {}
+        for w in missing:
+            low = w.lower()
+            split[w] = (low[:-1], low[-1:]) if low[-1] in b".," and low[-2:-1].isalnum() else (low, b"")
+        new = self._recall(self.cores, {c for pair in split.values() for c in pair if c})
+        self._learn(list(new))
+        cores = self.cores[0]
+        cores[b""] = b""
+        self.words[0].update((w, cores[a] + cores[b]) for w, (a, b) in split.items())
+        words = self.words[0]
+        return [b"".join(map(words.__getitem__, ws)) for ws in texts_words]
 
 
 def write_records(docs: DataFrame, encoder: Callable[[list[bytes]], list[bytes]], width: int, end_id: int, folder: str) -> DataFrame:

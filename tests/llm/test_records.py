@@ -32,12 +32,22 @@ def expect(rows, library):
 
 def test_records_hold_the_library_ids_in_order(spark, library):
     rows = [r for r in odd_rows() if r[0] not in (None, 30)]
-    rows += [(600, "a\u0085b c　d é ́x Å Σας ΣΑΣ <|endoftext|> don't\x1cwe'll \x0b\x0c q"), (601, "İstanbul ǅ ﬁ 가"), (-5, "negative id")]
+    rows += [(600, "a\u0085b c　d é ́x Å Σας ΣΑΣ <|endoftext|> don't\x1cwe'll \x0b\x0c q"), (601, "İstanbul ǅ ﬁ 가"), (602, "End. end, END. ... a... b., .c ,d e.̸ f,̸ ≠ 3. x9, don't. I'S. é. 's, 'S. <|startoftext|>. Á, q'll,"), (-5, "negative id")]
     random.Random(1).shuffle(rows)
     got = R.tokenized(documents(spark, rows, "start n_tokens hash"), PATH, 2).drop("ids").collect()
     assert sorted(map(tuple, got)) == expect(sorted((r[0], r[1]) for r in rows), library)
 
 
+def test_words_by_core_and_mark_equal_the_library(library):
+    rng = random.Random(8)
+    encoder, width = R.encoder_of(PATH, 2)
+    texts = ["".join(rng.choice("abAB'’.,;:-!sStTlLrReEvVmMdD019éÉñ̸́ \n") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    small = R.WordEncoder(encoder.source, width, cached=50)
+    for found in (encoder([t.encode() for t in texts]), [small([t.encode()])[0] for t in texts]):
+        for t, ids in zip(texts, found):
+            assert np.frombuffer(ids, "<u2").tolist() == library(t)[:-1], t
+
+
 def test_same_and_null_ids_and_empty_table(spark, library):
     rows = [(None, "a b"), (None, "c"), (3, "x"), (3, "x"), (3, "y z")]
     got = sorted(R.tokenized(documents(spark, rows), PATH, 2).drop("ids").collect(), key=lambda r: r.start)
