@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pricewise.llm.common import texts
 
 #: Documents that the dictionary of common words is taken from, its entries, their most bytes.
-SAMPLE_DOCUMENTS = 40_000
-DICTIONARY_WORDS = 131_072
+SAMPLE_DOCUMENTS = 20_000
+DICTIONARY_WORDS = 32_768
 DICTIONARY_BYTES = 48
 #: Runs of more pieces merge all places of a rank in one step.
 LONG = 256
