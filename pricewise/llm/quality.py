@@ -3,6 +3,8 @@
 A document's character-class and common-word histograms are compared with those of its
 language (built from all documents) by Jensen-Shannon distance.  Histograms of short
 documents are noise, so each comparison has a minimum length below which it passes.
+The limit of the word distance comes from the reference itself (``word_limit``): it lies between
+the distances of short texts drawn from the reference and that of a text without common words.
 
 Cases: a null text has no words (``base_failed``); a null, unknown or rare language is compared with
 the nearest reference; without any reference the divergence rules pass; repeated rows get
@@ -30,7 +32,11 @@ MAX_REFERENCES = 500
 MIN_CHARS = 200
 MIN_WORDS = 100
 MAX_CHAR_DISTANCE = 0.30
+#: Never more than this, whatever the reference's own limit is.
 MAX_WORD_DISTANCE = 0.62
+#: Texts drawn from a reference for its own limit, and the share of them that it must keep.
+DRAWS = 1_000
+DRAWN_KEPT = 0.99
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -80,6 +86,33 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (kl(p) + kl(q)) / 2) ** 0.5
 
 
+def js_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``js_distance`` of every row of ``p`` to ``q``."""
+    p, q = p / p.sum(axis=1, keepdims=True), q / q.sum()
+    m = (p + q) / 2
+
+    def kl(a):
+        return np.where(a > 0, a * np.log2(np.where(a > 0, a, 1) / np.where(m > 0, m, 1)), 0).sum(axis=1)
+
+    return np.sqrt(np.maximum(0, (kl(p) + kl(q)) / 2))
+
+
+def word_limit(ref: np.ndarray, min_words: int = MIN_WORDS) -> tuple[int, float]:
+    """(words, limit): from that many words on, texts further than the limit from ``ref`` (counts of
+    the common words, then of all others) use the common words unlike the language.  The limit is
+    halfway between the distance that ``DRAWN_KEPT`` of the texts drawn from ``ref`` keep and the
+    distance of a text without a common word; where common words are so rare that short texts
+    drawn from ``ref`` get near the latter, more words are asked for."""
+    none = js_distance(np.array([0.0] * (len(ref) - 1) + [1.0]), ref)
+    words, rng = min_words, np.random.default_rng(7)
+    while words < 1 << 30:
+        drawn = float(np.quantile(js_distances(rng.multinomial(words, ref / ref.sum(), size=DRAWS), ref), DRAWN_KEPT))
+        if drawn < 0.9 * none:
+            return words, (drawn + none) / 2
+        words *= 2
+    return words, 1.0
+
+
 def references(docs: DataFrame, common: int = COMMON_WORDS, min_words: int = MIN_REFERENCE_WORDS,
                max_references: int = MAX_REFERENCES) -> dict[str, tuple[list[float], dict[bytes, float], float]]:
     """Per language: byte-class counts, counts of its most common words, and the count of
@@ -134,12 +167,13 @@ class Judge:
                  min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS):
         self.max_char, self.max_word, self.min_chars, self.min_words = max_char, max_word, min_chars, min_words
         self.refs = {g: (np.array(c), list(w), np.array([*w.values(), other])) for g, (c, w, other) in sorted(refs.items())}
+        self.limits = {g: word_limit(ref, max(1, min_words)) for g, (_, _, ref) in self.refs.items()}
 
-    def distances(self, lang: str | None, text: bytes, words: list[bytes]) -> tuple[float | None, float | None]:
-        """(character distance, word distance); None where the document is too short or
-        there is nothing to compare with."""
+    def distances(self, lang: str | None, text: bytes, words: list[bytes]) -> tuple[float | None, float | None, float]:
+        """(character distance, word distance, limit of the latter); None where the document is
+        too short or there is nothing to compare with."""
         langs = [lang] if lang in self.refs else list(self.refs)
-        chars = word = None
+        chars, word, limit = None, None, self.max_word
         if langs and len(text) >= self.min_chars:
             own = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=CLASSES).astype(float)
             chars = min(js_distance(own, self.refs[g][0]) for g in langs)
@@ -150,16 +184,17 @@ class Judge:
                 _, common, ref = self.refs[g]
                 own = np.array([seen[w] for w in common] + [0.0])
                 own[-1] = len(words) - own.sum()
-                found.append(js_distance(own, ref))
-            word = min(found)
-        return chars, word
+                least, most = self.limits[g]
+                found.append((js_distance(own, ref), min(self.max_word, most) if len(words) >= least else self.max_word))
+            word, limit = min(found)
+        return chars, word, limit
 
     def evaluate(self, lang: str | None, text: bytes) -> tuple:
         words = text.split()
         stats = base_stats(text, words)
         failed = stats[0] < 10 or 100 * stats[4] > 20 * stats[0]
-        chars, word = self.distances(lang, text, words)
-        kept = not failed and (chars is None or chars <= self.max_char) and (word is None or word <= self.max_word)
+        chars, word, limit = self.distances(lang, text, words)
+        kept = not failed and (chars is None or chars <= self.max_char) and (word is None or word <= limit)
         return (*stats, failed, kept, chars, word)
 
 

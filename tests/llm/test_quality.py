@@ -71,3 +71,32 @@ def test_kept_documents_is_the_verdict_and_keeps_columns(spark):
     assert Counter(r.doc_id for r in kept.collect()) == want
     empty = documents(spark)
     assert Q.quality(empty).count() == 0 and Q.kept_documents(empty).count() == 0
+
+
+def test_long_texts_without_common_words_are_rejected(spark):
+    import random
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(64)]
+
+    def text(n, share):
+        # a third of the words are common, by Zipf's law; the others hardly ever come twice
+        return " ".join(rng.choices(common, [1 / (i + 2) for i in range(64)])[0] if rng.random() < share else f"r{rng.randrange(10 ** 6)}" for _ in range(n))
+
+    rows = [(i, text(rng.randrange(100, 900), .32), "en") for i in range(150)]
+    rows += [(200 + i, text(300, 0), g) for i, g in enumerate(["en", "en", None, "xx"])] + [(300, text(60, 0), "en"), (301, text(300, .32), None)]
+    got = {r.doc_id: r for r in Q.quality(documents(spark, rows)).collect()}
+    assert all(got[d].kept for d in got if d < 200 or d >= 300)
+    assert not any(got[d].kept or got[d].base_failed for d in range(200, 204))
+    assert all(got[d].char_distance < Q.MAX_CHAR_DISTANCE and got[d].word_distance < Q.MAX_WORD_DISTANCE for d in range(200, 204))
+
+
+def test_word_limit_asks_for_more_words_where_common_words_are_rare():
+    import numpy as np
+    rare = np.array([1.0] * 64 + [3200.0])
+    least, most = Q.word_limit(rare)
+    none = Q.js_distance(np.array([0.0] * 64 + [1.0]), rare)
+    assert least > Q.MIN_WORDS and most < none
+    drawn = np.random.default_rng(1).multinomial(least, rare / rare.sum(), size=300)
+    want = [brute_js(list(x), list(rare)) for x in drawn[:20].tolist()]
+    assert Q.js_distances(drawn[:20], rare) == pytest.approx(want)
+    assert (Q.js_distances(drawn, rare) <= most).mean() > .97
