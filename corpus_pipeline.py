@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines go; every document stays, perhaps with an empty text."""
-    return linededup.deduplicated(docs)
+    """Later copies of runs of lines and of long single lines go; every document stays, perhaps with an empty text."""
+    return linededup.deduplicated(docs, long_words=linededup.LONG_WORDS)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ leave.  The rounds end at depth ``min_lines``, where suffixes of equal rank are
 longest-common-prefix interval of at least that many lines; deeper rounds would only order
 suffixes inside an interval.  All of an interval but its first occurrence (by doc_id, then
 position) are later copies, and the lines that they cover go: the union of intervals covers
-the maximal repeated runs.
+the maximal repeated runs.  With ``long_words``, a later copy of a single line of more words
+than that is a run too: depth 1 decides it, so it takes no further round.
 
 Cases: white-space lines take no part; one goes with the line before it.  A null text stays
 null, an empty one empty.  Rows that share a doc_id are ordered by their text hash; equal
@@ -26,6 +27,8 @@ from pricewise.llm.common import texts
 from pricewise.session import materialize
 
 MIN_LINES = 2
+#: Where single lines are runs too: those of more words than this.
+LONG_WORDS = 50
 
 #: Anything but the six ASCII white-space characters.
 _VISIBLE = r"[^\x20\x09-\x0D]"
@@ -55,12 +58,21 @@ def _ranked(suffixes: DataFrame, parts: list[str], name: str) -> DataFrame:
     return materialize(ordered, name)
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(key, pos): every position whose next ``min_lines`` lines also start earlier."""
+def _long(line: Column, words: int) -> Column:
+    """Whether a line has more than so many words (and so at least twice as many characters)."""
+    return (F.length(line) > 2 * words) & (F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")) > words)
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
+    """(key, pos, size): every position whose next ``min_lines`` lines also start earlier, and
+    with ``long_words`` every line of more words that stands earlier, as a run of its own."""
     exploded = _keyed(texts(docs)).select("key", F.posexplode(_visible(F.col("text"))).alias("pos", "x")) \
-        .select("key", "pos", F.xxhash64("x.line").alias("left"), F.xxhash64(F.lit(1), "x.line").alias("right"))
+        .select("key", "pos", F.xxhash64("x.line").alias("left"), F.xxhash64(F.lit(1), "x.line").alias("right"),
+                *([] if long_words is None else [_long(F.col("x.line"), long_words).alias("long")]))
     suffixes = materialize(exploded, "line-ids")
     ranks = _ranked(suffixes, ["left", "right"], "line-ranks")
+    later = lambda found, size: found.filter(F.struct("key", "pos") != F.col("first")).select("key", "pos", F.lit(size).alias("size"))
+    singles = None if long_words is None else later(suffixes.filter("long").join(ranks, ["left", "right"]), 1)
     depth = 1
     while True:
         suffixes = suffixes.join(ranks, ["left", "right"]).select("key", "pos", "rank", "first")
@@ -72,7 +84,8 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
                                .filter("right IS NOT NULL"), "suffixes")
         ranks = _ranked(suffixes, ["left", "right"], "suffix-ranks")
         depth += step
-    return suffixes.filter(F.struct("key", "pos") != F.col("first")).select("key", "pos")
+    runs = later(suffixes, min_lines)
+    return runs if singles is None else runs.unionByName(singles)
 
 
 def _cut(text: Column, starts: Column, min_lines: int) -> Column:
@@ -98,20 +111,24 @@ def _cut(text: Column, starts: Column, min_lines: int) -> Column:
                                                lambda seen: let(runs(F.array_sort(starts)), lambda r: left(lines, seen, r))))
 
 
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """The rows of ``docs`` as a struct ``row``, and ``cut``: n_lines, n_removed, n_runs and
     the text left (null for a null text)."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     whole = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row))
-    starts = repeated_runs(docs, min_lines).groupBy("key").agg(F.collect_set("pos").alias("starts"))
+    found = repeated_runs(docs, min_lines, long_words)
+    if long_words is not None and min_lines > 1:  # runs of two sizes: every line that they cover starts a run of one
+        found = found.select("key", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos"))
+        min_lines = 1
+    starts = found.groupBy("key").agg(F.collect_set("pos").alias("starts"))
     joined = whole.join(starts, "key", "left")
     return joined.select("row", _cut(F.col("text"), F.coalesce("starts", F.array().cast("array<int>")), min_lines).alias("cut"))
 
 
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """``docs``, all rows and columns, without later copies; ``n_chars``, if there is one,
     follows the text."""
     new = {"text": F.when(F.col("row.text").isNotNull(), F.col("cut.text")).cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("cut.n_removed") > 0, F.length("cut.text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return dedup(docs, min_lines).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return dedup(docs, min_lines, long_words).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

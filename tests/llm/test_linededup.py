@@ -60,3 +60,48 @@ def test_documents_keep_their_columns_and_odd_rows(spark):
     assert by[(40, "three")] == 1 and by[(41, "zero\nfour")] == 2
     assert all(r.n_chars == len(r.text) for r in got if r.text is not None)
     assert L.deduplicated(documents(spark)).count() == 0
+
+
+def brute_long(rows, m, words):
+    """doc_id -> text left where later copies of runs of m lines and of single lines of more words go."""
+    runs, lines, out = set(), set(), {}
+    for d, text in sorted(rows, key=lambda r: r[0]):
+        v = visible(text)
+        gone = set()
+        for k in range(len(v)):
+            w = tuple(x for _, x in v[k:k + m])
+            if len(w) == m and w in runs:
+                gone.update(range(k, k + m))
+            if len(v[k][1].split()) > words and v[k][1] in lines:
+                gone.add(k)
+            runs.add(w)
+            lines.add(v[k][1])
+        kept, ordinal, shown = [], -1, {i for i, _ in v}
+        for i, x in enumerate((text or "").split("\n")):
+            ordinal += i in shown
+            if ordinal not in gone:
+                kept.append(x)
+        out[d] = (len(v), len(gone), sum(k in gone and k - 1 not in gone for k in range(len(v))), "\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("m", [2, 3])
+def test_long_single_lines_are_runs(spark, m):
+    rng = random.Random(20 + m)
+    long = [" ".join(f"l{i}{rng.randrange(50)}" for _ in range(n)) for i, n in enumerate((50, 51, 51, 80))]
+    rows = [(i, "\n".join(rng.choice(["a", "b", "", " \t", *long, f"u{rng.random()}", f"u{rng.random()}"]) for _ in range(rng.randrange(0, 14)))) for i in range(40)]
+    rows += [(40, long[3]), (41, long[3]), (42, "x\n" + long[1] + "\ny"), (43, long[0]), (44, None), (45, "  " + long[1].replace(" ", "  ")), (46, "\t" + long[0])]
+    docs = documents(spark, rows, "key pos cut row size long")
+    got = L.dedup(docs, m, 50).select("row.doc_id", "cut.*").collect()
+    # a null text stays null in deduplicated(); cut has no text for it
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.text) for r in got if r.doc_id != 44} == {k: v for k, v in brute_long(rows, m, 50).items() if k != 44}
+    left = {r.doc_id: r.text for r in L.deduplicated(docs, m, 50).collect()}
+    assert left[41] == "" and left[42] == "x\ny" and left[43] == long[0] and left[44] is None
+
+
+def test_the_pipeline_removes_repeated_passages_on_one_line(spark):
+    import corpus_pipeline
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = documents(spark, [(1, "one\n" + passage + "\ntwo"), (2, "three\n" + passage + "\nfour"), (3, passage), (4, "one\nfive")])
+    left = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
+    assert left == {1: "one\n" + passage + "\ntwo", 2: "three\nfour", 3: "", 4: "one\nfive"}
