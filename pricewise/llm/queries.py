@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewise.llm import bpe, decontaminate, langid, linededup, pii, quality, records, simhash, substrings, warc
+from pricewise.llm import bpe, collocation, decontaminate, langid, linededup, pii, quality, records, simhash, substrings, warc
 from pricewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,35 @@ FROM dw LEFT JOIN hit USING (row) LEFT JOIN ids USING (row)
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest(range(1, 5)) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+candidates AS (SELECT lang, m, phrase, f AS a FROM f WHERE m >= 2),
+inside AS (
+  SELECT d.lang, d.a, array_to_string(list_slice(string_split(d.phrase, ' '), i, i + k - 1), ' ') AS phrase
+  FROM candidates d, (SELECT unnest([2, 2, 2, 3, 3]) AS k, unnest([1, 2, 3, 1, 2]) AS i) WHERE k < d.m AND i + k - 1 <= d.m),
+dropped AS (SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN inside d ON c.lang = d.lang AND c.phrase = d.phrase WHERE 100 * d.a::HUGEINT >= 80 * c.a::HUGEINT),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(list_slice(string_split(phrase, ' '), 1, k), ' ') AS p, array_to_string(list_slice(string_split(phrase, ' '), k + 1, m), ' ') AS q
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) WHERE (lang, phrase) NOT IN (SELECT lang, phrase FROM dropped)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, ((2000000 * c.a::HUGEINT) // (l.f + r.f))::BIGINT AS score
+  FROM cuts c JOIN f l ON c.lang = l.lang AND c.p = l.phrase JOIN f r ON c.lang = r.lang AND c.q = r.phrase),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE r.rank <= 2000
+"""
