@@ -38,13 +38,13 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4_000_0
         yield batch.slice(start)
 
 
-def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` of a function from a (small) RecordBatch to a RecordBatch or None."""
+def map_rows(df: DataFrame, fn: Callable, schema: str, column: str = "text") -> DataFrame:
+    """``mapInArrow`` of a function from a (small) RecordBatch to a RecordBatch or None; ``column`` holds the texts."""
     ship(df.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, column):
                 out = fn(part)
                 if out is not None:
                     yield out

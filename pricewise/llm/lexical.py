@@ -94,13 +94,21 @@ def postings(docs: DataFrame, vocabulary) -> DataFrame:
     return map_rows(texts(docs), run, "doc_id long, n long, terms array<int>, tfs array<long>")
 
 
-def _tile_products(weights: np.ndarray, impacts: np.ndarray) -> np.ndarray:
-    """Exact whole-number product of float64 tiles, by runs of terms whose sums stay below 2 ** 53."""
-    heaviest = max(float(weights.max(initial=0.0)), 1.0)
-    step = int(max(1, min(TILE_TERMS, EXACT // (heaviest * TOP_IMPACT) - 1)))
-    total = np.zeros((len(weights), impacts.shape[1]), np.int64)
-    for at in range(0, weights.shape[1], step):
-        total += (weights[:, at:at + step] @ impacts[at:at + step]).astype(np.int64)
+def _tile_scores(weights: np.ndarray, here: np.ndarray, number: np.ndarray, column: np.ndarray, impact: np.ndarray, width: int) -> np.ndarray:
+    """Whole-number scores of a tile's items against ``width`` documents.  ``weights`` has a column for
+    every term of ``here``; (number, column, impact) are the documents' postings, sorted by term number.
+    A product spans so few terms that all its partial sums stay below 2 ** 53."""
+    heaviest = max(int(weights.max(initial=0)), 1)
+    step = max(1, min(TILE_TERMS, EXACT // (heaviest * TOP_IMPACT) - 1))
+    total = np.zeros((len(weights), width), np.int64)
+    for at in range(0, len(here), step):
+        run = here[at:at + step]
+        some = slice(np.searchsorted(number, run[0]), np.searchsorted(number, run[-1], "right"))
+        row = np.minimum(np.searchsorted(run, number[some]), len(run) - 1)
+        known = run[row] == number[some]
+        impacts = np.zeros((len(run), width))
+        impacts[row[known], column[some][known]] = impact[some][known]
+        total += (weights[:, at:at + step] @ impacts).astype(np.int64)
     return total
 
 
@@ -151,17 +159,12 @@ def _score(block, k: int):
                 impact = (1_000_000_000 * tf) // (1000 * tf + 8 * m[some][column])
                 order = np.argsort(number, kind="stable")
                 number, column, impact = number[order], column[order], impact[order]
+                present = np.unique(number)
                 for (known, weights), held in zip(tiles, best):
-                    here, row = np.intersect1d(known, number, return_indices=True)[:2] if len(number) else (known[:0], known[:0])
-                    if not len(here):
-                        continue
-                    row = np.searchsorted(known, here)
-                    left, right = np.searchsorted(number, here), np.searchsorted(number, here, "right")
-                    which = np.repeat(np.arange(len(here)), right - left)
-                    places = np.arange(len(which)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + np.repeat(left, right - left)
-                    impacts = np.zeros((len(here), len(sizes)))
-                    impacts[which, column[places]] = impact[places]
-                    held.add(_tile_products(weights[:, row], impacts), ids[some], absent[some])
+                    here = np.intersect1d(known, present, assume_unique=True)
+                    if len(here):
+                        scores = _tile_scores(weights[:, np.searchsorted(known, here)], here, number, column, impact, len(sizes))
+                        held.add(scores, ids[some], absent[some])
         first = 0
         for (_, weights), held in zip(tiles, best):
             if len(held.item):

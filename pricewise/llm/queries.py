@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewise.llm import bpe, collocation, decontaminate, langid, linededup, pii, quality, records, simhash, substrings, warc
+from pricewise.llm import bpe, collocation, decontaminate, langid, lexical, linededup, pii, quality, records, simhash, substrings, warc, webtext
 from pricewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,36 @@ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phra
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
 SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE r.rank <= 2000
 """
+
+
+@register
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_ranked_lexical_search"] = r"""
+WITH dt AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS len FROM dt WHERE len(w) > 0),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+tf AS (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM dt) GROUP BY ALL),
+needed AS (SELECT * FROM tf WHERE term IN (SELECT term FROM items)),
+weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1)))::BIGINT AS weight
+  FROM (SELECT term, count(*)::BIGINT AS df FROM needed GROUP BY term), corpus),
+impacts AS (
+  SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // len))) AS impact FROM needed, corpus),
+scores AS (
+  SELECT i.item_id, p.row, p.doc_id, sum(w.weight * p.impact)::BIGINT AS score
+  FROM items i JOIN weights w ON i.term = w.term JOIN impacts p ON i.term = p.term GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@register
+def op13_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.main_text(table(spark, sf_dir, "pages"))
