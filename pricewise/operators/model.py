@@ -65,26 +65,46 @@ def poisson_glm(label: str, features: list[str], offset: str | None = None) -> M
     return MLPipeline(stages=[featurizer(label, features), glm])
 
 
-def smoothed_means(train: DataFrame, keys: list[str], label: str, out: str, smoothing: float = SMOOTHING) -> DataFrame:
-    """Target encoding: the label's mean per key, drawn to the overall mean by ``smoothing`` rows."""
-    prior = train.agg(F.avg(label)).scalar()
-    sums = train.groupBy(*keys).agg(F.sum(label).alias("_s"), F.count(label).alias("_n"))
-    return sums.select(*keys, ((F.col("_s") + prior * smoothing) / (F.col("_n") + smoothing)).alias(out))
-
-
 class UnitsEncoder:
-    """Store, SKU and item (store x SKU) as smoothed mean units, learned once on ``train``."""
-
-    def __init__(self, train: DataFrame, label: str = "quantity"):
-        self.overall = train.agg(F.avg(label).alias("m")).first()["m"] or 0.0
-        self.tables = {out: materialize(smoothed_means(train, keys, label, out), out)
-                       for out, keys in (("store_units", ["store_id"]), ("sku_units", ["sku"]), ("item_units", ITEM))}
+    """Store, SKU and item (store x SKU) as smoothed mean units.
+
+    ``train`` gives the training rows out-of-fold means: a row sees the labels of the other folds only, so
+    its own label never stands in its features.  Calling the encoder gives any other rows the means of all folds."""
+
+    def __init__(self, train: DataFrame, label: str = "quantity", fold: str = "fold", smoothing: float = SMOOTHING):
+        self.label, self.fold, self.smoothing = label, fold, smoothing
+        # one row a fold: a handful
+        folds = train.groupBy(fold).agg(F.sum(label).alias("s"), F.count(label).alias("n")).collect()
+        s, n = sum(r["s"] or 0.0 for r in folds), sum(r["n"] for r in folds)
+        self.overall = s / n if n else 0.0
+        self.others = {r[fold]: (s - (r["s"] or 0.0)) / (n - r["n"]) if n > r["n"] else self.overall for r in folds}
+        self.sums = {}
+        for out, keys in (("store_units", ["store_id"]), ("sku_units", ["sku"]), ("item_units", ITEM)):
+            by_fold = train.groupBy(*keys, fold).agg(F.sum(label).alias("_s"), F.count(label).alias("_n"))
+            self.sums[out] = (keys, materialize(by_fold, out))
+
+    def _mean(self, prior):
+        return (F.coalesce("_s", F.lit(0.0)) + prior * self.smoothing) / (F.coalesce("_n", F.lit(0)) + self.smoothing)
+
+    def _logs(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("log_item_units", F.ln(F.greatest("item_units", F.lit(1e-6))))
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        for out, table in self.tables.items():
-            keys = [c for c in table.columns if c != out]
-            df = df.join(table, keys, "left").withColumn(out, F.coalesce(out, F.lit(self.overall)))
-        return df.withColumn("log_item_units", F.ln(F.greatest("item_units", F.lit(1e-6))))
+        for out, (keys, sums) in self.sums.items():
+            total = sums.groupBy(*keys).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+            df = df.join(total, keys, "left").withColumn(out, self._mean(F.lit(self.overall))).drop("_s", "_n")
+        return self._logs(df)
+
+    def train(self, df: DataFrame) -> DataFrame:
+        """The training rows with the means of the folds that are not theirs."""
+        prior = F.lit(self.overall)
+        for fold, value in self.others.items():
+            prior = F.when(F.col(self.fold) == F.lit(fold), F.lit(value)).otherwise(prior)
+        for out, (keys, sums) in self.sums.items():
+            total = sums.groupBy(*keys).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
+            other = sums.join(total, keys).select(*keys, self.fold, (F.col("_ts") - F.col("_s")).alias("_s"), (F.col("_tn") - F.col("_n")).alias("_n"))
+            df = df.join(other, [*keys, self.fold], "left").withColumn(out, self._mean(prior)).drop("_s", "_n")
+        return self._logs(df)
 
 
 UNITS_MEANS = ["store_units", "sku_units", "item_units"]
@@ -117,22 +137,79 @@ def fold_id(key, k: int = 4) -> F.Column:
     return (hash_bucket(key, k) + 1).cast("int")
 
 
-def cross_validate(df: DataFrame, label: str, features: list[str], grid: list[dict],
-                   fold_col: str = "fold", k: int = 4, parallelism: int = 2) -> DataFrame:
-    """k-fold CV of a random forest over a parameter grid; mean R^2 per point.
+def vectors(df: DataFrame, label: str, features: list[str], keep: list[str], fit_on: DataFrame | None = None):
+    """(fitted featurizer, ``keep`` + features + label written once) for all models of one job (M1)."""
+    fitted = featurizer(label, features).fit(df if fit_on is None else fit_on)
+    return fitted, materialize(fitted.transform(df).select(*keep, "features", "label"), "vectors")
+
+
+def forest(num_trees: int, min_instances: int, seed: int = 250) -> RandomForestRegressor:
+    """The reference's forest on written vectors (M3)."""
+    return RandomForestRegressor(numTrees=num_trees, maxDepth=5, maxBins=40, minInstancesPerNode=min_instances, subsamplingRate=0.8,
+                                 featureSubsetStrategy="onethird", seed=seed, maxMemoryInMB=512, cacheNodeIds=False)
+
+
+def demand_gbt(max_iter: int = 20, step_size: float = 0.1, seed: int = 300) -> GBTRegressor:
+    """The reference's boosted trees on written vectors (M4)."""
+    return GBTRegressor(maxIter=max_iter, stepSize=step_size, seed=seed, maxMemoryInMB=512)
+
+
+def cross_validate(data: DataFrame, grid: list[dict], fold_col: str = "fold", k: int = 4, parallelism: int = 2) -> DataFrame:
+    """k-fold CV of a random forest over a parameter grid on written vectors; mean R^2 per point.
 
     ``CrossValidator`` needs a 0-based integer fold column.
     """
-    rf = RandomForestRegressor(maxDepth=5, maxBins=40, subsamplingRate=0.8,
-                               featureSubsetStrategy="onethird", seed=250)
-    pipe = MLPipeline(stages=[featurizer(label, features), rf])
+    rf = forest(20, 9)
     maps = [{rf.numTrees: g["num_trees"], rf.minInstancesPerNode: g["min_instances"]} for g in grid]
-    data = df.withColumn("_fold", (F.col(fold_col) - 1).cast("int"))
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
-                        evaluator=RegressionEvaluator(metricName="r2"),
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="r2"),
                         foldCol="_fold", numFolds=k, parallelism=parallelism, collectSubModels=False)
-    fitted = cv.fit(data)
-    spark = df.sparkSession
+    fitted = cv.fit(data.withColumn("_fold", (F.col(fold_col) - 1).cast("int")))
     rows = [(int(m[rf.numTrees]), int(m[rf.minInstancesPerNode]), float(s), float(sd))
             for m, s, sd in zip(maps, fitted.avgMetrics, fitted.stdMetrics)]
-    return spark.createDataFrame(rows, "num_trees int, min_instances int, r2_mean double, r2_sd double")
+    return data.sparkSession.createDataFrame(rows, "num_trees int, min_instances int, r2_mean double, r2_sd double")
+
+
+def r2_of(df: DataFrame, predictions: dict[str, object], label: str = "label") -> dict[str, float]:
+    """R squared of several prediction columns in one pass over the rows."""
+    mean = df.agg(F.avg(label)).scalar()
+    d = df.withColumn("_mean", mean)
+    sums = d.agg(F.sum((F.col(label) - F.col("_mean")) ** 2).alias("_sst"), *[F.sum((F.col(label) - c) ** 2).alias(n) for n, c in predictions.items()]).first()
+    return {n: 1.0 - sums[n] / sums["_sst"] for n in predictions}
+
+
+def search_forest(train: DataFrame, validation: DataFrame, trees: tuple[int, ...] = (70, 148, 225),
+                  min_instances: tuple[int, ...] = (5, 6, 7, 8, 9, 10), keep: tuple[int, ...] = (6, 3, 1),
+                  least_gain: float = 1e-4, seed: int = 91) -> list[dict]:
+    """Successive halving over tree counts (M12): every leaf size starts with the fewest trees, the best
+    ones grow to the next count, and the search stops when the best does not gain ``least_gain``.
+
+    A forest's prediction is the mean of its trees', so a candidate grows by a forest of the missing
+    trees only, with a seed of its own; nothing already trained is trained again.  Points are scored
+    by R squared on ``validation``, all candidates of a rung in one pass.  Both tables hold written vectors.
+    """
+    alive = {m: [] for m in min_instances[: keep[0]]}      # leaf size -> [(trees, model)]
+    points, best = [], None
+    for rung, count in enumerate(trees):
+        for m, parts in alive.items():
+            missing = count - sum(n for n, _ in parts)
+            parts.append((missing, forest(missing, m, seed + 1000 * rung + m).fit(train)))
+        scored, columns = validation, {}
+        for m, parts in alive.items():
+            names = []
+            for i, (n, fitted) in enumerate(parts):
+                names.append((n, f"_p{m}_{i}"))
+                scored = fitted.copy({fitted.predictionCol: names[-1][1]}).transform(scored)
+            columns[str(m)] = sum((F.col(c) * n for n, c in names[1:]), F.col(names[0][1]) * names[0][0]) / count
+        r2s = r2_of(scored, columns)
+        order = sorted(alive, key=lambda m: (-r2s[str(m)], m))
+        last = best
+        best = max([(r2s[str(m)], -count, -m) for m in alive] + ([best] if best else []))
+        going = rung + 1 < len(trees) and (last is None or best[0] - last[0] >= least_gain)
+        survivors = order[: keep[rung + 1]] if going else []
+        points += [{"rung": rung, "num_trees": count, "min_instances": m, "r2": r2s[str(m)], "grown": m in survivors} for m in order]
+        alive = {m: alive[m] for m in survivors}
+        if not alive:
+            break
+    for p in points:
+        p["chosen"] = (p["r2"], -p["num_trees"], -p["min_instances"]) == best
+    return points

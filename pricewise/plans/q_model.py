@@ -69,12 +69,18 @@ def t4(spark, sf):
     return kpi.top_k_with_ties(_optimal(spark, sf), "price_sim", 1000).select(*ITEM_ATTRS, "price_sim")
 
 
+def _units_items(p: Pipeline):
+    """Item days with units as doubles and the fold of their row."""
+    key = F.concat_ws("|", "store_id", "sku", F.col("sale_date").cast("string"))
+    return p.item_day_written.withColumns({"quantity": F.col("quantity").cast("double"), "fold": model.fold_id(key, 5)})
+
+
 def _units_model_optimum(spark, sf, fit):
     """The price grid scored by a units model, best row of every item."""
     p = Pipeline(spark, sf)
-    items = p.item_day_written.withColumn("quantity", F.col("quantity").cast("double"))
+    items = _units_items(p)
     encoder = model.UnitsEncoder(items)
-    fitted = fit(materialize(encoder(items), "units-train"))
+    fitted = fit(materialize(encoder.train(items), "units-train"))
     grid = encoder(optimise.price_grid(p.item_range_written))
     return p, optimise.optimal_prices(optimise.expected_profit(model.predict(fitted, grid)), OPT_KEEP)
 
@@ -124,6 +130,19 @@ def m5_check(spark, sf):
     return _optimum_check(spark, sf, _fit_units_gbt)
 
 
+@register("m5_m6_units_holdout", W("""
+select m.model, true as beats_mean from (select unnest(['boosted_trees', 'poisson']) as model) m order by 1"""))
+def m56_holdout(spark, sf):
+    """Both units models, fitted on four folds with out-of-fold means, explain more of the fifth than its mean."""
+    items = _units_items(Pipeline(spark, sf))
+    train, held = items.filter("fold <= 4"), items.filter("fold = 5")
+    encoder = model.UnitsEncoder(train)
+    rows, scored = materialize(encoder.train(train), "units-train"), materialize(encoder(held), "units-held")
+    out = [(name, bool(model.r2_of(model.predict(fit(rows), scored), {"r2": F.col("prediction")}, "quantity")["r2"] > 0))
+           for name, fit in (("boosted_trees", _fit_units_gbt), ("poisson", _fit_glm))]
+    return spark.createDataFrame(out, "model string, beats_mean boolean")
+
+
 # ----------------------------------------------------------------------------- demand models
 
 SPLIT_SQL = "case when ('0x' || substr(md5(store_subgroup_date_id), 1, 8))::bigint % 100 < 85 then 'train' else 'test' end"
@@ -163,46 +182,137 @@ def m8(spark, sf):
     return test.agg(F.round(1 - F.sum(err * err) / F.sum(dev * dev), 6).alias("r2"))
 
 
+class DemandVectors:
+    """The daily table's vectors, featurized and written once for every model of a query (M1)."""
+
+    def __init__(self, p: Pipeline):
+        self.daily = _with_split(p)
+        keep = ["store_subgroup_date_id", "total_sales_", "split", "fold"]
+        self.featurizer, self.all = model.vectors(self.daily, "total_sales_", model.DEMAND_FEATURES, keep, self.daily.filter("split = 'train'"))
+        self.train, self.test = self.all.filter("split = 'train'"), self.all.filter("split = 'test'")
+
+
 def _fit_eval(spark, sf, estimator):
-    d = _with_split(Pipeline(spark, sf))
-    train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
-    fitted = estimator.fit(train)
-    return fitted, model.predict(fitted, test)
+    v = DemandVectors(Pipeline(spark, sf))
+    fitted = estimator.fit(v.train)
+    return fitted, model.predict(fitted, v.test)
 
 
 @register("m1_m3_m7_random_forest_demand")
 def m3(spark, sf):
     """RFormula + random forest on the train split, predictions on the test split (rows-only)."""
-    _, pred = _fit_eval(spark, sf, model.random_forest("total_sales_", model.DEMAND_FEATURES, num_trees=20))
+    _, pred = _fit_eval(spark, sf, model.forest(20, 9))
     return pred.select("store_subgroup_date_id", "total_sales_", "prediction")
 
 
 @register("m2_m4_gbt_demand")
 def m4(spark, sf):
     """Gradient-boosted trees (20 x 0.1, seed 300) from a feature list (rows-only)."""
-    _, pred = _fit_eval(spark, sf, model.boosted_trees("total_sales_", model.DEMAND_FEATURES))
+    _, pred = _fit_eval(spark, sf, model.demand_gbt())
     return pred.select("store_subgroup_date_id", "total_sales_", "prediction")
 
 
+def _beats_mean(spark, sf, estimator):
+    """One row: the test rows, each predicted once, and whether the model explains more than the subgroup's mean."""
+    _, pred = _fit_eval(spark, sf, estimator)
+    pred = materialize(pred.select("store_subgroup_date_id", "label", "prediction"), "predictions")
+    r2 = model.r2_of(pred, {"model": F.col("prediction")})["model"]
+    baseline = m8(spark, sf).first()["r2"]
+    return pred.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("store_subgroup_date_id").alias("n_ids"),
+                    F.count_if(F.col("prediction").isNull() | F.isnan("prediction")).alias("n_unscored")).withColumn("beats_mean", F.lit(bool(r2 > baseline)))
+
+
+BEATS_SQL = W(f"""
+select count(*) as n_rows, count(distinct store_subgroup_date_id) as n_ids, 0::bigint as n_unscored, true as beats_mean
+from (select *, {SPLIT_SQL} as split from daily) where split = 'test'""")
+
+
+@register("m3_forest_beats_subgroup_mean", BEATS_SQL)
+def m3_check(spark, sf):
+    return _beats_mean(spark, sf, model.forest(20, 9))
+
+
+@register("m4_gbt_beats_subgroup_mean", BEATS_SQL)
+def m4_check(spark, sf):
+    return _beats_mean(spark, sf, model.demand_gbt())
+
+
 @register("m11_m12_cross_validated_grid")
 def m11(spark, sf):
     """4-fold CV over a fixed (trees x min-instances) grid on the train split (rows-only)."""
-    d = _with_split(Pipeline(spark, sf)).filter(F.col("split") == "train")
     grid = [{"num_trees": 20, "min_instances": 5}, {"num_trees": 20, "min_instances": 9}]
-    return model.cross_validate(d, "total_sales_", model.DEMAND_FEATURES, grid)
+    return model.cross_validate(DemandVectors(Pipeline(spark, sf)).train, grid)
+
+
+@register("m12_forest_search")
+def m12(spark, sf):
+    """Search of 70-225 trees x 5-10 instances by successive halving: fold 4 of the train split scores, the
+    best point is refitted on the whole train split and scored on the test split (rows-only)."""
+    v = DemandVectors(Pipeline(spark, sf))
+    points = model.search_forest(v.train.filter("fold <> 4"), v.train.filter("fold = 4"))
+    best = next(p for p in points if p["chosen"])
+    refit = model.forest(best["num_trees"], best["min_instances"]).fit(v.train)
+    r2_test = model.r2_of(refit.transform(v.test), {"r2": F.col("prediction")})["r2"]
+    rows = [(p["rung"], p["num_trees"], p["min_instances"], p["r2"], p["grown"], p["chosen"], r2_test if p["chosen"] else None) for p in points]
+    # one row a scored point
+    return spark.createDataFrame(rows, "rung int, num_trees int, min_instances int, r2 double, grown boolean, chosen boolean, r2_test double")
+
+
+# The best point the reference reports (fixed values): 165 trees, 9 instances.
+BEST_TREES, BEST_INSTANCES = 165, 9
+
+
+def _strategy_frame(p: Pipeline):
+    """Hold-out of the last week: (history, rows to predict with each price forecast, both made from history only)."""
+    daily = _with_split(p)
+    last = daily.agg(F.max("date_id")).first()[0]
+    history = materialize(daily.filter(F.col("date_id") <= F.date_sub(F.lit(last), HORIZON_DAYS)), "history")
+    actual = daily.filter(F.col("date_id") > F.date_sub(F.lit(last), HORIZON_DAYS)).withColumnRenamed("price_", "price_seen")
+    keys = q_series.KEYS
+    seen = panel.period_median(history, keys, "day").withColumn("price_median", F.round("price_median", 8))
+    known = seen.groupBy(*keys).agg(F.max_by("price_median", "t").alias("price_last"), F.min("price_median").alias("lowest"))
+    rows = actual.join(known, keys)         # a series without history has no price forecast
+    for step, horizon in HORIZON.items():
+        fc = assemble.forecast_price(q_series.forecasts_of(history, step, horizon), known.drop("price_last"), keys)
+        fc = fc.withColumnRenamed("price_forecast", f"price_{step}")
+        on = keys if step == "week" else [*keys, "date_id"]
+        fc = fc.drop("t_forecast") if step == "week" else fc.withColumnRenamed("t_forecast", "date_id")
+        rows = rows.join(fc, on, "left").withColumn(f"price_{step}", F.coalesce(f"price_{step}", "price_last"))
+    return history, materialize(rows, "holdout")
+
+
+def compare_strategies(history, holdout, trees=BEST_TREES, instances=BEST_INSTANCES) -> list[tuple]:
+    """(strategy, n_rows, r2, rmse, mae) of forest + weekly price, forest + daily price, boosted trees + weekly
+    price, each fitted on the same written vectors of the history and scored on the hold-out."""
+    fitted, train = model.vectors(history, "total_sales_", model.DEMAND_FEATURES, ["store_subgroup_date_id"])
+    models = {"random_forest": model.forest(trees, instances).fit(train), "boosted_trees": model.demand_gbt().fit(train)}
+    out = []
+    for kind, step in (("random_forest", "week"), ("random_forest", "day"), ("boosted_trees", "week")):
+        frame = fitted.transform(holdout.withColumn("price_", F.col(f"price_{step}")))
+        scored = materialize(model.predict(models[kind], frame).select("label", "prediction"), "scored")
+        err = F.col("label") - F.col("prediction")
+        m = scored.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae")).first()
+        out.append((f"{kind}_{'weekly' if step == 'week' else 'daily'}_price", m["n"], model.r2_of(scored, {"r2": F.col("prediction")})["r2"], m["rmse"], m["mae"]))
+    return out
 
 
 @register("m17_strategy_comparison")
 def m17(spark, sf):
-    """Test-split R^2 per strategy: subgroup mean, random forest, boosted trees (rows-only)."""
-    scores = []
-    for name, est in [("random_forest", model.random_forest("total_sales_", model.DEMAND_FEATURES, 20)),
-                      ("boosted_trees", model.boosted_trees("total_sales_", model.DEMAND_FEATURES))]:
-        _, pred = _fit_eval(spark, sf, est)
-        scores.append((name, model.r2(pred, "total_sales_")))
-    base = m8(spark, sf).select(F.lit("subgroup_mean").alias("strategy"), "r2")
-    # a 2-row table of metrics computed by distributed evaluators
-    return base.unionByName(spark.createDataFrame(scores, "strategy string, r2 double"))
+    """The three strategies (forest + weekly price, forest + daily price, boosted trees + weekly price) on the
+    last week, held out (rows-only)."""
+    rows = compare_strategies(*_strategy_frame(Pipeline(spark, sf)))
+    # three rows of metrics computed by distributed aggregates
+    return spark.createDataFrame(rows, "strategy string, n_rows long, r2 double, rmse double, mae double")
+
+
+@register("m16_forest_daily_price_forecast")
+def m16f(spark, sf):
+    """The daily branch: the horizon's ids scored by the random forest with the day-by-day price (rows-only)."""
+    p, frame = _frame(spark, sf, "day")
+    v = DemandVectors(p)
+    fitted = model.forest(BEST_TREES, BEST_INSTANCES).fit(v.train)
+    scored = model.predict(fitted, v.featurizer.transform(frame.filter("price_ IS NOT NULL")))
+    return assemble.back_fill(p.ids_written, assemble.proxy_predictions(scored, PROXY_DONOR, PROXY_TARGET))
 
 
 # ----------------------------------------------------------------------------- assembly
@@ -313,8 +423,8 @@ def m16d(spark, sf):
 def m16g(spark, sf):
     """The same assembly scored by the boosted-trees demand model (rows-only)."""
     p, frame = _frame(spark, sf, "week")
-    fitted = model.boosted_trees("total_sales_", model.DEMAND_FEATURES).fit(
-        _with_split(p).filter(F.col("split") == "train"))
-    scored = model.predict(fitted, frame.filter("price_ IS NOT NULL"))   # unpriced ids are null in the back-fill
+    v = DemandVectors(p)
+    fitted = model.demand_gbt().fit(v.train)
+    scored = model.predict(fitted, v.featurizer.transform(frame.filter("price_ IS NOT NULL")))   # unpriced ids are null in the back-fill
     preds = assemble.proxy_predictions(scored, PROXY_DONOR, PROXY_TARGET)
     return assemble.back_fill(p.ids_written, preds)

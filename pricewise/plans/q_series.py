@@ -17,14 +17,22 @@ MIN_OBS = 5
 SEASON = {"week": 52, "day": 7}
 
 
-def _obs(p: Pipeline, step: str):
-    obs = panel.long_observations(panel.period_median(p.daily_written, KEYS, step), KEYS, MIN_OBS)
+def _obs_of(daily, step: str):
+    obs = panel.long_observations(panel.period_median(daily, KEYS, step), KEYS, MIN_OBS)
     # Medians are rounded once at the source so every later step is reproducible.
     return obs.withColumn("price_median", F.round("price_median", 8))
 
 
+def _obs(p: Pipeline, step: str):
+    return _obs_of(p.daily_written, step)
+
+
 def _panel(p: Pipeline, step: str):
-    dense = panel.dense_panel(_obs(p, step), KEYS, step, "price_median")
+    return _panel_of(p.daily_written, step)
+
+
+def _panel_of(daily, step: str):
+    dense = panel.dense_panel(_obs_of(daily, step), KEYS, step, "price_median")
     # Interpolation is exact IEEE arithmetic on rounded medians: no rounding after it,
     # so the result is the same bits in any engine (rounding would add half-way ties).
     return panel.fill_gaps(dense, KEYS, "price_median", "median_price")
@@ -176,9 +184,13 @@ from fc left join pf on fc.store_id = pf.store_id and fc.subgroup = pf.subgroup
 
 
 def forecasts(p: Pipeline, step: str, horizon: int):
+    return forecasts_of(p.daily_written, step, horizon)
+
+
+def forecasts_of(daily, step: str, horizon: int):
     # The filled panel feeds two passes (series statistics and the seasonal lookup):
     # write it once rather than recompute its windows.
-    filled = materialize(_panel(p, step), f"panel-{step}")
+    filled = materialize(_panel_of(daily, step), f"panel-{step}")
     fc = forecast.baseline_forecasts(filled, KEYS, "median_price", step, horizon, SEASON[step])
     return fc.withColumns({
         "f_drift": F.round("f_drift", 6), "f_mean": F.round("f_mean", 6), "ar_slope": F.round("ar_slope", 6),
