@@ -81,8 +81,8 @@ def fit_ar(y: np.ndarray, horizon: int, season: int) -> tuple[np.ndarray, str]:
 
     All candidates predict the same observations (those that the longest one can), and a
     difference changes no error, so the criteria compare.  Positive series are modelled in
-    logs: the choice does not depend on the unit of price, and no forecast is below the lowest
-    price seen.  Seasonal candidates need two seasons of targets.
+    logs: the choice does not depend on the unit of price, and no forecast leaves the range of
+    prices seen.  Seasonal candidates need two seasons of targets.
     """
     y = np.asarray(y, dtype=float)
     logs = bool((y > 0).all())
@@ -110,7 +110,7 @@ def fit_ar(y: np.ndarray, horizon: int, season: int) -> tuple[np.ndarray, str]:
         hist.append(beta[0] + sum(b * hist[-lag] for b, lag in zip(beta[1:], lags)))
         levels.append(hist[-1] + (levels[-1] if d else levels[-season] if ds else 0.0))
     f = np.array(levels[len(u):])
-    f = np.maximum(np.exp(np.minimum(f, u.max() + 1)), y.min()) if logs else f
+    f = np.clip(np.exp(np.clip(f, u.min(), u.max())), y.min(), y.max()) if logs else f
     return f, f"AR({p}) d={d}" + (f" s={season}" if s else "") + (f" D={season}" if ds else "")
 
 
@@ -138,3 +138,53 @@ def ar_forecasts(panel: DataFrame, keys: list[str], y: str, step: str, horizon:
     ship_package(panel.sparkSession)
     res = panel.select(*keys, t, y).groupBy(*keys).applyInPandas(per_series, schema)
     return res.withColumn("t_forecast", _horizon_date(F.col("t_last"), F.col("h"), step)).drop("t_last")
+
+
+# ----------------------------------------------------------------------------- rolling-origin evaluation
+
+BASELINES = ["last", "mean", "drift", "snaive"]
+
+
+def backtest_targets(obs: DataFrame, keys: list[str], y: str, idx: str, horizon: int, season: int, origins: int) -> DataFrame:
+    """One row per evaluated observation, the last ``origins`` of every series: what each closed-form method
+    says from the observations at least ``horizon`` periods older (F6, F7).  Nothing later is seen."""
+    order = Window.partitionBy(*keys).orderBy(idx)
+    known = order.rangeBetween(Window.unboundedPreceding, -horizon)
+    year = order.rangeBetween(Window.unboundedPreceding, -max(season, horizon))
+    d = obs.select(
+        *keys, idx, y, F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(idx))).alias("back"),
+        F.last(y).over(known).alias("f_last"), F.first(y).over(known).alias("_first"), F.count(y).over(known).alias("_n"),
+        F.sum(y).over(known).alias("_sum"), F.max(idx).over(known).alias("_at"), F.min(idx).over(known).alias("_from"), F.last(y).over(year).alias("_season"))
+    d = d.filter((F.col("back") <= origins) & (F.col("_n") > 0))
+    slope = F.try_divide(F.col("f_last") - F.col("_first"), F.col("_at") - F.col("_from"))
+    return d.select(*keys, idx, y, "f_last", (F.round("_sum", 8) / F.col("_n")).alias("f_mean"),
+                    (F.col("f_last") + (F.col(idx) - F.col("_at")) * F.coalesce(slope, F.lit(0.0))).alias("f_drift"),
+                    F.coalesce("_season", "f_last").alias("f_snaive"))
+
+
+def backtest_baselines(obs: DataFrame, keys: list[str], y: str, idx: str, horizon: int, season: int, origins: int) -> DataFrame:
+    """Mean absolute error per series and method."""
+    d = backtest_targets(obs, keys, y, idx, horizon, season, origins)
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_targets"),
+                                *[(F.round(F.sum(F.abs(F.col(y) - F.col(f"f_{m}"))), 4) / F.count(F.lit(1))).alias(f"mae_{m}") for m in BASELINES])
+
+
+def backtest_ar(obs: DataFrame, keys: list[str], y: str, idx: str, horizon: int, season: int, origins: int) -> DataFrame:
+    """Mean absolute error of the AR model per series at the same targets, refitted at every origin on
+    what is known there (gaps between known observations interpolated, the last one carried on)."""
+    schema = T.StructType([f for f in obs.schema.fields if f.name in keys] + [T.StructField("n_ar", T.LongType()), T.StructField("mae_ar", T.DoubleType())])
+
+    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(idx)
+        at, values = pdf[idx].to_numpy(), pdf[y].to_numpy(dtype=float)
+        errors = []
+        for i in range(max(0, len(at) - origins), len(at)):
+            known = at <= at[i] - horizon
+            if known.any():
+                dense = np.interp(np.arange(at[0], at[i] - horizon + 1), at[known], values[known])
+                errors.append(abs(values[i] - fit_ar(dense, horizon, season)[0][horizon - 1]))
+        out = {k: [pdf[k].iloc[0]] for k in keys}
+        return pd.DataFrame({**out, "n_ar": [len(errors)], "mae_ar": [float(np.mean(errors)) if errors else None]})[schema.fieldNames()]
+
+    ship_package(obs.sparkSession)
+    return obs.select(*keys, idx, y).groupBy(*keys).applyInPandas(per_series, schema)

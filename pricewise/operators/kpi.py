@@ -9,6 +9,8 @@ Global orderings never go through a single-partition window:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,40 +65,94 @@ def global_row_number(df: DataFrame, order: list[str], partitions: int | None =
     }).drop("_pid", "_local", "_offset", "_total")
 
 
-def ntile_column(k: int, row_number: str = "row_number", n_rows: str = "n_rows") -> Column:
-    """SQL NTILE(k) from a global row number: sizes differ by at most one, larger first."""
-    i, n = F.col(row_number), F.col(n_rows)
-    q = F.floor(n / k)
-    r = n - q * k
-    big = r * (q + 1)
-    return F.when(i <= big, F.floor((i - 1) / (q + 1)) + 1).otherwise(
-        r + F.floor((i - big - 1) / F.greatest(q, F.lit(1))) + 1).cast("int")
+class RankRanges:
+    """Where given ranks of a total order fall, found without sorting the table.
+
+    A sketch of the first order column brackets ``fractions`` of the rows; a second pass counts (and sums up, with
+    ``more`` aggregates) the rows inside and between the brackets.  Rows between brackets belong to one side of every
+    rank by their value alone.  Only the rows inside are written and numbered: those near a rank, and
+    values so common that one covers a bracket.
+    """
+
+    def __init__(self, df: DataFrame, order: list[str], fractions: list[float], ranks_of, more: list[Column] = (), accuracy: int = 2000):
+        self.df, self.order, self.by = df, order, F.col(order[0])
+        self.brackets, self.below, self.inside, self.between = [], [], [], []
+        slack = 3.0 / accuracy
+        while True:
+            probs = sorted({min(1.0, max(0.0, f + d)) for f in fractions for d in (-slack, slack)})
+            first = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(order[0], probs, accuracy).alias("q")).first()
+            self.n = first["n"]
+            if not self.n:
+                return
+            edges = dict(zip(probs, first["q"]))
+            brackets: list[list] = []
+            for lo, hi in sorted((edges[max(0.0, f - slack)], edges[min(1.0, f + slack)]) for f in fractions):
+                if brackets and lo <= brackets[-1][1]:
+                    brackets[-1][1] = max(hi, brackets[-1][1])
+                else:
+                    brackets.append([lo, hi])
+            part = F.lit(0)
+            for i, (lo, hi) in enumerate(brackets):
+                part = F.when(self.by > F.lit(hi), 2 * i + 2).when(self.by >= F.lit(lo), 2 * i + 1).otherwise(part)
+            # 2 k + 1 rows
+            parts = {r["part"]: r for r in df.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), *more).collect()}
+            sizes = [parts[i]["n"] if i in parts else 0 for i in range(2 * len(brackets) + 1)]
+            self.brackets, self.inside = brackets, sizes[1::2]
+            self.below = [sum(sizes[: 2 * i + 1]) for i in range(len(brackets))]
+            #: (rows before at least, aggregates) of every run of rows between brackets
+            self.between = [(sum(sizes[:i]), parts[i]) for i in range(0, len(sizes), 2) if i in parts]
+            ranks = [r for r in ranks_of(self.n) if 1 <= r <= self.n]
+            if all(any(b < r <= b + k for b, k in zip(self.below, self.inside)) for r in ranks) or slack >= 1:
+                return
+            slack *= 4      # few rows, or the sketch was off
+
+    def _within(self):
+        out = F.lit(False)
+        for lo, hi in self.brackets:
+            out = out | self.by.between(F.lit(lo), F.lit(hi))
+        return out
+
+    def outside(self) -> DataFrame:
+        """Rows in no bracket, with ``before``: how many rows lie in or below the brackets under them, at least."""
+        before = F.lit(0)
+        for (lo, hi), b, k in zip(self.brackets, self.below, self.inside):
+            before = F.when(self.by > F.lit(hi), F.lit(b + k)).otherwise(before)
+        return self.df.filter(~self._within()).withColumn("before", before.cast("long"))
+
+    def numbered(self) -> DataFrame:
+        """Rows in a bracket, with their row_number in the whole order."""
+        rows = global_row_number(materialize(self.df.filter(self._within()), "near-ranks"), self.order).drop("n_rows")
+        skipped, seen = F.lit(0), 0
+        for b, k in zip(self.below, self.inside):
+            skipped = F.when(F.col("row_number") > seen, F.lit(b - seen)).otherwise(skipped)
+            seen += k
+        return rows.withColumn("row_number", F.col("row_number") + skipped)
+
+
+def bin_ends(n: int, k: int) -> list[int]:
+    """Last row number of each NTILE(k) bin but the last."""
+    q, r = divmod(n, k)
+    return [i * q + min(i, r) for i in range(1, k)]
+
+
+def _bin_of(number, ends: list[int]) -> Column:
+    return sum((F.when(number > end, 1).otherwise(0) for end in ends), F.lit(1)).cast("int")
 
 
 def ntile(df: DataFrame, order: list[str], k: int, name: str = "bin") -> DataFrame:
-    """Quantile bin of every row."""
-    numbered = global_row_number(df, order)
-    return numbered.withColumn(name, ntile_column(k)).drop("row_number", "n_rows")
-
-
-def interpolated_quantiles(numbered: DataFrame, value: str, probs: list[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles (R type 7 / quantile_cont) from row numbers:
-    only the two neighbouring rows of each probability are read."""
-    n = F.col("n_rows")
-    rows = []
-    for j, p in enumerate(probs):
-        h = (n - 1) * p + 1
-        lo = F.floor(h)
-        rows.append(F.struct(F.lit(j).alias("j"), F.lit(p).alias("p"), lo.alias("lo"),
-                             (h - lo).alias("frac")))
-    picks = numbered.select(value, "row_number", F.explode(F.array(*rows)).alias("q")).select(
-        value, "row_number", "q.*")
-    picks = picks.filter((F.col("row_number") == F.col("lo")) | (F.col("row_number") == F.col("lo") + 1))
-    agg = picks.groupBy("j", "p", "frac").agg(
-        F.max(F.when(F.col("row_number") == F.col("lo"), F.col(value))).alias("x_lo"),
-        F.max(F.when(F.col("row_number") == F.col("lo") + 1, F.col(value))).alias("x_hi"))
-    return agg.select("j", "p", F.when(F.col("frac") == 0, F.col("x_lo")).otherwise(
-        F.col("x_lo") + F.col("frac") * (F.col("x_hi") - F.col("x_lo"))).alias("quantile"))
+    """Quantile bin of every row (W5): rows away from the bins' ends by value, the others by number."""
+    near = RankRanges(df, order, [i / k for i in range(1, k)], lambda n: [r + d for r in bin_ends(n, k) for d in (0, 1)])
+    ends = bin_ends(near.n, k)
+    out = near.outside().withColumn(name, _bin_of(F.col("before") + 1, ends)).drop("before")
+    if not near.brackets:
+        return out
+    return out.unionByName(near.numbered().withColumn(name, _bin_of(F.col("row_number"), ends)).drop("row_number"))
+
+
+def df_of_runs(like: DataFrame, runs: list[tuple]) -> DataFrame:
+    """The aggregates of runs of rows, with their bin: at most one row a run."""
+    names = like.columns[1:]
+    return like.sparkSession.createDataFrame([(bin_, *[r[c] for c in names]) for bin_, r in runs], like.schema)
 
 
 def markup_bins(tx: DataFrame, k: int = 5) -> DataFrame:
@@ -104,20 +160,39 @@ def markup_bins(tx: DataFrame, k: int = 5) -> DataFrame:
 
     Limits are the (i/k)-quantiles of markup (linear interpolation); bins are NTILE(k).
     Rows without a markup (no cost) are left out, as the original leaves them unbinned.
+    The fact is neither sorted nor written: it is aggregated per range, and only rows near a bin's end are numbered.
     """
     base = tx.select(C.markup().alias("markup"), "profit", "quantity_filled", "transaction_id",
                      "sku", "store_id", "sale_date").filter(F.col("markup").isNotNull())
     order = ["markup", "profit", "quantity_filled", "transaction_id", "sku", "store_id", "sale_date"]
-    numbered = global_row_number(base, order)
-    binned = numbered.withColumn("bin", ntile_column(k))
-    totals = binned.groupBy("bin").agg(F.sum("profit").alias("total_profit"),
-                                       F.sum("quantity_filled").alias("total_quantity"))
-    limits = interpolated_quantiles(numbered, "markup", [i / k for i in range(k + 1)])
-    lower = limits.filter(F.col("j") < k).select((F.col("j") + 1).cast("int").alias("bin"),
-                                                 F.col("quantile").alias("lower_limit"))
-    upper = limits.filter(F.col("j") > 0).select(F.col("j").cast("int").alias("bin"),
-                                                 F.col("quantile").alias("upper_limit"))
-    return totals.join(lower, "bin").join(upper, "bin")
+
+    def needed(n):
+        places = [(n - 1) * i / k + 1 for i in range(1, k)]
+        return [r + d for r in bin_ends(n, k) for d in (0, 1)] + [math.floor(h) + d for h in places for d in (0, 1)]
+
+    sums = [F.sum("profit").alias("total_profit"), F.sum("quantity_filled").alias("total_quantity"), F.min("markup").alias("lo"), F.max("markup").alias("hi")]
+    near = RankRanges(base, order, [i / k for i in range(1, k)], needed, sums)
+    if not near.n:
+        return base.select(F.lit(1).alias("bin"), F.col("profit").alias("total_profit"), F.col("quantity_filled").alias("total_quantity"),
+                           F.col("markup").alias("lower_limit"), F.col("markup").alias("upper_limit")).limit(0)
+    ends = bin_ends(near.n, k)
+    numbered = materialize(near.numbered().select("markup", "profit", "quantity_filled", "row_number"), "near-bin-ends")
+    close = numbered.withColumn("bin", _bin_of(F.col("row_number"), ends)).groupBy("bin").agg(*sums)
+    far = df_of_runs(close, [(1 + sum(before >= end for end in ends), r) for before, r in near.between])
+    totals = close.unionByName(far).groupBy("bin").agg(F.sum("total_profit").alias("total_profit"), F.sum("total_quantity").alias("total_quantity"),
+                                                       F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    places = {i: (near.n - 1) * i / k + 1 for i in range(1, k)}
+    wanted = sorted({math.floor(h) + d for h in places.values() for d in (0, 1) if math.floor(h) + d <= near.n})
+    at = {r["row_number"]: r["markup"] for r in numbered.filter(F.col("row_number").isin(wanted)).collect()}    # two rows a limit
+    limits = {}
+    for i, h in places.items():
+        lo = math.floor(h)
+        limits[i] = at[lo] if h == lo else at[lo] + (h - lo) * (at[lo + 1] - at[lo])
+    lower, upper = F.min("lo").over(Window.partitionBy(F.lit(0))), F.max("hi").over(Window.partitionBy(F.lit(0)))     # over k rows
+    for i, value in limits.items():
+        lower = F.when(F.col("bin") == i + 1, F.lit(value)).otherwise(lower)
+        upper = F.when(F.col("bin") == i, F.lit(value)).otherwise(upper)
+    return totals.select("bin", "total_profit", "total_quantity", lower.alias("lower_limit"), upper.alias("upper_limit"))
 
 
 def rollup_tree(df: DataFrame, parent: str, child: str, measure: str, root: str = "Total") -> DataFrame:

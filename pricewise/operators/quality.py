@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pricewise.functions import columns as C
 
-# Quantile sketch accuracy: relative rank error is 1/accuracy.  The sketch is a
-# mergeable partial aggregate with bounded memory, unlike an exact percentile
-# whose buffer grows with the number of distinct values.
-QUANTILE_ACCURACY = 1_000_000
+#: Rank error (1 / accuracy) of the sketches that bracket a quantile.  They hold a bounded number of
+#: values; what they return only says where to look.
+BRACKET_ACCURACY = 1000
+#: Distinct values of a bracket that are put in order at once.
+ORDERED = 20_000
+
+
+def write_profiled(tables: dict[str, DataFrame], write) -> DataFrame:
+    """Writes every table with ``write(df, name)`` and returns (table_name, column_name, n_rows, n_null), counted
+    by an observation while the rows are written: no pass of its own (A17)."""
+    rows = []
+    for name, df in tables.items():
+        seen = Observation(f"profile-{name}")
+        write(df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns]), name)
+        counts = seen.get
+        rows += [(name, c, counts["n_rows"], counts[f"null_{c}"]) for c in df.columns]
+    # one row a column
+    return df.sparkSession.createDataFrame(rows, "table_name string, column_name string, n_rows long, n_null long")
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -18,28 +34,84 @@ def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
 
 
-def quantile_profile(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99,
-                     accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
-    """p_low, p_high, min and max of a column in one aggregate."""
-    q = F.percentile_approx(column, [low, high], accuracy)
-    return df.agg(q.alias("_q"), F.min(column).alias("min"), F.max(column).alias("max")).select(
-        F.col("_q")[0].alias("q_low"), F.col("_q")[1].alias("q_high"), "min", "max")
-
-
-def count_outside(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99,
-                  accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
-    """Rows below p_low or above p_high (A19).  The one-row profile (both bounds from
-    one pass of the quantile sketch) is compared on every row."""
-    lo, hi = df.agg(F.percentile_approx(column, [low, high], accuracy).alias("q")).first()["q"]
-    return df.filter((F.col(column) < lo) | (F.col(column) > hi)).agg(
-        F.count(F.lit(1)).alias("n_outside"))
-
-
-def extreme_rows(df: DataFrame, column: str, p: float = 0.9999, keep=None,
-                 accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
+def select_ranks(rows: DataFrame, column: str, ranks: list[int], n: int) -> dict:
+    """The values of the given 1-based ranks among the ``n`` non-null values of a column, exactly.
+
+    Every rank is bracketed by a coarse sketch; one pass counts what lies below, on and between the
+    brackets' edges, and only a bracket with few distinct values is put in order.  Others are
+    bracketed again among their own rows, without the edges, so that heavy values never come back.
+    No task receives the column, whatever its size.
+    """
+    col, eps = F.col(column), 3.0 / BRACKET_ACCURACY
+    near = {r: (max(0.0, r / n - eps), min(1.0, r / n + eps)) for r in ranks}
+    probs = sorted({p for pair in near.values() for p in pair})
+    edges = dict(zip(probs, rows.agg(F.percentile_approx(column, probs, BRACKET_ACCURACY).alias("q")).first()["q"]))
+    of = {r: (edges[a], edges[b]) for r, (a, b) in near.items()}
+    brackets = sorted(set(of.values()))
+    sums = []
+    for i, (lo, hi) in enumerate(brackets):
+        between = (col > F.lit(lo)) & (col < F.lit(hi))
+        sums += [F.count_if(col < F.lit(lo)).alias(f"below{i}"), F.count_if(col == F.lit(lo)).alias(f"lo{i}"), F.count_if(between).alias(f"mid{i}"),
+                 F.count_if((col == F.lit(hi)) & F.lit(lo != hi)).alias(f"hi{i}"), F.approx_count_distinct(F.when(between, col)).alias(f"kinds{i}")]
+    c = rows.agg(*sums).first()
+    found = {}
+    for i, (lo, hi) in enumerate(brackets):
+        below = c[f"below{i}"]
+        middle = below + c[f"lo{i}"]
+        top = middle + c[f"mid{i}"]
+        end = top + c[f"hi{i}"]
+        mine = [r for r in ranks if of[r] == (lo, hi)]
+        found |= {r: lo for r in mine if below < r <= middle} | {r: hi for r in mine if top < r <= end}
+        between = rows.filter((col > F.lit(lo)) & (col < F.lit(hi)))
+        wanted = sorted(r for r in mine if middle < r <= top)
+        if wanted and c[f"kinds{i}"] <= ORDERED:
+            at = middle
+            for value, k in between.groupBy(column).count().orderBy(column).collect():     # about ORDERED rows at most
+                found |= {r: value for r in wanted if at < r <= at + k}
+                at += k
+            wanted = []
+        # ranks between the edges of a wide bracket, and those the sketch's error put outside
+        for part, start, size, some in ((between, middle, top - middle, wanted), (rows.filter(col < F.lit(lo)), 0, below, [r for r in mine if r <= below]),
+                                        (rows.filter(col > F.lit(hi)), end, n - end, [r for r in mine if r > end])):
+            if some:
+                inner = select_ranks(part, column, [r - start for r in some], size)
+                found |= {r: inner[r - start] for r in some}
+    return found
+
+
+def rank_of(p: float, n: int) -> int:
+    """1-based rank of the p-quantile that is a value of the column (SQL's discrete quantile)."""
+    return max(1, n - math.floor(n - n * p))
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> list:
+    """Discrete quantiles of a column's non-null values; nulls for an empty column."""
+    rows = df.select(column).filter(F.col(column).isNotNull())
+    n = rows.count()
+    if not n:
+        return [None] * len(probs)
+    ranks = [rank_of(p, n) for p in probs]
+    found = select_ranks(rows, column, sorted(set(ranks)), n)
+    return [found[r] for r in ranks]
+
+
+def quantile_profile(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """p_low, p_high, min and max of a column."""
+    kind = df.schema[column].dataType
+    q_low, q_high = exact_quantiles(df, column, [low, high])
+    return df.agg(F.min(column).alias("min"), F.max(column).alias("max")).select(
+        F.lit(q_low).cast(kind).alias("q_low"), F.lit(q_high).cast(kind).alias("q_high"), "min", "max")
+
+
+def count_outside(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Rows below p_low or above p_high."""
+    lo, hi = exact_quantiles(df, column, [low, high])
+    return df.agg(F.count_if((F.col(column) < F.lit(lo)) | (F.col(column) > F.lit(hi))).alias("n_outside"))
+
+
+def extreme_rows(df: DataFrame, column: str, p: float = 0.9999, keep=None) -> DataFrame:
     """Rows above the p-quantile."""
-    thr = df.agg(F.percentile_approx(column, p, accuracy)).scalar()
-    out = df.filter(F.col(column) > thr)
+    out = df.filter(F.col(column) > F.lit(exact_quantiles(df, column, [p])[0]))
     return out.select(*keep) if keep else out
 
 

@@ -10,7 +10,7 @@ from pricewise.functions import columns as C
 from pricewise.operators import demand, enrich
 from pricewise.plans.oracle import with_fixtures as W
 from pricewise.plans.registry import Pipeline, register, rounded
-from pricewise.session import work_path
+from pricewise.session import materialize, work_path
 from pricewise.sources import io, schemas
 from pricewise.sources.fixtures import CUTOFF, PROXY_DONOR, PROXY_TARGET, RetailTables
 
@@ -64,6 +64,21 @@ def s5(spark, sf):
     return io.read_parquet(spark, path)
 
 
+@register("s5_append_partitions", W("""
+select store_id, subgroup, date_id, category, group_name, round(total_sales_, 2) as total_sales_, anio
+from daily"""))
+def s5_append(spark, sf):
+    """The daily table year by year: the last year arrives as a batch of its own, and once more."""
+    path = work_path(spark, "s5-append")
+    p = Pipeline(spark, sf)
+    daily = rounded(p.daily_written, 2, "total_sales_").select("store_id", "subgroup", "date_id", "category", "group_name", "total_sales_", "anio")
+    last = daily.agg(F.max("anio")).first()[0]
+    io.write_parquet(daily.filter(F.col("anio") < F.lit(last)), path, mode="overwrite", partition_by=["anio"])
+    for _ in range(2):
+        io.append_batch(daily.filter(F.col("anio") == F.lit(last)), path, ["anio"])
+    return spark.read.schema(daily.schema).parquet(path)
+
+
 @register("s6_csv_sink", W("select * from item_range"))
 def s6(spark, sf):
     path = work_path(spark, "s6-csv")
@@ -86,10 +101,23 @@ def s8(spark, sf):
     return io.sample_by_hash(tx, key, 0.02)
 
 
+SAMPLE_ROWS = 10_000
+
+
+@register("s8_sample_fixed_size", W(f"""
+select {TX_COLS} from transactions
+order by ('0x' || substr(md5({S8_KEY_SQL}), 1, 15))::bigint, {TX_COLS} limit {SAMPLE_ROWS}"""))
+def s8c(spark, sf):
+    """A sample of a fixed number of rows, the same on any layout."""
+    tx = RetailTables(spark, sf).transactions
+    key = F.concat_ws("|", F.col("transaction_id").cast("string"), "sku", "store_id", F.col("sale_date").cast("string"))
+    return io.sample_fixed_size(tx, key, SAMPLE_ROWS)
+
+
 @register("s8_sample_bernoulli")
 def s8b(spark, sf):
     """Seeded Bernoulli sample without replacement (rows-only check)."""
-    return RetailTables(spark, sf).transactions.sample(False, 0.02, seed=151213)
+    return RetailTables(spark, sf).transactions.sample(False, 0.02, seed=4177)
 
 
 @register("s9_row_count", W("""
@@ -332,6 +360,12 @@ def a2d(spark, sf):
     return rounded(demand.total_by(Pipeline(spark, sf).tx, "brand", "total_sales"), 2, "demand")
 
 
+@register("a2_demand_by_group", W("""
+select group_name, round(sum(total_sales), 2) as demand from tx_enriched group by group_name"""))
+def a2e(spark, sf):
+    return rounded(demand.total_by(Pipeline(spark, sf).tx, "group_name"), 2, "demand")
+
+
 @register("a3_margin_by_subgroup", W("""
 select subgroup, round(sum(margin), 2) as margin from tx_enriched group by subgroup"""))
 def a3(spark, sf):
@@ -379,6 +413,22 @@ def a6b(spark, sf):
     return rounded(demand.monthly_trend(d, ["category"], "total_sales_"), 2, "demand")
 
 
+@register("a6_monthly_demand_by_subgroup", W("""
+select year_month, subgroup, round(sum(total_sales), 2) as demand from tx_enriched group by 1, 2"""))
+def a6c(spark, sf):
+    return rounded(demand.monthly_trend(Pipeline(spark, sf).tx, ["subgroup"]), 2, "demand")
+
+
+@register("x16_random_folds", W("""
+select count(*) as n_rows, 0::bigint as n_outside, true as balanced from daily"""))
+def x16_rand(spark, sf):
+    """Seeded rand(): a random fold 1..4 per row, written once so that it is drawn once."""
+    folds = materialize(Pipeline(spark, sf).daily_written.select((F.floor(F.rand(2741) * 4) + 1).cast("int").alias("fold")), "random-folds")
+    share = [F.count_if(F.col("fold") == k) / F.count(F.lit(1)) for k in (1, 2, 3, 4)]
+    return folds.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("fold").between(1, 4)).alias("n_outside"),
+                     (F.least(*share) > 0.22).alias("balanced"))
+
+
 @register("a7_monthly_profit_by_product", W("""
 select year_month, product_name, round(sum(profit), 2) as profit from tx_enriched group by 1, 2"""))
 def a7(spark, sf):

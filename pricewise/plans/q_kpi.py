@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pricewise.operators import demand, enrich, kpi, quality
 from pricewise.plans.oracle import with_fixtures as W
 from pricewise.plans.registry import Pipeline, register, rounded
+from pricewise.session import work_path
+from pricewise.sources import io
 from pricewise.sources.fixtures import RetailTables
 
 TX_ORDER_SQL = "markup, profit, quantity_filled, transaction_id, sku, store_id, sale_date"
@@ -54,6 +56,60 @@ def a19(spark, sf):
     return quality.count_outside(RetailTables(spark, sf).transactions, "total_sales")
 
 
+@register("a18_quantile_profile_total_sales", W("""
+select quantile_disc(total_sales, 0.01) as q_low, quantile_disc(total_sales, 0.99) as q_high,
+       min(total_sales) as min, max(total_sales) as max from transactions"""))
+def a18c(spark, sf):
+    return quality.quantile_profile(RetailTables(spark, sf).transactions, "total_sales")
+
+
+def _outside_sql(column: str) -> str:
+    return W(f"""
+with q as (select quantile_disc({column}, 0.01) as lo, quantile_disc({column}, 0.99) as hi from transactions)
+select count(*) as n_outside from transactions, q where {column} < lo or {column} > hi""")
+
+
+@register("a19_count_outside_quantity", _outside_sql("quantity"))
+def a19b(spark, sf):
+    return quality.count_outside(RetailTables(spark, sf).transactions, "quantity")
+
+
+@register("a19_count_outside_price", _outside_sql("price"))
+def a19c(spark, sf):
+    return quality.count_outside(RetailTables(spark, sf).transactions, "price")
+
+
+PROFILED = ["transactions", "stores", "store_clusters", "product_master", "product_groups", "customers", "ids_test"]
+PROFILED_COLUMNS = {
+    "transactions": ["transaction_id", "sale_date", "store_id", "sku", "quantity", "price", "total_sales", "subgroup", "store_subgroup_date_id"],
+    "stores": ["store_id", "brand", "store_name", "state", "region", "store_type", "opendate", "closedate"],
+    "store_clusters": ["store_id", "brand", "store_name", "cluster"],
+    "product_master": ["sku", "product_name", "category", "group_name", "subgroup", "brand_prod", "base_price", "initial_ticket_price", "costos"],
+    "product_groups": ["sku", "product_name", "price_group_id", "price_group_name", "group_type"],
+    "customers": ["client_id", "state", "occupation", "loyalty_member", "loyalty_points"],
+    "ids_test": ["store_subgroup_date_id"],
+}
+
+
+def _profile_sql() -> str:
+    ids = """
+select store_id || '_' || subgroup || '_' || strftime(g.d, '%Y-%m-%d') as store_subgroup_date_id
+from (select distinct store_id, subgroup from transactions where store_id in (select store_id from stores_open)
+      union all select distinct store_id, 'twin small ring' from transactions
+      where subgroup = 'small ring' and store_id in (select store_id from stores_open)) p,
+     unnest(generate_series(timestamp '2001-11-05', timestamp '2001-11-11', interval 1 day)) as g(d)"""
+    parts = [f"select '{t}' as table_name, '{c}' as column_name, count(*) as n_rows, cast(count_if({c} is null) as bigint) as n_null from {t}"
+             for t in PROFILED for c in PROFILED_COLUMNS[t]]
+    return W(f"with ids_test as ({ids})\n" + "\nunion all ".join(parts))
+
+
+@register("a17_profile_of_all_tables", _profile_sql())
+def a17_all(spark, sf):
+    """Nulls of every column of the seven tables, counted while they are written as parquet."""
+    rt = RetailTables(spark, sf)
+    return quality.write_profiled({t: getattr(rt, t) for t in PROFILED}, lambda df, name: io.write_parquet(df, work_path(spark, f"profiled-{name}")))
+
+
 @register("a20_extreme_prices", W("""
 select quantity, price, total_sales from transactions
 where price > (select quantile_disc(price, 0.9999) from transactions)"""))

@@ -93,20 +93,27 @@ def f1(spark, sf):
 # ----------------------------------------------------------------------------- F2/F3: dense panels
 
 # A panel has millions of rows at small scale already: the queries return every series with
-# its length, span and sums over all its periods (which weigh each value by its place).
+# its length, span, sums over all its periods and a digest of its rows.  The digest adds up a hash of each
+# row's place, labels and prices, so a value at another place or with another label changes it.
+ROW_SQL = """concat_ws('|', cast(t as varchar), idx, iso_week, iso_year, simple_week, year,
+    coalesce(cast(cast(floor(price_median * 10000) as bigint) as varchar), '-'), cast(floor(median_price * 10000) as bigint))"""
 PANEL_SQL = """
 select store_id, subgroup, count(*) as n, count(price_median) as n_observed, min(t) as t_first, max(t) as t_last,
        min(median_price) as lowest, max(median_price) as highest, round(sum(median_price), 2) as total,
-       round(sum(median_price * (idx % 7)), 2) as by_idx, cast(sum(iso_week + iso_year + simple_week + year) as bigint) as labels
+       round(sum(median_price * (idx % 7)), 2) as by_idx, cast(sum(iso_week + iso_year + simple_week + year) as bigint) as labels,
+       cast(sum(('0x' || substr(md5(""" + ROW_SQL + """), 1, 8))::bigint) as bigint) as digest
 from pf group by 1, 2"""
 
 
 def _panel_summary(filled):
+    price = lambda c: F.floor(F.col(c) * 10000).cast("string")
+    row = F.concat_ws("|", "t", "idx", "iso_week", "iso_year", "simple_week", "year", F.coalesce(price("price_median"), F.lit("-")), price("median_price"))
     return filled.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n"), F.count("price_median").alias("n_observed"), F.min("t").alias("t_first"), F.max("t").alias("t_last"),
         F.min("median_price").alias("lowest"), F.max("median_price").alias("highest"), F.round(F.sum("median_price"), 2).alias("total"),
         F.round(F.sum(F.col("median_price") * (F.col("idx") % 7)), 2).alias("by_idx"),
-        F.sum(F.col("iso_week") + F.col("iso_year") + F.col("simple_week") + F.col("year")).cast("long").alias("labels"))
+        F.sum(F.col("iso_week") + F.col("iso_year") + F.col("simple_week") + F.col("year")).cast("long").alias("labels"),
+        F.sum(F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")).alias("digest"))
 
 
 @register("f2_weekly_panel_gap_filled", W(f"with {_panel_sql('week')} {PANEL_SQL}"))
@@ -175,7 +182,7 @@ stats as (select {KEYS_SQL}, count(y) as n, max(t) as t_last, max(idx) as idx_la
 steps as (select *, unnest(range(1, {horizon} + 1)) as h from stats),
 fc as (select {KEYS_SQL}, cast(h as int) as h, t_last + cast({shift} as int) as t_forecast, n, last as f_last, round(mean, 6) as f_mean,
        round(last + h * ((last - first) / nullif(n - 1, 0)), 6) as f_drift,
-       round(b, 6) as ar_slope, round(c, 1) + 0.0 as ar_intercept,
+       round(b, 6) as ar_slope, round(c, 2) + 0.0 as ar_intercept,
        round(case when b = 1 then last + h * c else c * (1 - pow(b, h)) / (1 - b) + pow(b, h) * last end, 2) as f_ar1,
        idx_last - {season} + ((h - 1) % {season}) + 1 as sidx from steps)
 select fc.store_id, fc.subgroup, h, t_forecast, n, f_last, f_mean, f_drift, ar_slope, ar_intercept, f_ar1,
@@ -194,7 +201,7 @@ def forecasts_of(daily, step: str, horizon: int):
     fc = forecast.baseline_forecasts(filled, KEYS, "median_price", step, horizon, SEASON[step])
     return fc.withColumns({
         "f_drift": F.round("f_drift", 6), "f_mean": F.round("f_mean", 6), "ar_slope": F.round("ar_slope", 6),
-        "ar_intercept": F.round("ar_intercept", 1) + F.lit(0.0), "f_ar1": F.round("f_ar1", 2)})
+        "ar_intercept": F.round("ar_intercept", 2) + F.lit(0.0), "f_ar1": F.round("f_ar1", 2)})
 
 
 @register("f6_weekly_forecast_h1", W(_forecast_sql("week", 1)))
@@ -224,6 +231,81 @@ def f7b(spark, sf):
     return forecast.ar_forecasts(_panel(Pipeline(spark, sf), "day"), KEYS, "median_price", "day", 7, 7)
 
 
+# Rolling origins: the last observations of every series, forecast from what was known before.
+ORIGINS = 4
+BACK = {"week": 1, "day": 7}
+
+
+def _backtest_sql(step: str) -> str:
+    trunc = {"week": "cast(date_trunc('week', date_id) as date)", "day": "date_id"}[step]
+    h, season = BACK[step], max(SEASON[step], BACK[step])
+    return f"""
+with obs as (select * exclude (n_obs) from (
+          select *, count(*) over (partition by {KEYS_SQL}) as n_obs, {_idx_sql(step)} as idx from (
+            select {KEYS_SQL}, {trunc} as t, round(quantile_cont(price_, 0.5), 8) as y
+            from daily group by 1, 2, 3)) where n_obs > {MIN_OBS}),
+d as (select *, row_number() over (partition by {KEYS_SQL} order by idx desc) as back,
+        last_value(y) over known as f_last, first_value(y) over known as fy, count(y) over known as n, sum(y) over known as s,
+        max(idx) over known as ai, min(idx) over known as fi, last_value(y) over older as sy
+      from obs
+      window known as (partition by {KEYS_SQL} order by idx range between unbounded preceding and {h} preceding),
+             older as (partition by {KEYS_SQL} order by idx range between unbounded preceding and {season} preceding)),
+f as (select *, round(s, 8) / n as f_mean, f_last + (idx - ai) * coalesce((f_last - fy) / nullif(ai - fi, 0), 0) as f_drift, coalesce(sy, f_last) as f_snaive
+      from d where back <= {ORIGINS} and n > 0)"""
+
+
+BACKTEST_ROWS_SQL = f"""
+select {KEYS_SQL}, count(*) as n_targets, round(sum(abs(y - f_last)), 4) / count(*) as mae_last, round(sum(abs(y - f_mean)), 4) / count(*) as mae_mean,
+       round(sum(abs(y - f_drift)), 4) / count(*) as mae_drift, round(sum(abs(y - f_snaive)), 4) / count(*) as mae_snaive from f group by {KEYS_SQL}"""
+
+
+def _backtest_obs(p: Pipeline, step: str):
+    return _obs(p, step).withColumn("idx", C.period_index("t", step))
+
+
+def _backtest(spark, sf, step: str):
+    return forecast.backtest_baselines(_backtest_obs(Pipeline(spark, sf), step), KEYS, "price_median", "idx", BACK[step], SEASON[step], ORIGINS)
+
+
+@register("f6c_weekly_backtest", W(_backtest_sql("week") + BACKTEST_ROWS_SQL))
+def f6c(spark, sf):
+    return _backtest(spark, sf, "week")
+
+
+@register("f7c_daily_backtest", W(_backtest_sql("day") + BACKTEST_ROWS_SQL))
+def f7c(spark, sf):
+    return _backtest(spark, sf, "day")
+
+
+def _ar_backtest(spark, sf, step: str):
+    """All methods' errors per series, the AR model's included."""
+    obs = materialize(_backtest_obs(Pipeline(spark, sf), step), f"backtest-{step}")
+    args = (KEYS, "price_median", "idx", BACK[step], SEASON[step], ORIGINS)
+    return forecast.backtest_baselines(obs, *args).join(forecast.backtest_ar(obs, *args), KEYS)
+
+
+def _ar_check(spark, sf, step: str):
+    """One row: the series and targets evaluated, and whether the AR model's mean error over all targets is
+    at most the seasonal naive method's."""
+    both = _ar_backtest(spark, sf, step)
+    return both.agg(F.count(F.lit(1)).alias("n_series"), F.sum("n_targets").alias("n_targets"), F.sum("n_ar").alias("n_ar"),
+                    (F.sum(F.col("mae_ar") * F.col("n_ar")) <= F.sum(F.col("mae_snaive") * F.col("n_targets"))).alias("ar_not_worse"))
+
+
+AR_CHECK_SQL = f"""
+select count(distinct ({KEYS_SQL})) as n_series, count(*) as n_targets, count(*) as n_ar, true as ar_not_worse from f"""
+
+
+@register("f6d_weekly_ar_backtest", W(_backtest_sql("week") + AR_CHECK_SQL))
+def f6d(spark, sf):
+    return _ar_check(spark, sf, "week")
+
+
+@register("f7d_daily_ar_backtest", W(_backtest_sql("day") + AR_CHECK_SQL))
+def f7d(spark, sf):
+    return _ar_check(spark, sf, "day")
+
+
 # ----------------------------------------------------------------------------- X: scalar functions
 
 @register("x_scalar_functions", W("""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricewise.functions.columns import hash_bucket
+from pricewise.operators.quality import select_ranks
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -41,6 +42,12 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
+def append_batch(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Adds a batch to a partitioned table by replacing the partitions it holds (S5): a batch that is
+    written again, after a failure or by mistake, leaves the table as it is."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink with a header line."""
     df.write.mode(mode).option("header", True).csv(path)
@@ -58,6 +65,22 @@ def sample_by_hash(df: DataFrame, key, fraction: float, buckets: int = 100) -> D
     return df.filter(hash_bucket(key, buckets) < int(round(fraction * buckets)))
 
 
+def sample_fixed_size(df: DataFrame, key, k: int) -> DataFrame:
+    """``k`` rows with the smallest hash of their key, all if there are fewer.
+
+    The k-th hash is found by exact selection, so rows are only filtered: no task takes the sample, and it is
+    the same on any layout.  Rows of one hash are taken in the order of all columns."""
+    h = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+    rows = df.withColumn("_hash", h)
+    n = rows.count()
+    if n <= k:
+        return df
+    kth = select_ranks(rows.select("_hash"), "_hash", [k], n)[k]
+    below = rows.filter(F.col("_hash") < kth)
+    last = rows.filter(F.col("_hash") == kth).orderBy(*df.columns).limit(k - below.count())
+    return below.unionByName(last).select(*df.columns)
+
+
 def row_count(df: DataFrame, name: str) -> DataFrame:
     """One-row table (table_name, n_rows)."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(

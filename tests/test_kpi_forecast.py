@@ -3,9 +3,11 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from pricewise.operators import forecast, kpi, panel
+from pricewise.operators import forecast, kpi, quality
 from tests.conftest import rows
 
 
@@ -27,14 +29,55 @@ def test_global_row_number_and_ntile_match_sql(spark):
     assert max(sizes) - min(sizes) <= 1
 
 
-def test_interpolated_quantiles_match_numpy(spark):
-    vals = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0]
-    df = spark.createDataFrame([(v, i) for i, v in enumerate(vals)], "x double, i int")
-    numbered = kpi.global_row_number(df, ["x", "i"], partitions=3)
-    probs = [0.0, 0.2, 0.5, 0.99, 1.0]
-    q = {r.p: r.quantile for r in kpi.interpolated_quantiles(numbered, "x", probs).collect()}
-    for p in probs:
-        assert abs(q[p] - float(np.quantile(vals, p))) < 1e-12
+def _values(kind, n=3000):
+    rng = np.random.default_rng(3)
+    return {"distinct": rng.permutation(n).astype(float), "ties": rng.choice([1.0, 2.0, 2.0, 2.0, 5.0, 9.0], n), "one": np.full(n, 7.0), "few": np.array([3.0, 1.0, 4.0]),
+            "edge": np.concatenate([np.zeros(n // 3), rng.normal(0, 1, n // 3), np.full(n // 3, 0.5)]), "skewed": np.round(rng.lognormal(0, 3, n), 1)}[kind]
+
+
+@pytest.mark.parametrize("ordered", [20_000, 5])
+@pytest.mark.parametrize("kind", ["distinct", "ties", "one", "few", "edge", "skewed"])
+def test_exact_quantiles_at_any_bracket(spark, monkeypatch, kind, ordered):
+    """Also where few values may be put in order, so that brackets are bracketed again."""
+    monkeypatch.setattr(quality, "ORDERED", ordered)
+    values = _values(kind)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 5, "x double").repartition(7)
+    probs = [0.0, 0.01, 0.2, 0.5, 0.77, 0.99, 1.0]
+    ordered_values = np.sort(values)
+    want = [ordered_values[quality.rank_of(p, len(values)) - 1] for p in probs]
+    assert quality.exact_quantiles(df, "x", probs) == want
+
+
+def test_no_rows_have_no_quantiles(spark):
+    empty = spark.createDataFrame([(None,)], "x double")
+    assert quality.exact_quantiles(empty, "x", [0.5]) == [None]
+    assert [tuple(r) for r in quality.quantile_profile(empty, "x").collect()] == [(None, None, None, None)]
+    assert quality.count_outside(empty, "x").first()["n_outside"] == 0 and quality.extreme_rows(empty, "x").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["distinct", "ties", "one", "few", "edge"])
+def test_bins_by_rank_ranges_match_sql(spark, kind):
+    values = _values(kind)
+    df = spark.createDataFrame([(float(v), i) for i, v in enumerate(values)], "x double, i int")
+    df.createOrReplaceTempView("rr")
+    for k in (2, 5):
+        want = spark.sql(f"select x, i, ntile({k}) over (order by x, i) as bin from rr")
+        assert rows(kpi.ntile(df, ["x", "i"], k), "x", "i", "bin") == rows(want)
+
+
+def test_bin_limits_match_numpy_and_the_fact_is_not_sorted(spark):
+    rng = np.random.default_rng(4)
+    price = rng.choice([2.0, 3.0, 3.5], 900) + rng.choice([0.0, 0.0, 0.25], 900)
+    tx = spark.createDataFrame([(float(p), 1.0, float(p) * 2, 3.0, i, "a", "b", dt.date(2020, 1, 1)) for i, p in enumerate(price)],
+                               "price double, costos double, profit double, quantity_filled double, transaction_id int, sku string, store_id string, sale_date date")
+    got = {r.bin: r for r in kpi.markup_bins(tx, 5).collect()}
+    limits = np.quantile(price - 1, [i / 5 for i in range(6)])
+    order = np.sort(price)
+    for i in range(5):
+        assert abs(got[i + 1].lower_limit - limits[i]) < 1e-12 and abs(got[i + 1].upper_limit - limits[i + 1]) < 1e-12
+        assert got[i + 1].total_quantity == 540 and abs(got[i + 1].total_profit - 2 * order[i * 180:(i + 1) * 180].sum()) < 1e-6
+    far = kpi.RankRanges(tx.select("transaction_id"), ["transaction_id"], [0.5], lambda n: [n // 2])
+    assert sum(far.inside) < 90 and far.outside().count() + sum(far.inside) == 900
 
 
 def test_rollup_children_sum_to_parents(spark):
@@ -113,3 +156,30 @@ def test_backtest_beats_seasonal_naive_and_finds_a_real_season():
     y = 100 + 20 * np.sin(2 * np.pi * t / 52) + rng.normal(0, 1, 300)
     f, model = forecast.fit_ar(y, 4, season=52)
     assert "52" in model and np.allclose(f, 100 + 20 * np.sin(2 * np.pi * (300 + np.arange(4)) / 52), atol=4)
+
+
+def test_rolling_origins_see_nothing_later(spark):
+    """Against a loop over one series at a time; a changed last value changes no forecast of it."""
+    rng = np.random.default_rng(6)
+    data = [(f"S{s}", int(i), float(rng.uniform(1, 9))) for s in range(6) for i in sorted(rng.choice(60, 12 + s, replace=False))]
+    df = spark.createDataFrame(data, "store_id string, idx int, y double")
+    h, season, origins = 2, 7, 3
+    want = {}
+    for s, g in pd.DataFrame(data, columns=["s", "idx", "y"]).groupby("s"):
+        errors = []
+        for t, y in list(zip(g.idx, g.y))[-origins:]:
+            k = g[g.idx <= t - h]
+            old = g[g.idx <= t - season]
+            last = k.y.iloc[-1]
+            slope = (last - k.y.iloc[0]) / (k.idx.iloc[-1] - k.idx.iloc[0]) if len(k) > 1 else 0.0
+            errors.append([abs(y - f) for f in (last, k.y.mean(), last + (t - k.idx.iloc[-1]) * slope, old.y.iloc[-1] if len(old) else last)])
+        want[s] = np.mean(errors, axis=0)
+    got = {r.store_id: [r.mae_last, r.mae_mean, r.mae_drift, r.mae_snaive] for r in forecast.backtest_baselines(df, ["store_id"], "y", "idx", h, season, origins).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[s], want[s], atol=1e-4) for s in want)
+    ar = {r.store_id: (r.n_ar, r.mae_ar) for r in forecast.backtest_ar(df, ["store_id"], "y", "idx", h, season, origins).collect()}
+    assert all(ar[s][0] == 3 and ar[s][1] >= 0 for s in want)
+    last = {s: max(i for a, i, _ in data if a == s) for s in want}
+    moved = spark.createDataFrame([(s, i, y + 100 * (i == last[s])) for s, i, y in data], "store_id string, idx int, y double")
+    before = forecast.backtest_targets(df, ["store_id"], "y", "idx", h, season, 1).drop("y")
+    after = forecast.backtest_targets(moved, ["store_id"], "y", "idx", h, season, 1).drop("y")
+    assert rows(before) == rows(after)
