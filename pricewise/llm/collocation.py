@@ -7,9 +7,9 @@ is the flow out of its node (all longer grams that begin with it) plus the corre
 there; nothing is counted twice and no shorter gram is shuffled from the texts.  Frequent
 edges are compacted into unary paths before the node flows are taken from them.
 
-A first pass hashes words and adjoining pairs into ``2 ** bits`` counters, in ranges spread
-over the tasks.  A pair under ``min_count`` in its counter cannot stand in a candidate or in a part of one, so
-texts are also cut there, like at the end of a piece: counts of phrases that matter stay exact whatever the
+A first pass hashes grams of all lengths into ``2 ** bits`` counters, in ranges spread over the
+tasks.  A gram under ``min_count`` in its counter is neither a candidate nor a part of one, so a position's
+gram also ends there, like at the end of a piece: counts of phrases that matter stay exact whatever the
 counters share.  Only one bit a counter is sent to the tasks (16 MB at 27 bits, at any corpus size).
 
 Cases: a null text has no words; a null lang is ``und`` (with documents that say ``und``); words are
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,10 @@ from pricewise.llm.common import ship, slices, text_bytes, texts
 from pricewise.session import materialize
 
 WORDS = 4                 # words of an edge, and of the longest phrase
-BITS = 27                 # counters of the pair filter: 2 ** BITS bits are broadcast
-RANGE_BITS = 17           # counters of one range
-CHUNK = 1 << 21           # bytes of text per vectorised step
-HELD = 400_000            # distinct grams a task holds before it sends them on
+BITS = 27                 # counters of the gram filter: 2 ** BITS bits are broadcast
+RANGE_BITS = 16           # counters of one range
+CHUNK = 1 << 20           # bytes of text per vectorised step
+HELD = 600_000            # distinct grams a task holds before it sends them on
 PATH_EDGES = 4096         # edges per row of a path; longer paths take several rows
 
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -77,16 +78,23 @@ class Words:
         self.own = int(np.searchsorted(self.starts, limit))
         self.plain = (self.starts[1:] - self.ends[:-1] == 1) & (a[self.ends[:-1]] == 32)
 
-    def hashes(self, lang: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Counter of every word, and of every word with its next one."""
+    def hashes(self, lang: str, bits: int) -> list[np.ndarray]:
+        """Counters of the grams of 1, 2, ... words from every word on, whether or not they are in one piece."""
         power, inverse = _powers(len(self.buf) + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((np.frombuffer(self.buf, np.uint8).astype(np.uint64) + np.uint64(1)) * power[: len(self.buf)])])
-        h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
         seed = np.uint64(int.from_bytes(lang.encode()[:64], "little") * _BASE % (1 << 64))
-        one = _mix(h ^ seed)
-        two = _mix(one[:-1] * np.uint64(3) + _mix(one[1:] + np.uint64(1)))
-        shift = np.uint64(64 - bits)
-        return (one >> shift).astype(np.int64), (two >> shift).astype(np.int64)
+        one = _mix(((sums[self.ends] - sums[self.starts]) * inverse[self.starts]) ^ seed)
+        grams = [one]
+        for k in range(1, WORDS):
+            grams.append(_mix(grams[-1][:-1] * np.uint64(3) + one[k:] + np.uint64(k)))
+        return [(g >> np.uint64(64 - bits)).astype(np.uint32) for g in grams]
+
+    def runs(self) -> list[np.ndarray]:
+        """Whether the gram of 1, 2, ... words from every word on is in one piece."""
+        out = [np.ones(len(self.starts), bool)]
+        for k in range(1, WORDS):
+            out.append(out[-1][:-1] & self.joined[k - 1:])
+        return out
 
 
 def _chunks(batches) -> Iterator[tuple[str, Words]]:
@@ -111,7 +119,7 @@ def _chunks(batches) -> Iterator[tuple[str, Words]]:
 
 
 def _counter_blobs(bits: int, range_bits: int, least: int):
-    """Counts of hashed words and pairs, packed per range of counters; ``least`` is as good as more."""
+    """Counts of hashed grams, packed per range of counters; ``least`` is as good as more."""
     def run(batches):
         seen, held, totals = [], 0, Counter()
 
@@ -122,17 +130,17 @@ def _counter_blobs(bits: int, range_bits: int, least: int):
             ranges, places, counts = [], [], []
             for i, c in zip(np.split(at, cuts), np.split(n, cuts)):
                 ranges.append(int(i[0] >> range_bits))
-                places.append((i & ((1 << range_bits) - 1)).astype("<u4").tobytes())
+                places.append((i & ((1 << range_bits) - 1)).astype("<u2").tobytes())
                 counts.append(c.tobytes())
             return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary()),
                                                pa.nulls(len(ranges), pa.string()), pa.nulls(len(ranges), pa.int64())], names=["range", "places", "counts", "lang", "n"])
 
         for lang, w in _chunks(batches):
             totals[lang] += w.own
-            one, two = w.hashes(lang, bits)
-            seen += [one[: w.own].astype(np.uint32), two[: w.own][w.joined[: w.own]].astype(np.uint32)]
-            held += len(seen[-1]) + len(seen[-2])
-            if held > 6_000_000:
+            for gram, inside in zip(w.hashes(lang, bits), w.runs()):
+                seen.append(gram[: w.own][inside[: w.own]])
+                held += len(seen[-1])
+            if held > 3_000_000:
                 yield packed()
                 seen, held = [], 0
         if held:
@@ -150,7 +158,7 @@ def _sum_ranges(range_bits: int, least: int):
         for batch in batches:
             for r, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 held = sums.setdefault(r, np.zeros(1 << range_bits, np.uint8))
-                at = np.frombuffer(places, "<u4")
+                at = np.frombuffer(places, "<u2")
                 held[at] = np.minimum(held[at].astype(np.uint16) + np.frombuffer(counts, np.uint8), least)
         for r, held in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(held >= least).tobytes()], pa.binary())], names=["range", "bits"])
@@ -171,24 +179,24 @@ def _grams(may_be: list, bits: int, range_bits: int):
         found: dict[tuple[str, int], Counter] = defaultdict(Counter)
 
         def rows():
-            out = [(lang, size, g, n) for (lang, size), c in found.items() for g, n in c.items()]
-            found.clear()
-            lang, size, gram, n = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(gram, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
-                                              names=["lang", "size", "gram", "n"])
+            while found:
+                (lang, size), c = found.popitem()
+                entries = iter(c.items())
+                while part := list(islice(entries, 50_000)):
+                    gram, n = zip(*part)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(part), np.int8))), pa.array(np.full(len(part), size, np.int32)),
+                                                      pa.array(gram, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "size", "gram", "n"])
 
         for lang, w in _chunks(batches):
-            one, two = w.hashes(lang, bits)
-            ok = frequent(one)
-            pair = frequent(two) & w.joined & ok[:-1] & ok[1:]
-            # words that follow without a cut
-            run_on = np.zeros((WORDS, len(ok)), bool)
-            run_on[0] = ok
-            for k in range(1, WORDS):
-                run_on[k, : len(pair)] = pair
-                if k > 1:
-                    run_on[k, :-1] &= run_on[k - 1, 1:]
-            size = run_on.cumprod(axis=0).sum(axis=0)[: w.own]
+            size = np.zeros(len(w.starts), np.int64)
+            longer = None
+            for k, (gram, inside) in enumerate(zip(w.hashes(lang, bits), w.runs())):
+                ok = frequent(gram) & inside
+                if k:       # both parts of one word less are frequent too
+                    ok &= longer[:-1] & longer[1:]
+                longer = ok
+                size[: len(ok)] += ok
+            size = size[: w.own]
             odd = np.concatenate([np.cumsum(np.concatenate([[0], ~w.plain])), [0]])
             for k in range(1, WORDS + 1):
                 at = np.flatnonzero(size == k)
@@ -198,9 +206,8 @@ def _grams(may_be: list, bits: int, range_bits: int):
                     grams[i] = b" ".join(re.split(rb"[ \t]+", grams[i]))
                 found[lang, k].update(grams)
             if sum(map(len, found.values())) > HELD:
-                yield rows()
-        if any(found.values()):
-            yield rows()
+                yield from rows()
+        yield from rows()
     return run
 
 
@@ -211,10 +218,10 @@ def longest_grams(docs: DataFrame, min_count: int, bits: int = BITS) -> tuple[Da
     ship(docs.sparkSession)
     spark = docs.sparkSession
     if min_count > 255:
-        raise ValueError("counters of the pair filter hold a byte")
+        raise ValueError("counters of the gram filter hold a byte")
     range_bits = min(RANGE_BITS, bits)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs = materialize(one.mapInArrow(_counter_blobs(bits, range_bits, min_count), "range int, places binary, counts binary, lang string, n long"), "pair-counters")
+    blobs = materialize(one.mapInArrow(_counter_blobs(bits, range_bits, min_count), "range int, places binary, counts binary, lang string, n long"), "gram-counters")
     totals = blobs.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     summed = blobs.filter("range is not null").select("range", "places", "counts").repartition(parts, "range").mapInArrow(_sum_ranges(range_bits, min_count), "range int, bits binary")
     # 2 ** bits bits in all, whatever the corpus
