@@ -33,6 +33,8 @@ DICTIONARY_WORDS = 32_768
 DICTIONARY_BYTES = 48
 #: Runs of more pieces merge all places of a rank in one step.
 LONG = 256
+#: Spark keeps the plan of every execution as text; the literal tables would fill megabytes of it each time.
+PLAN_TEXT = 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -175,7 +177,9 @@ class Codec:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded): the ids of every whole text and the bytes decoded from them."""
+    """(doc_id, ids, decoded): the ids of every whole text and the bytes decoded from them.  Sets the
+    session's ``spark.sql.maxPlanStringLength``, which only shortens plan texts, to ``PLAN_TEXT``."""
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     codec = Codec(ranks, pattern).learn_common(docs)
     ids = texts(docs).select("doc_id", codec.ids(F.col("text")).alias("ids"))
     return ids.select("doc_id", "ids", codec.id_bytes(F.col("ids")).alias("id_bytes"), codec.decode(F.col("ids")).alias("decoded"))
