@@ -1,41 +1,51 @@
-"""Byte-level BPE encoding and decoding with Spark higher-order functions.
+"""Byte-level BPE encoding and decoding over distinct words.
 
-The rank map is a literal: an array of small maps, addressed by the hash of the piece, so a
-lookup costs the same whatever the vocabulary's size.  A word's bytes are folded by ranked
-merges (lowest rank first, leftmost first).  Common words are encoded once, as a literal
-dictionary; all others are folded where they occur.  The dictionary comes from a bounded
-sample of documents and only saves time: both ways give the same ids.
+Tasks cut whole texts into words and write them once, a slice of a few megabytes of text at a time:
+every document as numbers of its slice's distinct words.  The distinct words of all slices are
+shuffled, and each is folded once: Spark higher-order functions apply ranked merges (lowest rank
+first, leftmost first) to its bytes.  The rank map is a literal: an array of small maps,
+addressed by the hash of the piece, so a lookup costs the same whatever the vocabulary's size.
+The ids go back to the slices that hold the word, where documents are put together and decoded.
 
-Bytes and pieces are written as hex strings inside the expressions (a piece is a string key),
-ids and decoded texts come out as binary.
+A word is shuffled once per slice, however often it occurs, so a word that is in every document
+weighs one row per slice.  Words of more than ``LONG_BYTES`` bytes are merged where they occur, by a
+heap of ranks: the fold rewrites its arrays with every merge, which is quadratic in the length.
 
-Cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded
-alike; a long run without a boundary merges all places of a rank at once where that is
-provably the same; an empty table gives an empty result; extra columns are ignored by
-``encode`` and kept by ``encoded_documents``.
+Bytes and pieces are written as hex strings inside the expressions (a piece is a string key).
+
+Cases: a null or empty text has no ids and decodes to no bytes; repeated rows, also of one doc_id,
+are encoded alike and each has its row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-from collections.abc import Callable
+import uuid
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count
 
+import numpy as np
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewise.llm.common import texts
+from pricewise.llm.common import ship, slices, texts
+from pricewise.session import materialize
 
-#: Documents that the dictionary of common words is taken from, its entries, their most bytes.
-SAMPLE_DOCUMENTS = 20_000
-DICTIONARY_WORDS = 32_768
-DICTIONARY_BYTES = 48
-#: Runs of more pieces merge all places of a rank in one step.
-LONG = 256
-#: Spark keeps the plan of every execution as text; the literal tables would fill megabytes of it each time.
+#: Bytes of text whose distinct words are numbered together, and the longest word that is shuffled and folded.
+SLICE_BYTES = 4_000_000
+LONG_BYTES = 128
+#: Spark keeps the plan of every execution as text; the literal rank map would fill megabytes of it each time.
 PLAN_TEXT = 50_000
 
+SPLIT = "slice long, doc_id long, numbers binary, words array<struct<word: string, ids: array<int>>>"
+CODED = "doc_id long, ids array<int>, id_bytes binary, decoded binary"
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -47,13 +57,13 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _buckets(entries: dict[str, object], kind: str) -> tuple[Column, int]:
+def _buckets(entries: dict[str, int]) -> tuple[Column, int]:
     """A literal map as an array of maps of an entry or two, and the bits of its address."""
     bits = max(1, len(entries).bit_length() - 1)
     rows: list[dict] = [{} for _ in range(1 << bits)]
     for k, v in entries.items():
         rows[xxhash.xxh64_intdigest(k.encode(), 42) & ((1 << bits) - 1)][k] = v
-    return F.from_json(F.lit(json.dumps(rows)), f"array<map<string,{kind}>>"), bits
+    return F.from_json(F.lit(json.dumps(rows)), "array<map<string,int>>"), bits
 
 
 def _find(table: Column, bits: int, key: Column) -> Column:
@@ -61,125 +71,169 @@ def _find(table: Column, bits: int, key: Column) -> Column:
     return F.try_element_at(F.get(table, F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), key)
 
 
-class Codec:
-    """Column expressions of one vocabulary and splitting pattern.
-
-    Every expression binds its literal tables once, as a lambda variable around the rest:
-    each mention of a literal would be another copy in the plan that tasks receive."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = pattern
-        self.ranks, self.bits = _buckets({k.hex().upper(): v for k, v in ranks.items()}, "int")
-        top = max(ranks.values(), default=-1) + 1
-        pieces, codes = [""] * top, [""] * top
-        for k, v in ranks.items():
-            pieces[v], codes[v] = k.hex(), v.to_bytes(4, "little").hex()
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-        self.codes = F.from_json(F.lit(json.dumps(codes)), "array<string>")
-        self.common: tuple[Column, int] | None = None
-
-    def words(self, text: Column) -> Column:
-        """All matches of the pattern; classes such as white space are Unicode's."""
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + self.pattern), F.lit(0))
-
-    def _state(self, pieces: Column, ranks: Column) -> Column:
-        return F.struct(pieces.alias("p"), ranks.alias("r"), F.array_min(ranks).alias("best"))
-
-    def _pairs(self, rank, p: Column) -> Column:
-        last = F.size(p) - 1
-        return F.zip_with(F.slice(p, F.lit(1), last), F.slice(p, F.lit(2), last), lambda a, b: rank(F.concat(a, b)))
-
-    def _merge_first(self, rank, s: Column) -> Column:
-        """Merge the leftmost place of the best rank; only its two neighbours' ranks change."""
-        def at(i):
-            joined = F.concat(F.get(s.p, i - 1), F.get(s.p, i))
-
-            def merged(t):
-                n = F.size(s.p)
-                left, right = rank(F.concat(F.get(s.p, i - 2), t)), rank(F.concat(t, F.get(s.p, i + 1)))
-                p = F.transform(F.slice(s.p, F.lit(1), n - 1), lambda x, k: F.when(k < i - 1, x).when(k == i - 1, t).otherwise(F.get(s.p, k + 1)))
-                r = F.transform(F.slice(s.r, F.lit(1), n - 2), lambda x, k: F.when(k < i - 2, x).when(k == i - 2, left)
-                                .when(k == i - 1, right).otherwise(F.get(s.r, k + 1)))
-                return _let(r, lambda r: self._state(p, r))
-
-            return _let(joined, merged)
-
-        return _let(F.array_position(s.r, s.best).cast("int"), at)
-
-    def _merge_all(self, rank, s: Column) -> Column:
-        """Merge every place of the best rank, left to right, in one step.  One at a time
-        does the same unless a merge makes a neighbour of the same or a better rank; then only the
-        leftmost place is merged."""
-        flags = F.array_join(F.transform(s.r, lambda x: F.when(x == s.best, F.lit("1")).otherwise(F.lit("0"))), "")
-        # of adjoining places every second one is taken: they would overlap
-        chosen = F.split(F.replace(flags, F.lit("11"), F.lit("10")), "")
-
-        def with_chosen(c):
-            here = lambda i: F.coalesce(F.get(c, i) == "1", F.lit(False))
-            merge = lambda i: F.concat(F.get(s.p, i), F.get(s.p, i + 1))
-            better = lambda key: F.coalesce(rank(key) <= s.best, F.lit(False))
-
-            def clash(x, i):
-                before = F.when(here(i - 2), merge(i - 2)).otherwise(F.get(s.p, i - 1))
-                return here(i) & (better(F.concat(merge(i), F.get(s.p, i + 2))) | better(F.concat(before, merge(i))))
-
-            p = F.filter(F.transform(s.p, lambda x, i: F.when(here(i - 1), F.lit(None).cast("string")).when(here(i), merge(i)).otherwise(x)), lambda x: x.isNotNull())
-            clashes = F.exists(F.transform(s.p, clash), lambda x: x)
-            return F.when(clashes, self._merge_first(rank, s)).otherwise(_let(p, lambda p: _let(self._pairs(rank, p), lambda r: self._state(p, r))))
-
-        return _let(chosen, with_chosen)
-
-    def _fold(self, rank, word: Column) -> Column:
-        """Ids of one word: its own rank, or the merges of its bytes."""
-        def of_bytes(b):
-            n = F.length(b)
-            pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.hex(F.substring(b, i, F.lit(1))))
-            start = _let(pieces, lambda p: _let(self._pairs(rank, p), lambda r: self._state(p, r)))
-            step = lambda s, _: F.when(s.best.isNull(), s).when(F.size(s.p) > LONG, self._merge_all(rank, s)).otherwise(self._merge_first(rank, s))
-            return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.transform(s.p, rank))
+def _state(pieces: Column, ranks: Column) -> Column:
+    return F.struct(pieces.alias("p"), ranks.alias("r"), F.array_min(ranks).alias("best"))
+
 
-        return F.coalesce(F.transform(F.array(rank(F.hex(word))), lambda x: F.when(x.isNotNull(), F.array(x)))[0],
-                          _let(F.encode(word, "UTF-8"), of_bytes))
+def _merge_first(rank, s: Column) -> Column:
+    """Merge the leftmost place of the best rank; only its two neighbours' ranks change."""
+    def at(i):
+        joined = F.concat(F.get(s.p, i - 1), F.get(s.p, i))
 
-    def fold(self, word: Column) -> Column:
-        return _let(self.ranks, lambda t: self._fold(lambda key: _find(t, self.bits, key), word))
+        def merged(t):
+            n = F.size(s.p)
+            left, right = rank(F.concat(F.get(s.p, i - 2), t)), rank(F.concat(t, F.get(s.p, i + 1)))
+            p = F.transform(F.slice(s.p, F.lit(1), n - 1), lambda x, k: F.when(k < i - 1, x).when(k == i - 1, t).otherwise(F.get(s.p, k + 1)))
+            r = F.transform(F.slice(s.r, F.lit(1), n - 2), lambda x, k: F.when(k < i - 2, x).when(k == i - 2, left)
+                            .when(k == i - 1, right).otherwise(F.get(s.r, k + 1)))
+            return _let(r, lambda r: _state(p, r))
 
-    def learn_common(self, docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, words: int = DICTIONARY_WORDS) -> Codec:
-        """Fold the most frequent words of the ``documents`` with the smallest hash of doc_id once, as
-        a literal dictionary of at most ``words`` entries of at most ``DICTIONARY_BYTES`` bytes."""
-        one = texts(docs)
-        ids = one.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-        found = one.join(F.broadcast(ids), "doc_id").select(F.explode(self.words(F.col("text"))).alias("word")) \
-            .filter(F.octet_length("word") <= DICTIONARY_BYTES).groupBy("word").count() \
-            .orderBy(F.desc("count"), "word").limit(words)
-        entries = {r["word"]: r["ids"] for r in found.select("word", self.fold(F.col("word")).alias("ids")).collect()}
-        self.common = _buckets(entries, "array<int>") if entries else None
-        return self
+        return _let(joined, merged)
 
-    def ids(self, text: Column) -> Column:
-        """Ids of a whole text: each word from the dictionary, else folded."""
-        def encoded(ranks, known):
-            fold = lambda w: self._fold(lambda key: _find(ranks, self.bits, key), w)
-            return F.flatten(F.transform(self.words(text), (lambda w: F.coalesce(known(w), fold(w))) if known else fold))
+    return _let(F.array_position(s.r, s.best).cast("int"), at)
 
-        if self.common is None:
-            return _let(self.ranks, lambda ranks: encoded(ranks, None))
-        table, bits = self.common
-        return _let(self.ranks, lambda ranks: _let(table, lambda t: encoded(ranks, lambda w: _find(t, bits, w))))
 
-    def id_bytes(self, ids: Column) -> Column:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(_let(self.codes, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
+def fold(word: Column, ranks: dict[bytes, int]) -> Column:
+    """Ids of one word: its own rank, or the ranked merges of its bytes.  The literal map is bound
+    once, as a lambda variable: each mention would be another copy in the plan that tasks receive."""
+    table, bits = _buckets({k.hex().upper(): v for k, v in ranks.items()})
+
+    def folded(t):
+        rank = lambda key: _find(t, bits, key)
+
+        def of_bytes(b):
+            n = F.length(b)
+            pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.hex(F.substring(b, i, F.lit(1))))
+            pairs = lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda x, y: rank(F.concat(x, y)))
+            start = _let(pieces, lambda p: _let(pairs(p), lambda r: _state(p, r)))
+            step = lambda s, _: F.when(s.best.isNull(), s).otherwise(_merge_first(rank, s))
+            return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.transform(s.p, rank))
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes that the ids stand for."""
-        return F.unhex(_let(self.pieces, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
+        whole = F.transform(F.array(rank(F.hex(word))), lambda x: F.when(x.isNotNull(), F.array(x)))[0]
+        return F.coalesce(whole, _let(F.encode(word, "UTF-8"), of_bytes))
+
+    return _let(table, folded)
+
+
+def merge_long(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one long word, by the same merges in the same order: a heap of (rank, place) over linked pieces."""
+    if data in ranks:
+        return [ranks[data]]
+    n = len(data)
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    end.append(0)
+
+    def rank(i: int) -> int | None:
+        j = after[i]
+        return ranks.get(data[i:end[j]]) if j < n else None
+
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(i)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, upto = heapq.heappop(heap)
+        j = after[i] if end[i] else n
+        if j >= n or end[j] != upto:
+            continue  # one of the two has been merged since
+        end[i], end[j] = upto, 0
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and (r := rank(k)) is not None:
+                heapq.heappush(heap, (r, k, end[after[k]]))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[data[i:end[i]]])
+        i = after[i]
+    return out
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, the bytes of one weight together, compressed."""
+    return zstandard.compress(numbers.view("u1").reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+def split(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """``SPLIT`` rows, written: each document as numbers of its slice's distinct words, which stand in the
+    slice's first row, a long one as its ids."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def number(batches: Iterator[pa.RecordBatch]):
+        import regex
+        find = regex.compile(pattern).findall
+        for batch in batches:
+            for part in slices(batch, max_bytes=SLICE_BYTES):
+                seen: dict[str, int] = defaultdict(count().__next__)
+                rows = []
+                for text in part.column("text"):
+                    found = find(text.as_py() or "")
+                    rows.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
+                # the commonest words get the smallest numbers, which pack best
+                order = np.argsort(-np.bincount(np.concatenate(rows), minlength=len(seen)), kind="stable")
+                place = np.empty(len(order), "<u4")
+                place[order] = np.arange(len(order))
+                listed = list(seen)
+                listed = [listed[i] for i in order.tolist()]
+                far = [len(w) * 4 > LONG_BYTES and len(w.encode()) > LONG_BYTES for w in listed]
+                words = pa.StructArray.from_arrays(
+                    [pa.array([None if f else w for w, f in zip(listed, far)], pa.string()),
+                     pa.array([merge_long(w.encode(), sent.value) if f else None for w, f in zip(listed, far)], pa.list_(pa.int32()))], names=["word", "ids"])
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().int >> 65] * n, pa.int64()), part.column("doc_id"), pa.array([packed(place[x]) for x in rows], pa.binary()),
+                     pa.ListArray.from_arrays(pa.array([0] + [len(words)] * n, pa.int32()), words)], names=["slice", "doc_id", "numbers", "words"])
+
+    return materialize(texts(docs).mapInArrow(number, SPLIT), "bpe-words")
+
+
+def word_ids(parts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(slice, number, ids): every distinct word is folded once, its ids go to all slices that hold it."""
+    words = parts.select("slice", F.posexplode("words").alias("number", "w")).select("slice", "number", "w.word", "w.ids")
+    folded = words.filter("word IS NOT NULL").select("word").distinct().select("word", fold(F.col("word"), ranks).alias("ids"))
+    short = words.filter("word IS NOT NULL").drop("ids").join(folded, "word").select("slice", "number", "ids")
+    return short.unionByName(words.filter("word IS NULL").drop("word"))
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that ``chosen`` names, one after the other."""
+    n = sizes[chosen]
+    ends = np.cumsum(n)
+    return values[np.repeat(starts[chosen] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def assemble(parts: DataFrame, found: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``CODED`` rows: the ids of every document's words, and the pieces that these ids stand for."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for k, v in ranks.items():
+        pieces[v] = k
+    sent = parts.sparkSession.sparkContext.broadcast(pieces)
+
+    def join(docs: pa.Table, words: pa.Table) -> pa.Table:
+        lists = words.column("ids").combine_chunks()
+        order = np.argsort(words.column("number").to_numpy())
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        starts, sizes, values = offsets[:-1][order], np.diff(offsets)[order], lists.values.to_numpy()
+        of = sent.value
+        coded = [gather(values, starts, sizes, unpacked(cell)) for cell in docs.column("numbers").to_pylist()]
+        ends = np.cumsum([0] + [len(x) for x in coded])
+        return pa.table([docs.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*coded, np.zeros(0, np.int32)]), pa.int32())),
+                         pa.array([x.astype("<u4").tobytes() for x in coded], pa.binary()), pa.array([b"".join(map(of.__getitem__, x.tolist())) for x in coded], pa.binary())],
+                        names=["doc_id", "ids", "id_bytes", "decoded"])
+
+    # a slice of empty texts has no words, but rows on the left
+    found = found.withColumnRenamed("slice", "of")
+    return parts.select("slice", "doc_id", "numbers").groupBy("slice").cogroup(found.groupBy("of")).applyInArrow(join, CODED)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded): the ids of every whole text and the bytes decoded from them.  Sets the
-    session's ``spark.sql.maxPlanStringLength``, which only shortens plan texts, to ``PLAN_TEXT``."""
+    """(doc_id, ids, id_bytes, decoded): the ids of every whole text, the same as little-endian unsigned
+    32-bit integers, and the bytes decoded from them.  Sets the session's
+    ``spark.sql.maxPlanStringLength``, which only shortens plan texts, to ``PLAN_TEXT``."""
     docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
-    codec = Codec(ranks, pattern).learn_common(docs)
-    ids = texts(docs).select("doc_id", codec.ids(F.col("text")).alias("ids"))
-    return ids.select("doc_id", "ids", codec.id_bytes(F.col("ids")).alias("id_bytes"), codec.decode(F.col("ids")).alias("decoded"))
+    parts = split(docs, ranks, pattern)
+    return assemble(parts, word_ids(parts, ranks), ranks)

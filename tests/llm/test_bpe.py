@@ -31,25 +31,44 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark, library):
         assert bytes(got[i].decoded) == (t or "").encode()
 
 
-def test_folding_needs_no_dictionary_and_ties_are_leftmost(spark, library):
-    texts = odd_texts() + ["aaaa aaaaa aaaaaa", "thethethe theatre", " mississippi"]
-    codec = bpe.Codec(RANKS, P.PATTERN)
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: r.ids for r in df.select("i", codec.ids(F.col("t")).alias("ids")).collect()}
-    assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+def test_fold_and_heap_equal_the_library(spark, library):
+    """Ties are leftmost; the heap merges any word as the fold does."""
+    words = ["aaaaaaa", "thethethe", "mississippi", " theatre", "漢字仮名交じり文", "é", "x", "abababab" * 9 + "aaaaabbbbb" * 4, "=" * 77]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {r.word: r.ids for r in df.select("word", bpe.fold(F.col("word"), RANKS).alias("ids")).collect()}
+    want = {w: library._core_bpe.encode_single_piece(w.encode()) for w in words}
+    assert got == want and {w: bpe.merge_long(w.encode(), RANKS) for w in words} == want
+    for w in ["漢字仮名交じり文" * 4000, "ab" * 20_001, "-" * 30_000 + "=" * 7]:
+        assert bpe.merge_long(w.encode(), RANKS) == library._core_bpe.encode_single_piece(w.encode())
 
 
 def test_merges_where_one_place_at_a_time_differs(spark):
-    """A made vocabulary in which merging all places at once would be wrong."""
+    """A made vocabulary in which merging all places at once would be wrong, words on both sides of ``LONG_BYTES``."""
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"aba": 256, b"bc": 301, b"xx": 302, b"xxx": 257, b"abab": 303, b"cab": 258}
     enc = tiktoken.Encoding("made", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
-    texts = ["ab" * 400, "abc" * 300, "x" * 701, "xxabxabab" * 120, "cabab" * 111, "abab", "xxx", "babcab"]
-    codec = bpe.Codec(ranks, r"\S+|\s+")
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: r.ids for r in df.select("i", codec.ids(F.col("t")).alias("ids")).collect()}
+    texts = ["ab" * 400, "abc" * 300, "x" * 701, "xxabxabab" * 120, "cabab" * 11, "abab", "xxx", "babcab", "x" * 127, "x" * 128, "x" * 129]
+    got = {r.doc_id: r.ids for r in bpe.encode(documents(spark, list(enumerate(texts))), ranks, r"\S+|\s+").collect()}
     assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
+def test_words_are_cut_as_the_library_cuts_them(library):
+    import regex
+    find = regex.compile(P.PATTERN).findall
+    for start in range(0, 0x30000, 0x400):
+        text = "".join(f"a{chr(c)} {chr(c)}1{chr(c)}{chr(c)} ," for c in range(start, start + 0x400) if not 0xD800 <= c < 0xE000)
+        want = [i for w in find(text) for i in library._core_bpe.encode_single_piece(w.encode())]
+        if library.encode_ordinary(text) != want:
+            assert False, [hex(c) for c in range(start, start + 0x400) if not 0xD800 <= c < 0xE000 and library.encode_ordinary(t := f"a{chr(c)} {chr(c)}1{chr(c)}{chr(c)} ,")
+                           != [i for w in find(t) for i in library._core_bpe.encode_single_piece(w.encode())]][:20]
+
+
+def test_slices_share_words_and_a_text_of_a_megabyte(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 300)
+    rows = [r for r in odd_rows() if r[0] not in (None, 30)] + [(900, "漢字かな" * 90_000 + " word" * 1000)]
+    got = {r.doc_id: r.ids for r in bpe.encode(documents(spark, rows), RANKS, P.PATTERN).collect()}
+    assert got == {i: library.encode_ordinary(t or "") for i, t, *_ in rows}
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert bpe.encode(documents(spark), RANKS, P.PATTERN).count() == 0
     rows = [r for r in odd_rows() if r[0] in (None, 30)]
