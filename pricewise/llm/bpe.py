@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding over distinct words.
 
-Tasks cut whole texts into words and write them once, a slice of a few megabytes of text at a time:
-every document as numbers of its slice's distinct words.  The distinct words of all slices are
-shuffled, and each is folded once: Spark higher-order functions apply ranked merges (lowest rank
-first, leftmost first) to its bytes.  The rank map is a literal: an array of small maps,
-addressed by the hash of the piece, so a lookup costs the same whatever the vocabulary's size.
-The ids go back to the slices that hold the word, where documents are put together and decoded.
-
-A word is shuffled once per slice, however often it occurs, so a word that is in every document
-weighs one row per slice.  Words of more than ``LONG_BYTES`` bytes are merged where they occur, by a
+Tasks cut whole texts into words and write them once, a slice of some megabytes of text at a time:
+every document as numbers of distinct words.  The slices' distinct words are shuffled, and each is
+folded once: Spark higher-order functions apply ranked merges (lowest rank first, leftmost first) to
+its bytes.  The rank map is a literal: an array of small maps, addressed by the hash of the piece,
+so a lookup costs the same whatever the vocabulary's size.  The ids go back to the slices that hold
+the word, where documents are put together and decoded.
+
+A word is shuffled once per slice, however often it occurs, and the most frequent words of a
+bounded sample not at all: they are folded first and sent to all tasks.  That only saves time and disk;
+both ways give the same ids.  Words of more than ``LONG_BYTES`` bytes are merged where they occur, by a
 heap of ranks: the fold rewrites its arrays with every merge, which is quadratic in the length.
 
 Bytes and pieces are written as hex strings inside the expressions (a piece is a string key).
@@ -23,23 +24,27 @@ import base64
 import heapq
 import json
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import count, islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewise.llm.common import ship, slices, texts
 from pricewise.session import materialize
 
-#: Bytes of text whose distinct words are numbered together, and the longest word that is shuffled and folded.
-SLICE_BYTES = 4_000_000
+#: Characters of text whose distinct words are numbered together, and the longest word that is shuffled and folded.
+SLICE_CHARS = 32_000_000
 LONG_BYTES = 128
+#: Documents that the dictionary of common words is taken from, and its entries.
+SAMPLE_DOCUMENTS = 10_000
+COMMON_WORDS = 131_072
 #: Spark keeps the plan of every execution as text; the literal rank map would fill megabytes of it each time.
 PLAN_TEXT = 50_000
 
@@ -148,55 +153,103 @@ def merge_long(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Common(NamedTuple):
+    """The ids of the dictionary's words, end to end, and where each word's begin."""
+    words: list[str]
+    ids: np.ndarray
+    starts: np.ndarray
+
+
+def learn_common(docs: DataFrame, ranks: dict[bytes, int], pattern: str, documents: int = SAMPLE_DOCUMENTS, words: int = COMMON_WORDS) -> Common:
+    """Fold the most frequent words of the ``documents`` with the smallest hash of doc_id, at most ``words``
+    of at most ``LONG_BYTES`` bytes, so that they need no shuffle.  Other words get the same ids later."""
+    ship(docs.sparkSession)
+
+    def tally(batches: Iterator[pa.RecordBatch]):
+        import regex
+        find = regex.compile(pattern).findall
+        for batch in batches:
+            for part in slices(batch):
+                found = Counter()
+                for text in part.column("text"):
+                    found.update(find(text.as_py() or ""))
+                kept = [w for w in found if len(w.encode()) <= LONG_BYTES]
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([found[w] for w in kept], pa.int64())], names=["word", "n"])
+
+    one = texts(docs)
+    ids = one.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+    top = one.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(tally, "word string, n long") \
+        .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    # dealt out by word: the limit leaves one partition
+    rows = top.repartition("word").select("word", "n", fold(F.col("word"), ranks).alias("ids")).collect()
+    rows.sort(key=lambda r: (-r["n"], r["word"]))
+    return Common([r["word"] for r in rows], np.array([i for r in rows for i in r["ids"]], np.int32), np.cumsum([0] + [len(r["ids"]) for r in rows]))
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """32-bit numbers, the bytes of one weight together, compressed."""
-    return zstandard.compress(numbers.view("u1").reshape(-1, 4).T.tobytes())
+    return zstandard.compress(numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), "u1").reshape(4, -1).T).view("<u4").ravel()
 
 
-def split(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """``SPLIT`` rows, written: each document as numbers of its slice's distinct words, which stand in the
-    slice's first row, a long one as its ids."""
+def split(docs: DataFrame, ranks: dict[bytes, int], pattern: str, common: list[str]) -> DataFrame:
+    """``SPLIT`` rows, written: each document as numbers of words.  The first numbers are ``common`` words, the
+    others the further distinct words of its slice, which stand in the slice's last row, a long one as its ids."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, common))
 
     def number(batches: Iterator[pa.RecordBatch]):
         import regex
         find = regex.compile(pattern).findall
+        ranks, common = sent.value
+        known = {w: i for i, w in enumerate(common)}
+        empty = lambda: defaultdict(count(len(common)).__next__, known)
+        seen, name, held = empty(), uuid.uuid4().int >> 65, 0
+
+        def rows(ids: list, cells: list, words: list[str]) -> pa.RecordBatch:
+            far = [len(w) * 4 > LONG_BYTES and len(w.encode()) > LONG_BYTES for w in words]
+            listed = pa.StructArray.from_arrays(
+                [pa.array([None if f else w for w, f in zip(words, far)], pa.string()),
+                 pa.array([merge_long(w.encode(), ranks) if f else None for w, f in zip(words, far)], pa.list_(pa.int32()))], names=["word", "ids"])
+            n = len(ids)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(cells, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array([0] * n + [len(listed)], pa.int32()), listed)], names=["slice", "doc_id", "numbers", "words"])
+
+        pending = None  # the newest documents, whose last row will get the slice's words if it ends there
         for batch in batches:
-            for part in slices(batch, max_bytes=SLICE_BYTES):
-                seen: dict[str, int] = defaultdict(count().__next__)
-                rows = []
+            for part in slices(batch):
+                if pending is not None:
+                    if held >= SLICE_CHARS:
+                        yield rows(*pending, list(islice(seen, len(common), None)))
+                        seen, name, held = empty(), uuid.uuid4().int >> 65, 0
+                    else:
+                        yield rows(*pending, [])
+                cells = []
                 for text in part.column("text"):
-                    found = find(text.as_py() or "")
-                    rows.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
-                # the commonest words get the smallest numbers, which pack best
-                order = np.argsort(-np.bincount(np.concatenate(rows), minlength=len(seen)), kind="stable")
-                place = np.empty(len(order), "<u4")
-                place[order] = np.arange(len(order))
-                listed = list(seen)
-                listed = [listed[i] for i in order.tolist()]
-                far = [len(w) * 4 > LONG_BYTES and len(w.encode()) > LONG_BYTES for w in listed]
-                words = pa.StructArray.from_arrays(
-                    [pa.array([None if f else w for w, f in zip(listed, far)], pa.string()),
-                     pa.array([merge_long(w.encode(), sent.value) if f else None for w, f in zip(listed, far)], pa.list_(pa.int32()))], names=["word", "ids"])
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([uuid.uuid4().int >> 65] * n, pa.int64()), part.column("doc_id"), pa.array([packed(place[x]) for x in rows], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array([0] + [len(words)] * n, pa.int32()), words)], names=["slice", "doc_id", "numbers", "words"])
+                    text = text.as_py() or ""
+                    words = find(text)
+                    held += len(text)
+                    cells.append(packed(np.fromiter(map(seen.__getitem__, words), np.int64, len(words))))
+                pending = part.column("doc_id").to_pylist(), cells
+        if pending is not None:
+            yield rows(*pending, list(islice(seen, len(common), None)))
 
     return materialize(texts(docs).mapInArrow(number, SPLIT), "bpe-words")
 
 
-def word_ids(parts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(slice, number, ids): every distinct word is folded once, its ids go to all slices that hold it."""
-    words = parts.select("slice", F.posexplode("words").alias("number", "w")).select("slice", "number", "w.word", "w.ids")
-    folded = words.filter("word IS NOT NULL").select("word").distinct().select("word", fold(F.col("word"), ranks).alias("ids"))
-    short = words.filter("word IS NOT NULL").drop("ids").join(folded, "word").select("slice", "number", "ids")
-    return short.unionByName(words.filter("word IS NULL").drop("word"))
+def word_ids(parts: DataFrame, ranks: dict[bytes, int], first: int) -> DataFrame:
+    """(slice, number, ids) of the words beside the common ones, numbered from ``first``.  All slices' mentions of
+    a word meet in one shuffle; the first one is folded, the others take its ids."""
+    words = parts.select("slice", F.posexplode("words").alias("at", "w")).select("slice", (F.col("at") + first).alias("number"), "w.word", "w.ids")
+    mentions = Window.partitionBy("word").orderBy("slice")
+    short = words.filter("word IS NOT NULL").select("slice", "number", "word", F.row_number().over(mentions).alias("n"))
+    own = short.withColumn("own", F.when(F.col("n") == 1, fold(F.col("word"), ranks)))
+    folded = own.select("slice", "number", F.first("own", ignorenulls=True).over(mentions.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("ids"))
+    return folded.unionByName(words.filter("word IS NULL").drop("word"))
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -206,19 +259,21 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np
     return values[np.repeat(starts[chosen] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def assemble(parts: DataFrame, found: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+def assemble(parts: DataFrame, found: DataFrame, ranks: dict[bytes, int], common: Common) -> DataFrame:
     """``CODED`` rows: the ids of every document's words, and the pieces that these ids stand for."""
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for k, v in ranks.items():
         pieces[v] = k
-    sent = parts.sparkSession.sparkContext.broadcast(pieces)
+    sent = parts.sparkSession.sparkContext.broadcast((pieces, common))
 
     def join(docs: pa.Table, words: pa.Table) -> pa.Table:
+        of, common = sent.value
         lists = words.column("ids").combine_chunks()
         order = np.argsort(words.column("number").to_numpy())
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        starts, sizes, values = offsets[:-1][order], np.diff(offsets)[order], lists.values.to_numpy()
-        of = sent.value
+        values = np.concatenate([common.ids, lists.values.to_numpy()])
+        starts = np.concatenate([common.starts[:-1], offsets[:-1][order] + len(common.ids)])
+        sizes = np.concatenate([np.diff(common.starts), np.diff(offsets)[order]])
         coded = [gather(values, starts, sizes, unpacked(cell)) for cell in docs.column("numbers").to_pylist()]
         ends = np.cumsum([0] + [len(x) for x in coded])
         return pa.table([docs.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*coded, np.zeros(0, np.int32)]), pa.int32())),
@@ -235,5 +290,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     32-bit integers, and the bytes decoded from them.  Sets the session's
     ``spark.sql.maxPlanStringLength``, which only shortens plan texts, to ``PLAN_TEXT``."""
     docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
-    parts = split(docs, ranks, pattern)
-    return assemble(parts, word_ids(parts, ranks), ranks)
+    common = learn_common(docs, ranks, pattern)
+    parts = split(docs, ranks, pattern, common.words)
+    return assemble(parts, word_ids(parts, ranks, len(common.words)), ranks, common)

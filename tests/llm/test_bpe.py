@@ -63,9 +63,16 @@ def test_words_are_cut_as_the_library_cuts_them(library):
 
 
 def test_slices_share_words_and_a_text_of_a_megabyte(spark, library, monkeypatch):
-    monkeypatch.setattr(bpe, "SLICE_BYTES", 300)
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 300)
+    monkeypatch.setattr(bpe.learn_common, "__defaults__", (3, 40))
     rows = [r for r in odd_rows() if r[0] not in (None, 30)] + [(900, "漢字かな" * 90_000 + " word" * 1000)]
-    got = {r.doc_id: r.ids for r in bpe.encode(documents(spark, rows), RANKS, P.PATTERN).collect()}
+    docs = documents(spark, rows).coalesce(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = {r.doc_id: r.ids for r in bpe.encode(docs, RANKS, P.PATTERN).collect()}
+        assert bpe.split(docs, RANKS, P.PATTERN, []).select("slice").distinct().count() > 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {i: library.encode_ordinary(t or "") for i, t, *_ in rows}
 
 
