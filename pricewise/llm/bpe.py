@@ -44,7 +44,7 @@ SLICE_CHARS = 32_000_000
 LONG_BYTES = 128
 #: Documents that the dictionary of common words is taken from, and its entries.
 SAMPLE_DOCUMENTS = 10_000
-COMMON_WORDS = 131_072
+COMMON_WORDS = 32_768
 #: Spark keeps the plan of every execution as text; the literal rank map would fill megabytes of it each time.
 PLAN_TEXT = 50_000
 
