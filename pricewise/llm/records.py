@@ -36,7 +36,7 @@ MAGIC = b"TOKREC1\n"
 HEADER_BYTES = len(MAGIC) + 1
 ENTRY = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
 #: Words whose ids a worker remembers, and records that are read at once.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 READ_RECORDS = 2_000
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
@@ -102,7 +102,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores already
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(self.source)
-        self.tokenizer.encode_special_tokens = True
+        self.marks = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size() + 1)]
 
     def _recall(self, memory: list[dict], wanted: set[bytes]) -> set[bytes]:
@@ -133,10 +133,15 @@ class WordEncoder:
             found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
             self.cores[0].update((c, b"".join([code[t] for t in x.ids])) for c, x in zip(part, found))
 
+    def _marked(self, text: bytes) -> bool:
+        low = text.lower()
+        return any(m in low for m in self.marks)
+
     def __call__(self, data: list[bytes]) -> list[bytes]:
         if self.tokenizer is None:
             self._load()
-        texts_words = [t.split() for t in data]
+        whole = {i: t for i, t in enumerate(data) if self._marked(t)}
+        texts_words = [() if i in whole else t.split() for i, t in enumerate(data)]
         distinct = set().union(*texts_words)
         missing = self._recall(self.words, distinct)
         split = {}
@@ -149,7 +154,11 @@ class WordEncoder:
         cores[b""] = b""
         self.words[0].update((w, cores[a] + cores[b]) for w, (a, b) in split.items())
         words = self.words[0]
-        return [b"".join(map(words.__getitem__, ws)) for ws in texts_words]
+        out = [b"".join(map(words.__getitem__, ws)) for ws in texts_words]
+        for i, t in whole.items():
+            found = self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False)
+            out[i] = b"".join([self.code[x] for x in found.ids])
+        return out
 
 
 def write_records(docs: DataFrame, encoder: Callable[[list[bytes]], list[bytes]], width: int, end_id: int, folder: str) -> DataFrame:

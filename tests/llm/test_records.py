@@ -17,7 +17,6 @@ PATH = P.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids + [2]
 
 
@@ -38,6 +37,14 @@ def test_records_hold_the_library_ids_in_order(spark, library):
     assert sorted(map(tuple, got)) == expect(sorted((r[0], r[1]) for r in rows), library)
 
 
+def test_added_tokens_are_the_librarys(library):
+    encoder, width = R.encoder_of(PATH, 2)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>.", "<|endoftext|>", "<|end oftext|> <| endoftext|>", "<|endoftext|", "plain < | >", "é<|EndOfText|>é <|endoftext|><|endoftext|>"]
+    for t, ids in zip(texts, encoder([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u2").tolist() == library(t)[:-1], t
+    assert 49407 in library(texts[0])
+
+
 def test_words_by_core_and_mark_equal_the_library(library):
     rng = random.Random(8)
     encoder, width = R.encoder_of(PATH, 2)
