@@ -6,8 +6,9 @@ documents are noise, so each comparison has a minimum length below which it pass
 The limit of the word distance comes from the reference itself (``word_limit``): it lies between
 the distances of short texts drawn from the reference and that of a text without common words.
 
-Cases: a null text has no words (``base_failed``); a null, unknown or rare language is compared with
-the nearest reference; without any reference the divergence rules pass; repeated rows get
+Cases: a null text has no words (``base_failed``); a null language is compared with the nearest
+reference; a language without a reference of its own passes the divergence rules, as does every text
+where there is no reference at all; repeated rows get
 equal verdicts; an empty table gives an empty result.  Extra columns are ignored by
 ``quality`` and kept by ``kept_documents``.
 """
@@ -28,7 +29,6 @@ from pricewise.llm.common import WORD_SPACE, map_rows, slices, ship, text_bytes,
 #: Reference size and guards (production parameters).
 COMMON_WORDS = 64
 MIN_REFERENCE_WORDS = 2_000
-MAX_REFERENCES = 500
 MIN_CHARS = 200
 MIN_WORDS = 100
 MAX_CHAR_DISTANCE = 0.30
@@ -113,12 +113,12 @@ def word_limit(ref: np.ndarray, min_words: int = MIN_WORDS) -> tuple[int, float]
     return words, 1.0
 
 
-def references(docs: DataFrame, common: int = COMMON_WORDS, min_words: int = MIN_REFERENCE_WORDS,
-               max_references: int = MAX_REFERENCES) -> dict[str, tuple[list[float], dict[bytes, float], float]]:
+def references(docs: DataFrame, common: int = COMMON_WORDS,
+               min_words: int = MIN_REFERENCE_WORDS) -> dict[str, tuple[list[float], dict[bytes, float], float]]:
     """Per language: byte-class counts, counts of its most common words, and the count of
     all other words.  Counted over all documents with a language (partial counts per Arrow
-    batch, then a sum); languages with fewer than ``min_words`` words have no reference,
-    and at most ``max_references`` (those with most words) come to the driver."""
+    batch, then a sum); languages with fewer than ``min_words`` words have no reference.
+    One reference per language comes to the driver: 6 numbers, and ``common`` words with counts."""
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]):
@@ -145,10 +145,10 @@ def references(docs: DataFrame, common: int = COMMON_WORDS, min_words: int = MIN
     counts = counts.persist()
     try:
         totals = counts.filter("klass = -1").groupBy("lang").agg(F.sum("n").alias("words")) \
-            .filter(F.col("words") >= min_words).orderBy(F.desc("words"), "lang").limit(max_references)
+            .filter(F.col("words") >= min_words)
         total = {r["lang"]: r["words"] for r in totals.collect()}
         top = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= common) \
-            .join(F.broadcast(totals.select("lang")), "lang")
+            .join(totals.select("lang"), "lang")
         out = {g: ([0.0] * CLASSES, {}, 0.0) for g in total}
         for r in top.collect():
             if r["klass"] >= 0:
@@ -172,7 +172,7 @@ class Judge:
     def distances(self, lang: str | None, text: bytes, words: list[bytes]) -> tuple[float | None, float | None, float]:
         """(character distance, word distance, limit of the latter); None where the document is
         too short or there is nothing to compare with."""
-        langs = [lang] if lang in self.refs else list(self.refs)
+        langs = list(self.refs) if lang is None else [lang] if lang in self.refs else []
         chars, word, limit = None, None, self.max_word
         if langs and len(text) >= self.min_chars:
             own = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=CLASSES).astype(float)

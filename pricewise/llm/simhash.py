@@ -102,7 +102,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     masks, weights, odd_use = flips(radius)
     n = fps.count()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(masks) * 10 // (2 * TASK_BYTES)))
-    buckets = min(1 << 16, 1 << (4 * tasks - 1).bit_length())
+    buckets = 1 << (4 * tasks - 1).bit_length()
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
     def emit(batches):

@@ -22,7 +22,7 @@ def rows(seed, n=60):
 
 def brute_bundle(text):
     """Bind and bundle one n-gram at a time."""
-    letters = np.random.default_rng(G.SEED).choice(np.array([-1, 1], np.int8), (G.SYMBOLS, G.DIMENSIONS)).astype(int)
+    letters = {x: G.letter(x).astype(int) for x in {0, *(int(G.symbols()[ord(c)]) for c in text)}}
     s = [0]
     for c in text:
         x = int(G.symbols()[ord(c)])
@@ -71,6 +71,27 @@ def test_long_texts_are_counted_in_blocks(monkeypatch):
     assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
 
 
+def test_languages_of_one_script_are_told_apart_by_their_letters(spark):
+    """Two Cyrillic languages that share all letters but two; any two letters have vectors of their own."""
+    rng = random.Random(3)
+    letters = {"ru": "аеинострвлыэ", "uk": "аеинострвліє"}
+    word = lambda g: "".join(rng.choice(letters[g]) for _ in range(rng.randrange(3, 8)))
+    data = [(i, " ".join(word(g) for _ in range(rng.randrange(40, 80))), g) for i, g in enumerate(["ru", "uk"] * 60)]
+    got = {r.doc_id: r for r in G.identify(documents(spark, data)).collect()}
+    assert all(got[i].lang_pred == g for i, _, g in data)
+    both = [int(G.symbols()[ord(c)]) for c in "ыіЫßёж漢"]
+    assert both[0] == both[2] and len(set(both)) == 6
+    assert all(abs(int(G.letter(a).astype(int) @ G.letter(b))) < 150 for a in set(both) for b in set(both) if a != b)
+
+
+def test_bundles_do_not_depend_on_how_many_ngrams_are_held(spark, monkeypatch):
+    data = rows(4, 20)
+    texts = [t for _, t, _ in data]
+    parts = [G.ngram_counts(t)[:2] for t in texts]
+    whole = G.bundle_of(*G._merged(parts), G.DIMENSIONS, G.SEED)
+    assert whole.tolist() == sum(G.bundle_of(*p, G.DIMENSIONS, G.SEED) for p in parts).tolist()
+
+
 def test_held_out_accuracy(spark):
     from tests.conftest import SF_SMALL
     found = QUERIES["op10_language_id"](spark, SF_SMALL)

@@ -83,7 +83,7 @@ def test_long_texts_without_common_words_are_rejected(spark):
         return " ".join(rng.choices(common, [1 / (i + 2) for i in range(64)])[0] if rng.random() < share else f"r{rng.randrange(10 ** 6)}" for _ in range(n))
 
     rows = [(i, text(rng.randrange(100, 900), .32), "en") for i in range(150)]
-    rows += [(200 + i, text(300, 0), g) for i, g in enumerate(["en", "en", None, "xx"])] + [(300, text(60, 0), "en"), (301, text(300, .32), None)]
+    rows += [(200 + i, text(300, 0), g) for i, g in enumerate(["en", "en", None, "en"])] + [(300, text(60, 0), "en"), (301, text(300, .32), None)]
     got = {r.doc_id: r for r in Q.quality(documents(spark, rows)).collect()}
     assert all(got[d].kept for d in got if d < 200 or d >= 300)
     assert not any(got[d].kept or got[d].base_failed for d in range(200, 204))
@@ -100,3 +100,20 @@ def test_word_limit_asks_for_more_words_where_common_words_are_rare():
     want = [brute_js(list(x), list(rare)) for x in drawn[:20].tolist()]
     assert Q.js_distances(drawn[:20], rare) == pytest.approx(want)
     assert (Q.js_distances(drawn, rare) <= most).mean() > .97
+
+
+def test_every_language_has_its_own_reference_and_small_ones_pass(spark):
+    # 600 languages with letters of their own; a foreign reference would reject them all
+    rows = [(i, " ".join(f"{chr(0x4E00 + i)}{k % 7}" for k in range(2100)), f"g{i:03d}") for i in range(600)]
+    rows += [(700, "#% $$ ** " * 200, "g001"), (701, " ".join(f"\u0416{k}" for k in range(150)), "rare")]
+    docs = documents(spark, rows)
+    refs = Q.references(docs)
+    assert len(refs) == 600
+    judge = Q.Judge({g: refs[g] for g in ("g001", "g599")})
+    for d, g in ((1, "g001"), (599, "g599")):
+        chars, word, limit = judge.distances(g, rows[d][1].encode(), rows[d][1].encode().split())
+        assert chars < Q.MAX_CHAR_DISTANCE and word < limit
+    assert judge.distances("rare", rows[601][1].encode(), rows[601][1].encode().split())[:2] == (None, None)
+    assert judge.distances("g001", rows[600][1].encode(), rows[600][1].encode().split())[0] > Q.MAX_CHAR_DISTANCE
+    chars, word, limit = judge.distances(None, rows[1][1].encode(), rows[1][1].encode().split())
+    assert chars < Q.MAX_CHAR_DISTANCE and word < limit
