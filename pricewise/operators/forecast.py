@@ -1,7 +1,8 @@
 """Per-series point forecasts in one distributed job.
 
 (a) ``baseline_forecasts``: closed-form forecasters written as aggregates and
-    windows (last value, mean, drift, seasonal naive, AR(1) by least squares).
+    windows (last value, mean, drift, seasonal naive, AR(1) by least squares);
+    ``observed_forecasts`` gives the same for a gap-filled panel without building it.
 (b) ``ar_forecasts``: a small autoregressive model per series, order chosen by
     AICc, fitted with numpy inside ``groupBy(series).applyInPandas`` — one Arrow
     batch per series, each bounded by the calendar length.
@@ -30,29 +31,91 @@ def _horizon_date(t_last, h, step: str):
     return F.add_months(t_last, h)
 
 
-def baseline_forecasts(panel: DataFrame, keys: list[str], y: str, step: str, horizon: int,
-                       season: int, t: str = "t", idx: str = "idx") -> DataFrame:
-    """Closed-form forecasts for every series and step 1..horizon."""
-    w = Window.partitionBy(*keys).orderBy(idx)
-    lagged = panel.select(*keys, t, idx, y, F.lag(y).over(w).alias("_ylag"))
-    stats = lagged.groupBy(*keys).agg(
-        F.count(y).alias("n"), F.max(t).alias("t_last"), F.max(idx).alias("idx_last"),
-        F.max_by(y, idx).alias("last"), F.min_by(y, idx).alias("first"),
-        C.stable_mean(y).alias("mean"),
-        F.regr_slope(y, "_ylag").alias("ar_slope"), F.regr_intercept(y, "_ylag").alias("ar_intercept"))
+def _season_places(horizon: int, season: int) -> range:
+    """Places in the last season that the seasonal naive method needs for steps 1..horizon."""
+    return range(min(horizon, season))
+
+
+def _forecasts(stats: DataFrame, keys: list[str], step: str, horizon: int, season: int) -> DataFrame:
+    """Every series and step 1..horizon from n, t_last, last, first, mean, ar_slope, ar_intercept and
+    ``seasonal``, the values of the last season's first periods."""
     steps = stats.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
     b, c, h = F.col("ar_slope"), F.col("ar_intercept"), F.col("h")
     ar = F.when(b == 1, F.col("last") + h * c).otherwise(
         c * (1 - F.pow(b, h)) / (1 - b) + F.pow(b, h) * F.col("last"))
-    out = steps.select(
+    return steps.select(
         *keys, "h", _horizon_date(F.col("t_last"), h, step).alias("t_forecast"), "n",
         F.col("last").alias("f_last"), F.col("mean").alias("f_mean"),
         (F.col("last") + h * F.try_divide(F.col("last") - F.col("first"), F.col("n") - 1)).alias("f_drift"),
         "ar_slope", "ar_intercept", ar.alias("f_ar1"),
-        (F.col("idx_last") - season + F.pmod(h - 1, F.lit(season)) + 1).alias("_sidx"))
-    # Seasonal naive: the value one season before the forecast period.
-    seas = panel.select(*keys, F.col(idx).alias("_sidx"), F.col(y).alias("f_snaive"))
-    return out.join(seas, [*keys, "_sidx"], "left").drop("_sidx")
+        F.get("seasonal", F.pmod(h - 1, F.lit(season))).alias("f_snaive"))
+
+
+def baseline_forecasts(panel: DataFrame, keys: list[str], y: str, step: str, horizon: int,
+                       season: int, t: str = "t", idx: str = "idx") -> DataFrame:
+    """Closed-form forecasts for every series and step 1..horizon of a panel without gaps."""
+    w = Window.partitionBy(*keys).orderBy(idx)
+    places = _season_places(horizon, season)
+    lagged = panel.select(*keys, t, idx, y, F.lag(y).over(w).alias("_ylag"),
+                          *[F.lag(y, season - 1 - k).over(w).alias(f"_s{k}") for k in places])
+    stats = lagged.groupBy(*keys).agg(
+        F.count(y).alias("n"), F.max(t).alias("t_last"),
+        F.max_by(y, idx).alias("last"), F.min_by(y, idx).alias("first"),
+        C.stable_mean(y).alias("mean"),
+        F.regr_slope(y, "_ylag").alias("ar_slope"), F.regr_intercept(y, "_ylag").alias("ar_intercept"),
+        F.array(*[F.max_by(f"_s{k}", idx) for k in places]).alias("seasonal"))
+    return _forecasts(stats, keys, step, horizon, season)
+
+
+def observed_forecasts(obs: DataFrame, keys: list[str], y: str, step: str, horizon: int, season: int,
+                       span: tuple, t: str = "t") -> DataFrame:
+    """``baseline_forecasts`` of the gap-filled panel over ``span`` (first and last period), from the
+    observations alone: the panel is never built.
+
+    Between two observations the filled panel is a straight line, before the first and after the last one
+    it is constant, so each observation adds its stretch's sums in closed form.  The work and the shuffle
+    follow the observations, not series x calendar.  Values are taken relative to the series' first
+    one, so a constant series has a variance of exactly zero, and no AR coefficients.  A null value is a gap;
+    a series without any value has n = 0 and null forecasts.
+    """
+    lo, hi = (C.period_index(F.lit(d).cast("date"), step) for d in span)
+    w = Window.partitionBy(*keys).orderBy(F.col("_y").isNull(), "_i")
+    known = obs.select(*keys, F.col(y).alias("_y"), C.period_index(t, step).alias("_i"))
+    rows = known.select(
+        *keys, "_y", "_i", F.first("_y").over(w).alias("_f"), F.lag("_i").over(w).isNull().alias("_opens"),
+        F.lead("_y").over(w).alias("_ny"), F.lead("_i").over(w).alias("_ni"))
+    v, i, closes = F.col("_y"), F.col("_i"), F.col("_ny").isNull()
+    rows = rows.withColumns({
+        "_g": F.when(closes, hi - i).otherwise(F.col("_ni") - i).cast("double"),       # steps to the next value
+        "_d": F.when(closes, F.lit(0.0)).otherwise(F.col("_ny") - v),
+        "_lead": F.when(F.col("_opens"), i - lo).otherwise(F.lit(0)).cast("double"),    # periods before the first value
+        "_p": v - F.col("_f")})
+    g, d, x = F.col("_g"), F.col("_d"), F.col("_p")
+    slope = F.coalesce(F.try_divide(d, g), F.lit(0.0))
+    ones, squares = g * (g - 1) / 2, (g - 1) * g * (2 * g - 1) / 6                      # sums of j and j^2 for j < g
+    sx = g * x + slope * ones
+    sxx = g * x * x + 2 * x * slope * ones + slope * slope * squares
+    total = g * v + slope * ones + F.col("_lead") * v + F.when(closes, v).otherwise(F.lit(0.0))
+
+    def at(k: int):
+        """The panel's value at the k-th place of the last season, on the stretch that holds it."""
+        place = hi - season + k + 1
+        inside = (place >= i) & (closes | (place < F.col("_ni"))) | F.col("_opens") & (place < i)
+        value = F.when(closes | (place <= i), v).otherwise(v + d * (place - i).cast("double") / g)
+        return F.max(F.when(inside & (place >= lo) & v.isNotNull(), value))
+
+    n = F.when(F.count("_y") > 0, F.max(hi - lo) + 1).otherwise(F.lit(0)).cast("long")
+    sums = rows.groupBy(*keys).agg(
+        n.alias("n"), F.max("_f").alias("first"), F.max(F.when(closes, v)).alias("last"),
+        F.round(F.sum(total), 8).alias("_total"), F.sum(sx).alias("_sx"), F.sum(sx + d).alias("_sy"),
+        F.sum(sxx).alias("_sxx"), F.sum(sxx + slope * sx).alias("_sxy"),
+        F.array(*[at(k) for k in _season_places(horizon, season)]).alias("seasonal"))
+    pairs, a, b = F.col("n") - 1, F.col("_sx"), F.col("_sy")
+    fitted = sums.withColumn("ar_slope", F.try_divide(F.col("_sxy") - F.try_divide(a * b, pairs), F.col("_sxx") - F.try_divide(a * a, pairs)))
+    stats = fitted.select(
+        *keys, "n", F.lit(span[1]).cast("date").alias("t_last"), "last", "first", F.try_divide("_total", "n").alias("mean"), "ar_slope",
+        (F.try_divide(b, pairs) + F.col("first") - F.col("ar_slope") * (F.try_divide(a, pairs) + F.col("first"))).alias("ar_intercept"), "seasonal")
+    return _forecasts(stats, keys, step, horizon, season)
 
 
 # ----------------------------------------------------------------------------- (b) AR per series

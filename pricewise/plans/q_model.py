@@ -369,10 +369,10 @@ def _frame(spark, sf, step: str):
     """Scoring frame with the F6 (one week for all days) or F7 (day by day) forecast as price."""
     p = Pipeline(spark, sf)
     daily, keys = p.daily_written, q_series.KEYS
-    seen = panel.period_median(daily, keys, step).withColumn("price_median", F.round("price_median", 8))
+    seen = materialize(panel.period_median(daily, keys, step).withColumn("price_median", F.round("price_median", 8)), f"medians-{step}")
     last = assemble.last_value_price(seen, keys, "price_median")
     lowest = seen.groupBy(*keys).agg(F.min("price_median").alias("lowest"))
-    price = assemble.forecast_price(q_series.forecasts(p, step, HORIZON[step]), lowest, keys)
+    price = assemble.forecast_price(q_series.forecasts_from(seen, step, HORIZON[step]), lowest, keys)
     if step == "week":
         price, on = price.drop("t_forecast"), keys
     else:

@@ -105,6 +105,41 @@ def test_baseline_forecasts_closed_form(spark):
     assert r[1].f_snaive == 5 and r[2].f_snaive == 6
 
 
+@pytest.mark.parametrize("step,horizon,season", [("week", 2, 4), ("day", 7, 7), ("week", 3, 2), ("week", 1, 400), ("month", 5, 12)])
+def test_forecasts_from_observations_equal_those_of_the_filled_panel(spark, step, horizon, season):
+    from pricewise.operators import panel
+    rng = np.random.default_rng(horizon)
+    day = {"week": lambda k: dt.date(2021, 1, 4) + dt.timedelta(7 * k), "day": lambda k: dt.date(2021, 1, 4) + dt.timedelta(k),
+           "month": lambda k: dt.date(2021 + k // 12, k % 12 + 1, 1)}[step]
+    data = [(f"s{s}", day(int(k)), round(float(50 + 10 * rng.normal()), 2)) for s in range(30) for k in rng.choice(50, rng.integers(1, 30), replace=False)]
+    data += [("const", day(k), 7.1) for k in (3, 9, 20)] + [("one", day(11), 4.0), ("ends", day(0), 1.0), ("ends", day(49), 9.0)]
+    data += [("gap", day(k), y) for k, y in ((2, None), (5, 3.0), (8, None), (30, 4.5), (49, None))]
+    obs = spark.createDataFrame(data, "store_id string, t date, y double")
+    filled = panel.fill_gaps(panel.dense_panel(obs, ["store_id"], step, "y"), ["store_id"], "y", "filled")
+    want = forecast.baseline_forecasts(filled, ["store_id"], "filled", step, horizon, season)
+    got = forecast.observed_forecasts(obs, ["store_id"], "y", step, horizon, season, panel.bounds(obs))
+    assert got.columns == want.columns
+    key = lambda r: (r.store_id, r.h)
+    got, want = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+    assert len(got) == len(want) == 34 * horizon
+    for a, b in zip(got, want):
+        assert (a.store_id, a.h, a.t_forecast, a.n, a.f_last, a.f_snaive) == (b.store_id, b.h, b.t_forecast, b.n, b.f_last, b.f_snaive)
+        for c in ("f_mean", "f_drift", "ar_slope", "ar_intercept", "f_ar1"):
+            assert (a[c] is None) == (b[c] is None), (a.store_id, c)
+            assert b[c] is None or a[c] == pytest.approx(b[c], rel=1e-7, abs=1e-7), (a.store_id, c)
+
+
+def test_forecasts_from_observations_build_no_panel(spark):
+    from pricewise.operators import panel
+    obs = spark.createDataFrame([("a", dt.date(2021, 1, 4), 2.0), ("a", dt.date(2021, 3, 1), None), ("b", dt.date(2021, 3, 1), None)], "store_id string, t date, y double")
+    out = forecast.observed_forecasts(obs, ["store_id"], "y", "week", 1, 52, panel.bounds(obs))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    got = {r.store_id: r for r in out.collect()}
+    assert got["a"].f_last == 2.0 and got["a"].n == 9 and got["a"].ar_slope is None and got["b"].n == 0 and got["b"].f_last is None
+    empty = obs.limit(0)
+    assert forecast.observed_forecasts(empty, ["store_id"], "y", "week", 1, 52, panel.bounds(empty)).count() == 0
+
+
 def test_ar_forecast_recovers_ar1(spark):
     rng = np.random.default_rng(0)
     y = [10.0]
