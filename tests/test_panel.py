@@ -65,3 +65,37 @@ def test_contract_finds_duplicates_and_gaps(spark):
 def test_short_series_guard(spark):
     df = spark.createDataFrame([("A", i) for i in range(6)] + [("B", i) for i in range(5)], "k string, t int")
     assert rows(panel.long_series(df, ["k"], 5), "k", "n_obs") == [("A", 6)]
+
+
+def _panels(spark):
+    """(filled in place, the same by the windows over a panel joined up here) of series with gaps, one point, no values and null keys."""
+    d = dt.date
+    data = [("A", "x", d(2021, 1, 4), 1.0), ("A", "x", d(2021, 2, 1), 4.5), ("A", "x", d(2021, 1, 18), None), ("B", "x", d(2021, 1, 18), 7.0),
+            ("C", "x", d(2021, 1, 25), None), ("D", None, d(2021, 1, 11), 3.0), ("E", "x", d(2021, 1, 11), 2.0), ("E", "x", d(2021, 1, 18), 5.0)]
+    obs = spark.createDataFrame(data, "k string, s string, t date, v double")
+    keys = ["k", "s"]
+    grid = obs.select(*keys).distinct().join(panel.calendar(obs, "week"))
+    want = panel.fill_gaps(grid.join(obs, [*keys, "t"], "left"), keys, "v", "f")
+    return panel.filled_panel(obs, keys, "week", "v", "f"), want
+
+
+def test_filled_panel_equals_windows_over_the_joined_panel(spark):
+    cols = ["k", "s", "t", "idx", "iso_week", "iso_year", "simple_week", "year", "v", "f"]
+    got, want = (sorted(map(str, df.select(*cols).collect())) for df in _panels(spark))
+    assert len(got) == 5 * 5 and got == want
+
+
+def test_panel_is_not_shuffled_or_sorted_for_an_aggregate_by_series(spark):
+    got, _ = _panels(spark)
+    plan = got.groupBy("k", "s").agg(F.sum("f"))._jdf.queryExecution().executedPlan().toString()
+    after = plan[:plan.index("Generate explode")]           # the steps above the panel's rows
+    assert "Exchange hashpartitioning" not in after and "Sort" not in after
+
+
+def test_irregular_series_are_found_even_if_a_duplicate_hides_a_gap(spark):
+    d = dt.date
+    days = {"A": [1, 2, 3], "B": [1, 1, 3], "C": [2], "D": [1, 2, 2, 3], "E": [1, 3]}
+    p = spark.createDataFrame([(k, d(2021, 1, 1) + dt.timedelta(days=40 * x)) for k, v in days.items() for x in v], "k string, t date")
+    p = p.unionByName(spark.createDataFrame([("F", d(2021, 2, 10) + dt.timedelta(days=x)) for x in range(80)], "k string, t date"))
+    odd = quality.irregular_series(p, ["k"], "t", "day", panel.bounds(p))
+    assert rows(odd, "k") == [("A",), ("B",), ("D",), ("E",)]
