@@ -218,3 +218,36 @@ def test_rolling_origins_see_nothing_later(spark):
     before = forecast.backtest_targets(df, ["store_id"], "y", "idx", h, season, 1).drop("y")
     after = forecast.backtest_targets(moved, ["store_id"], "y", "idx", h, season, 1).drop("y")
     assert rows(before) == rows(after)
+
+
+def _observed(spark):
+    import datetime as d
+    import numpy as np
+    rng = np.random.default_rng(5)
+    data = [(k, d.date(2021, 1, 1) + d.timedelta(days=int(i)), float(v)) for k in "ABC"
+            for i, v in zip(sorted(rng.choice(120, 14, replace=False)), rng.uniform(10, 90, 14))]
+    return spark.createDataFrame(data + [("D", d.date(2021, 1, 9), 5.0), ("D", d.date(2021, 4, 1), 5.0), ("E", d.date(2021, 1, 9), None)], "k string, t date, v double")
+
+
+def test_ar_forecasts_from_observations_equal_those_of_the_panel(spark):
+    from pricewise.operators import panel
+    obs = _observed(spark)
+    want = forecast.ar_forecasts(panel.filled_panel(obs, ["k"], "day", "v", "f"), ["k"], "f", "day", 3, 7)
+    got = forecast.observed_ar_forecasts(obs, ["k"], "v", "day", 3, 7, panel.bounds(obs))
+    a, b = (sorted(map(tuple, x.select("k", "h", "t_forecast", "model", "f_ar").collect())) for x in (got, want))
+    assert len(a) == 12 and a == b
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroups" not in plan
+
+
+def test_baselines_with_carried_lags_equal_those_by_windows(spark):
+    from pricewise.operators import panel
+    obs = _observed(spark)
+    p = panel.filled_panel(obs, ["k"], "day", "v", "f", lagged="b")
+    args = (["k"], "f", "day", 9, 7)
+    last = panel.bounds(obs)[1]
+    got, want = forecast.baseline_forecasts(p, *args, ylag="b", t_last=last), forecast.baseline_forecasts(p.drop("b"), *args)
+    close = lambda df: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in df.collect())
+    assert close(got) == close(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan[:plan.index("Generate explode(sequence(_from")]

@@ -99,3 +99,13 @@ def test_irregular_series_are_found_even_if_a_duplicate_hides_a_gap(spark):
     p = p.unionByName(spark.createDataFrame([("F", d(2021, 2, 10) + dt.timedelta(days=x)) for x in range(80)], "k string, t date"))
     odd = quality.irregular_series(p, ["k"], "t", "day", panel.bounds(p))
     assert rows(odd, "k") == [("A",), ("B",), ("D",), ("E",)]
+
+
+def test_previous_values_equal_a_lag_over_the_panel(spark):
+    from pyspark.sql import Window
+    d = dt.date
+    obs = spark.createDataFrame([("A", d(2021, 1, 3), 1.0), ("A", d(2021, 1, 6), 4.7), ("A", d(2021, 1, 7), 2.2), ("B", d(2021, 1, 1), 7.0), ("B", d(2021, 1, 9), 3.0),
+                                 ("C", d(2021, 1, 5), None)], "k string, t date, v double")
+    p = panel.filled_panel(obs, ["k"], "day", "v", "f", lagged="b")
+    want = F.lag("f").over(Window.partitionBy("k").orderBy("t"))
+    assert p.select("*", want.alias("w")).filter(~F.col("b").eqNullSafe(F.col("w"))).count() == 0 and p.count() == 27
