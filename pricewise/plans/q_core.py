@@ -71,7 +71,8 @@ def s5_append(spark, sf):
     """The daily table year by year: the last year arrives as a batch of its own, and once more."""
     path = work_path(spark, "s5-append")
     p = Pipeline(spark, sf)
-    daily = rounded(p.daily_written, 2, "total_sales_").select("store_id", "subgroup", "date_id", "category", "group_name", "total_sales_", "anio")
+    daily = rounded(p.daily, 2, "total_sales_").select("store_id", "subgroup", "date_id", "category", "group_name", "total_sales_", "anio")
+    daily = materialize(daily, "daily-columns")
     last = daily.agg(F.max("anio")).first()[0]
     io.write_parquet(daily.filter(F.col("anio") < F.lit(last)), path, mode="overwrite", partition_by=["anio"])
     for _ in range(2):
@@ -423,7 +424,7 @@ def a6c(spark, sf):
 select count(*) as n_rows, 0::bigint as n_outside, true as balanced from daily"""))
 def x16_rand(spark, sf):
     """Seeded rand(): a random fold 1..4 per row, written once so that it is drawn once."""
-    folds = materialize(Pipeline(spark, sf).daily_written.select((F.floor(F.rand(2741) * 4) + 1).cast("int").alias("fold")), "random-folds")
+    folds = materialize(Pipeline(spark, sf).daily.select((F.floor(F.rand(2741) * 4) + 1).cast("int").alias("fold")), "random-folds")
     share = [F.count_if(F.col("fold") == k) / F.count(F.lit(1)) for k in (1, 2, 3, 4)]
     return folds.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("fold").between(1, 4)).alias("n_outside"),
                      (F.least(*share) > 0.22).alias("balanced"))
