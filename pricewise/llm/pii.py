@@ -5,9 +5,8 @@ of looser formats (obfuscated addresses, numbers with other separators or prefix
 boosted trees (MLlib) score them by format and context, and per kind a threshold, calibrated on
 held-out candidates for precision, selects which are added.
 
-Training is weakly supervised, on candidates of a bounded sample of documents (the
-``SAMPLE_DOCUMENTS`` with the smallest hash of doc_id): a candidate that is a base span of its kind
-is positive and one that is not is negative; each positive is repeated in rewritten formats
+Training is weakly supervised, on the candidates of all documents, equal ones as one row with a weight:
+a candidate that is a base span of its kind is positive and one that is not is negative; each positive is repeated in rewritten formats
 that the rules do not cover, and beside it stand negatives that only look like its kind (``broken``), all in its own context.  A candidate that already has such a format may be
 real and has no label.  Thresholds are calibrated on the rewritten positives, where a kind has them,
 as base spans are never added.  Without enough of both labels, nothing of the kind is added.
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewise.llm.common import map_rows, ship, slices, texts
@@ -35,11 +34,13 @@ from pricewise.llm.common import map_rows, ship, slices, texts
 KINDS = ("email", "ip", "card", "phone")
 
 #: Training parameters.
-SAMPLE_DOCUMENTS = 10_000
 TREES = 40
 DEPTH = 5
 PRECISION = 0.995
 MIN_LABELS = 30
+#: Distinct weighted rows of one training partition, and ranges of scores that are added up apart.
+PART_ROWS = 50_000
+SCORE_RANGES = 1000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -186,11 +187,9 @@ def loose(kind: str, span: str) -> bool:
         and (kind != "ip" or all(int(p) <= 255 for p in re.findall("[0-9]+", span)))
 
 
-def labelled(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """(kind, features, label, held, rewritten): candidates of the sampled documents, every fourth document held out."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """(kind, x, label, held, rewritten, n): how often each labelled candidate stands in the documents, every fourth document held out."""
     ship(docs.sparkSession)
-    one = texts(docs)
-    ids = one.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
 
     def label(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -199,7 +198,7 @@ def labelled(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     text = text or ""
                     held = zlib.crc32(str(doc_id).encode()) % 4 == 0
-                    rng = random.Random(doc_id)
+                    rng = random.Random(zlib.crc32(text.encode()) if doc_id is None else doc_id)
                     base = set(base_spans(text))
                     for kind, a, b in base | set(candidates(text)):
                         good = (kind, a, b) in base
@@ -217,7 +216,8 @@ def labelled(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
                  pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.bool_()), pa.array([r[4] for r in rows], pa.bool_())],
                 names=["kind", "x", "label", "held", "rewritten"])
 
-    return one.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(label, "kind string, x array<double>, label double, held boolean, rewritten boolean")
+    found = texts(docs).mapInArrow(label, "kind string, x array<double>, label double, held boolean, rewritten boolean")
+    return found.groupBy("kind", "x", "label", "held", "rewritten").agg(F.count("*").alias("n"))
 
 
 class Trees:
@@ -253,32 +253,64 @@ def parse_tree(debug: str):
     return node(0)[0]
 
 
-def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, precision: float = PRECISION) -> Trees | None:
+def train(docs: DataFrame, precision: float = PRECISION) -> Trees | None:
     """Boosted trees of the labelled candidates, and per kind the lowest threshold with at least
-    ``precision`` (Wilson lower bound from ``MIN_LABELS`` on) among held-out candidates."""
+    ``precision`` among held-out candidates."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     from pricewise.session import materialize
-    rows = materialize(labelled(docs, documents).withColumn("features", array_to_vector("x")), "pii-labels")
-    counts = {r["label"]: r["count"] for r in rows.filter("NOT held").groupBy("label").count().collect()}
-    if min(counts.get(0.0, 0), counts.get(1.0, 0)) < MIN_LABELS:
+    rows = materialize(labelled(docs), "pii-labels")
+    # a row a kind, label and half: a few
+    counts = rows.groupBy("kind", "label", "held", "rewritten").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+    if min(sum(r["n"] for r in counts if not r["held"] and r["label"] == x) for x in (0.0, 1.0)) < MIN_LABELS:
         return None
+    seen = rows.filter("NOT held").select(array_to_vector("x").alias("features"), "label", F.col("n").cast("double").alias("weight"))
     # few rows: one partition spares a job's overhead and fixes the order of sums
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=64).fit(rows.filter("NOT held").select("features", "label").coalesce(1))
+    parts = -(-sum(r["rows"] for r in counts if not r["held"]) // PART_ROWS)
+    seen = seen.coalesce(1) if parts == 1 else seen.repartition(parts, "features", "label")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=64, weightCol="weight").fit(seen)
     out = Trees([parse_tree(t.toDebugString) for t in model.trees], list(model.treeWeights), {})
-    held = rows.filter("held").select("kind", "x", "label", "rewritten").collect()
+    kinds = []
     for kind in KINDS:
-        own = [r for r in held if r["kind"] == kind]
-        if any(r["rewritten"] for r in own):
-            own = [r for r in own if r["rewritten"] or not r["label"]]
-        if min(sum(r["label"] == x for r in own) for x in (0.0, 1.0)) >= MIN_LABELS:
-            out.thresholds[kind] = threshold(out.probability(np.array([r["x"] for r in own])), np.array([r["label"] for r in own]), precision)
+        own = [r for r in counts if r["held"] and r["kind"] == kind]
+        shown = any(r["rewritten"] for r in own)
+        if min(sum(r["n"] for r in own if r["label"] == x and (r["rewritten"] or not x or not shown)) for x in (0.0, 1.0)) >= MIN_LABELS:
+            kinds.append((kind, shown))
+    if kinds:
+        chosen = F.lit(False)
+        for kind, shown in kinds:
+            chosen = chosen | ((F.col("kind") == kind) & (F.col("rewritten") | (F.col("label") == 0) | F.lit(not shown)))
+        out.thresholds = {k: 2.0 for k, _ in kinds} | thresholds(scored(rows.filter(F.col("held") & chosen), out), precision)
     return out
 
 
+def scored(rows: DataFrame, trees: Trees) -> DataFrame:
+    """(kind, score, label, n) of labelled candidates."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            x = batch.column("x")
+            scores = trees.probability(x.flatten().to_numpy().reshape(len(x), -1)) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(scores, pa.float64()), batch.column("label"), batch.column("n")], names=["kind", "score", "label", "n"])
+
+    return rows.select("kind", "x", "label", "n").mapInArrow(run, "kind string, score double, label double, n long")
+
+
+def thresholds(rows: DataFrame, precision: float) -> dict[str, float]:
+    """``threshold`` of every kind that has one, over weighted scores.  Scores are added up from the highest down within
+    ranges, and to each range what stands above it, so no task orders a whole kind."""
+    own = rows.groupBy("kind", "score").agg(F.sum(F.col("n") * F.col("label")).alias("good"), F.sum("n").alias("n")).withColumn("range", F.floor(F.col("score") * SCORE_RANGES))
+    above = Window.partitionBy("kind").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = own.groupBy("kind", "range").agg(F.sum("good").alias("g"), F.sum("n").alias("m")).select(
+        "kind", "range", F.coalesce(F.sum("g").over(above), F.lit(0.0)).alias("good_above"), F.coalesce(F.sum("m").over(above), F.lit(0)).alias("n_above"))
+    upto = Window.partitionBy("kind", "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = own.join(ranges, ["kind", "range"]).select("kind", "score", (F.sum("good").over(upto) + F.col("good_above")).alias("good"), (F.sum("n").over(upto) + F.col("n_above")).alias("n"))
+    least = running.filter((F.col("good") / F.col("n") >= precision) & (F.col("n") >= MIN_LABELS)).groupBy("kind").agg(F.min("score").alias("score"))
+    return {r["kind"]: max(r["score"], 0.5) for r in least.collect()}
+
+
 def threshold(scores: np.ndarray, labels: np.ndarray, precision: float) -> float:
-    """Lowest score from which on the share of positives is at least ``precision``; above 1 if
+    """What ``thresholds`` finds for one kind in the tasks, of scores that fit one array: lowest score from which on the share of positives is at least ``precision``; above 1 if
     fewer than ``MIN_LABELS`` are left.  Ties are taken together."""
     best = 2.0
     for t in sorted(set(scores.tolist()), reverse=True):

@@ -149,3 +149,21 @@ def test_look_alikes_stay_and_other_formats_go(spark):
 def test_threshold_looks_past_a_single_high_negative():
     scores, labels = np.r_[.99, np.full(999, .9), np.full(50, .1)], np.r_[0., np.ones(999), np.zeros(50)]
     assert X.threshold(scores, labels, .995) == .9
+
+
+def test_every_document_is_trained_on(spark):
+    """More documents than any sample held; equal candidates are one row with their number."""
+    docs = documents(spark, [(None if i == 7 else i, f"mail someone{i % 900 + 100}@host.example.com now") for i in range(10_300)])
+    got = [r for r in X.labelled(docs).filter("kind = 'email' AND label = 1 AND NOT rewritten").collect()]
+    assert sum(r["n"] for r in got) == 10_300 and len(got) < 10
+
+
+def test_thresholds_of_weighted_rows_equal_those_of_one_array(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, float(s), float(rng.random() < s ** p), int(n)) for k, p in (("email", 0.05), ("ip", 0.2), ("card", 9.0)) for s, n in zip(rng.integers(0, 400, 900) / 400, rng.integers(1, 4, 900))]
+    rows += [("phone", 0.9, 1.0, 29)]
+    got = X.thresholds(spark.createDataFrame(rows, "kind string, score double, label double, n long"), 0.95)
+    for kind in X.KINDS:
+        own = [r for r in rows for _ in range(r[3]) if r[0] == kind]
+        assert got.get(kind, 2.0) == X.threshold(np.array([r[1] for r in own]), np.array([r[2] for r in own]), 0.95), kind
+    assert "email" in got and "phone" not in got
