@@ -87,3 +87,16 @@ def test_strategies_share_the_written_vectors(spark):
     rows = q_model.compare_strategies(history, holdout, trees=5, instances=9)
     assert [r[0] for r in rows] == ["random_forest_weekly_price", "random_forest_daily_price", "boosted_trees_weekly_price"]
     assert len({r[1] for r in rows}) == 1 and all(r[3] >= r[4] > 0 for r in rows)
+
+
+def test_trees_get_partitions_of_bounded_size(spark):
+    """Rows of one big partition are dealt out by rows x columns; few rows stay as they are; the model is the same."""
+    data = _items(spark).coalesce(1)
+    trees = model.boosted_trees("quantity", ["price", "category"], max_iter=2)
+    rows = trees.getStages()[0].fit(data).transform(data).select("features", "label")
+    columns = rows.first()["features"].size
+    held = model.dealt(rows, cells=100 * columns).rdd.glom().map(len).collect()
+    assert sum(held) == 600 and max(held) <= 150 and len(held) >= 6
+    assert model.dealt(rows).rdd.getNumPartitions() == 1
+    got = model.predict(model.fit_trees(trees, data), data).select("sku", "price", "prediction").collect()
+    assert got == model.predict(trees.fit(data), data).select("sku", "price", "prediction").collect()
