@@ -3,14 +3,15 @@
 Tasks cut whole texts into words and write them once, a slice of some megabytes of text at a time:
 every document as numbers of distinct words.  The slices' distinct words are shuffled, and each is
 folded once: Spark higher-order functions apply ranked merges (lowest rank first, leftmost first) to
-its bytes.  The rank map is a literal: an array of small maps, addressed by the hash of the piece,
-so a lookup costs the same whatever the vocabulary's size.  The ids go back to the slices that hold
-the word, where documents are put together and decoded.
+its bytes.  The rank map is the value of a scalar subquery: an array of small maps, addressed by the hash
+of the piece, so a lookup costs the same whatever the vocabulary's size and no plan holds its text.  The ids
+go back to the slices that hold the word, where documents are put together and decoded.
 
 A word is shuffled once per slice, however often it occurs, and the most frequent words of a
 bounded sample not at all: they are folded first and sent to all tasks.  That only saves time and disk;
-both ways give the same ids.  Words of more than ``LONG_BYTES`` bytes are merged where they occur, by a
-heap of ranks: the fold rewrites its arrays with every merge, which is quadratic in the length.
+both ways give the same ids.  Words and ids travel in packets, one a slice and bucket of words; the documents
+are written in buckets of their slices and not shuffled.  Words of more than ``LONG_BYTES`` bytes are merged
+where they occur, by a heap of ranks: the fold rewrites its arrays with every merge, which is quadratic in the length.
 
 Bytes and pieces are written as hex strings inside the expressions (a piece is a string key).
 
@@ -33,11 +34,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewise.llm.common import ship, slices, texts
-from pricewise.session import materialize
+from pricewise.session import materialize, materialize_by
 
 #: Characters of text whose distinct words are numbered together, and the longest word that is shuffled and folded.
 SLICE_CHARS = 32_000_000
@@ -45,10 +46,16 @@ LONG_BYTES = 128
 #: Documents that the dictionary of common words is taken from, and its entries.
 SAMPLE_DOCUMENTS = 10_000
 COMMON_WORDS = 32_768
-#: Spark keeps the plan of every execution as text; the literal rank map would fill megabytes of it each time.
-PLAN_TEXT = 50_000
-
-SPLIT = "slice long, doc_id long, numbers binary, words array<struct<word: string, ids: array<int>>>"
+#: Buckets of words for each shuffle partition, and the mentions of words whose ids a task packs together.
+BUCKETS = 16
+PACKED_MENTIONS = 250_000
+#: Packed documents that are put together at once.
+PART_BYTES = 500_000
+#: Between the words of a packet; a word that holds it is merged where it occurs.
+BETWEEN = "\x00"
+
+SPLIT = ("slice long, doc_id long, numbers binary, packets array<struct<bucket: int, numbers: array<int>, words: string>>, "
+         "far array<struct<number: int, ids: array<int>>>")
 CODED = "doc_id long, ids array<int>, id_bytes binary, decoded binary"
 
 
@@ -62,18 +69,25 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _buckets(entries: dict[str, int]) -> tuple[Column, int]:
-    """A literal map as an array of maps of an entry or two, and the bits of its address."""
-    bits = max(1, len(entries).bit_length() - 1)
-    rows: list[dict] = [{} for _ in range(1 << bits)]
-    for k, v in entries.items():
-        rows[xxhash.xxh64_intdigest(k.encode(), 42) & ((1 << bits) - 1)][k] = v
-    return F.from_json(F.lit(json.dumps(rows)), "array<map<string,int>>"), bits
+def _buckets(ranks: dict[bytes, int]) -> list[list[tuple[str, int]]]:
+    """The rank map by hex strings, as a list of maps of an entry or two, addressed by bits of the key's hash."""
+    rows: list[list] = [[] for _ in range(1 << max(1, len(ranks).bit_length() - 1))]
+    for k, v in ranks.items():
+        key = k.hex().upper()
+        rows[xxhash.xxh64_intdigest(key.encode(), 42) & (len(rows) - 1)].append((key, v))
+    return rows
+
 
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The rank map as the value of a scalar subquery, for a projection below the fold (subqueries may not stand in
+    higher-order functions; the optimizer puts it there).  A literal would stand in the text of every plan that Spark keeps."""
+    one = pa.table({"ranks": pa.array([_buckets(ranks)], pa.list_(pa.map_(pa.string(), pa.int32())))})
+    return materialize(spark.createDataFrame(one), "ranks").scalar()
 
-def _find(table: Column, bits: int, key: Column) -> Column:
+
+def _find(table: Column, key: Column) -> Column:
     """The entry of ``key``, null if absent."""
-    return F.try_element_at(F.get(table, F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), key)
+    return F.try_element_at(F.get(table, F.xxhash64(key).bitwiseAND(F.size(table) - 1).cast("int")), key)
 
 
 def _state(pieces: Column, ranks: Column) -> Column:
@@ -98,13 +112,14 @@ def _merge_first(rank, s: Column) -> Column:
     return _let(F.array_position(s.r, s.best).cast("int"), at)
 
 
-def fold(word: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of one word: its own rank, or the ranked merges of its bytes.  The literal map is bound
-    once, as a lambda variable: each mention would be another copy in the plan that tasks receive."""
-    table, bits = _buckets({k.hex().upper(): v for k, v in ranks.items()})
+def fold(word: Column, ranks: dict[bytes, int] | Column) -> Column:
+    """Ids of one word: its own rank, or the ranked merges of its bytes.  ``ranks`` is the map, which becomes a literal, or
+    a column of ``rank_table``.  It is bound once, as a lambda variable: each mention would be another copy of it."""
+    if isinstance(ranks, dict):
+        ranks = F.from_json(F.lit(json.dumps([dict(x) for x in _buckets(ranks)])), "array<map<string,int>>")
 
     def folded(t):
-        rank = lambda key: _find(t, bits, key)
+        rank = lambda key: _find(t, key)
 
         def of_bytes(b):
             n = F.length(b)
@@ -117,7 +132,7 @@ def fold(word: Column, ranks: dict[bytes, int]) -> Column:
         whole = F.transform(F.array(rank(F.hex(word))), lambda x: F.when(x.isNotNull(), F.array(x)))[0]
         return F.coalesce(whole, _let(F.encode(word, "UTF-8"), of_bytes))
 
-    return _let(table, folded)
+    return _let(ranks, folded)
 
 
 def merge_long(data: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -181,7 +196,8 @@ def learn_common(docs: DataFrame, ranks: dict[bytes, int], pattern: str, documen
     top = one.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(tally, "word string, n long") \
         .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
     # dealt out by word: the limit leaves one partition
-    rows = top.repartition("word").select("word", "n", fold(F.col("word"), ranks).alias("ids")).collect()
+    top = top.repartition("word").withColumn("ranks", rank_table(docs.sparkSession, ranks))
+    rows = top.select("word", "n", fold(F.col("word"), F.col("ranks")).alias("ids")).collect()
     rows.sort(key=lambda r: (-r["n"], r["word"]))
     return Common([r["word"] for r in rows], np.array([i for r in rows for i in r["ids"]], np.int32), np.cumsum([0] + [len(r["ids"]) for r in rows]))
 
@@ -196,10 +212,14 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def split(docs: DataFrame, ranks: dict[bytes, int], pattern: str, common: list[str]) -> DataFrame:
-    """``SPLIT`` rows, written: each document as numbers of words.  The first numbers are ``common`` words, the
-    others the further distinct words of its slice, which stand in the slice's last row, a long one as its ids."""
+    """``SPLIT`` rows, written in buckets of their slices: each document as numbers of words.  The first numbers are
+    ``common`` words, the others the further distinct words of its slice, which stand in the slice's last row: in packets
+    of those to be folded, by bucket, or ``far`` with their ids."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((ranks, common))
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packet = pa.struct([("bucket", pa.int32()), ("numbers", pa.list_(pa.int32())), ("words", pa.string())])
+    merged = pa.struct([("number", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def number(batches: Iterator[pa.RecordBatch]):
         import regex
@@ -210,14 +230,20 @@ def split(docs: DataFrame, ranks: dict[bytes, int], pattern: str, common: list[s
         seen, name, held = empty(), uuid.uuid4().int >> 65, 0
 
         def rows(ids: list, cells: list, words: list[str]) -> pa.RecordBatch:
-            far = [len(w) * 4 > LONG_BYTES and len(w.encode()) > LONG_BYTES for w in words]
-            listed = pa.StructArray.from_arrays(
-                [pa.array([None if f else w for w, f in zip(words, far)], pa.string()),
-                 pa.array([merge_long(w.encode(), ranks) if f else None for w, f in zip(words, far)], pa.list_(pa.int32()))], names=["word", "ids"])
-            n = len(ids)
+            packets, far = defaultdict(lambda: ([], [])), []
+            for i, w in enumerate(words, len(common)):
+                data = w.encode()
+                if not data or len(data) > LONG_BYTES or BETWEEN in w:
+                    far.append((i, merge_long(data, ranks)))
+                else:
+                    numbers, listed = packets[xxhash.xxh64_intdigest(data, 42) % buckets]
+                    numbers.append(i)
+                    listed.append(w)
+            last = lambda values, kind: pa.ListArray.from_arrays(pa.array([0] * len(ids) + [len(values)], pa.int32()), pa.array(values, kind))
             return pa.RecordBatch.from_arrays(
-                [pa.array([name] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(cells, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array([0] * n + [len(listed)], pa.int32()), listed)], names=["slice", "doc_id", "numbers", "words"])
+                [pa.array([name] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(cells, pa.binary()),
+                 last([(b, n, BETWEEN.join(w)) for b, (n, w) in packets.items()], packet), last(far, merged)],
+                names=["slice", "doc_id", "numbers", "packets", "far"])
 
         pending = None  # the newest documents, whose last row will get the slice's words if it ends there
         for batch in batches:
@@ -238,18 +264,45 @@ def split(docs: DataFrame, ranks: dict[bytes, int], pattern: str, common: list[s
         if pending is not None:
             yield rows(*pending, list(islice(seen, len(common), None)))
 
-    return materialize(texts(docs).mapInArrow(number, SPLIT), "bpe-words")
+    # a slice's rows come from one task: they lie in one file, and nothing is shuffled
+    return materialize_by(texts(docs).mapInArrow(number, SPLIT), "bpe-words", ["slice"], gather=False)[0]
+
 
+def word_ids(parts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(of, numbers, sizes, ids) packets for the slices: the numbers of words to be folded, how many ids each has, and
+    the ids.  All slices' packets of a bucket meet in one shuffle; a word is folded once there for all its mentions."""
+    shuffled = parts.select("slice", F.explode("packets").alias("p")).select("slice", "p.*") \
+        .repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
+    mentions = shuffled.select("slice", "bucket", F.explode(F.arrays_zip("numbers", F.split("words", BETWEEN, -1).alias("words"))).alias("m"))
+    words = mentions.groupBy("bucket", F.col("m.words").alias("word")).agg(F.collect_list(F.struct("slice", F.col("m.numbers").alias("number"))).alias("places"))
 
-def word_ids(parts: DataFrame, ranks: dict[bytes, int], first: int) -> DataFrame:
-    """(slice, number, ids) of the words beside the common ones, numbered from ``first``.  All slices' mentions of
-    a word meet in one shuffle; the first one is folded, the others take its ids."""
-    words = parts.select("slice", F.posexplode("words").alias("at", "w")).select("slice", (F.col("at") + first).alias("number"), "w.word", "w.ids")
-    mentions = Window.partitionBy("word").orderBy("slice")
-    short = words.filter("word IS NOT NULL").select("slice", "number", "word", F.row_number().over(mentions).alias("n"))
-    own = short.withColumn("own", F.when(F.col("n") == 1, fold(F.col("word"), ranks)))
-    folded = own.select("slice", "number", F.first("own", ignorenulls=True).over(mentions.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("ids"))
-    return folded.unionByName(words.filter("word IS NULL").drop("word"))
+    def pack(batches: Iterator[pa.RecordBatch]):
+        held: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            values, sizes, mentioned, of, numbers = (np.concatenate(x) for x in zip(*held))
+            starts, word = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), mentioned)
+            order = np.lexsort((numbers, of))
+            cuts = np.flatnonzero(np.diff(of[order])) + 1
+            cells = [[int(of[at[0]]), packed(np.diff(numbers[at], prepend=0)), packed(sizes[word[at]]), packed(gather(values, starts, sizes, word[at]))]
+                     for at in np.split(order, cuts)]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells), [pa.int64()] + [pa.binary()] * 3)], names=["of", "numbers", "sizes", "ids"])
+
+        for batch in batches:
+            ids, places = batch.column("ids"), batch.column("places")
+            if not batch.num_rows:
+                continue
+            place = places.flatten()
+            held.append((ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64), places.value_lengths().to_numpy(),
+                         place.field("slice").to_numpy(), place.field("number").to_numpy().astype(np.int64)))
+            if sum(len(x[3]) for x in held) >= PACKED_MENTIONS:
+                yield rows()
+                held = []
+        if held:
+            yield rows()
+
+    words = words.withColumn("ranks", rank_table(parts.sparkSession, ranks))
+    return words.select(fold(F.col("word"), F.col("ranks")).alias("ids"), "places").mapInArrow(pack, "of long, numbers binary, sizes binary, ids binary")
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -268,28 +321,33 @@ def assemble(parts: DataFrame, found: DataFrame, ranks: dict[bytes, int], common
 
     def join(docs: pa.Table, words: pa.Table) -> pa.Table:
         of, common = sent.value
-        lists = words.column("ids").combine_chunks()
-        order = np.argsort(words.column("number").to_numpy())
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        values = np.concatenate([common.ids, lists.values.to_numpy()])
-        starts = np.concatenate([common.starts[:-1], offsets[:-1][order] + len(common.ids)])
-        sizes = np.concatenate([np.diff(common.starts), np.diff(offsets)[order]])
-        coded = [gather(values, starts, sizes, unpacked(cell)) for cell in docs.column("numbers").to_pylist()]
-        ends = np.cumsum([0] + [len(x) for x in coded])
-        return pa.table([docs.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*coded, np.zeros(0, np.int32)]), pa.int32())),
-                         pa.array([x.astype("<u4").tobytes() for x in coded], pa.binary()), pa.array([b"".join(map(of.__getitem__, x.tolist())) for x in coded], pa.binary())],
-                        names=["doc_id", "ids", "id_bytes", "decoded"])
+        far = [x for row in docs.column("far").to_pylist() for x in row]
+        lists = {c: [unpacked(x).astype(np.int64) for x in words.column(c).to_pylist()] for c in ("numbers", "sizes", "ids")}
+        order = np.argsort(np.concatenate([np.array([x["number"] for x in far], np.int64), *map(np.cumsum, lists["numbers"])]))
+        sizes = np.concatenate([np.diff(common.starts), np.array([len(x["ids"]) for x in far], np.int64), *lists["sizes"]])
+        values = np.concatenate([common.ids, np.array([i for x in far for i in x["ids"]], np.int32), *[x.astype(np.int32) for x in lists["ids"]]])
+        starts = np.cumsum(sizes) - sizes
+        n = len(common.words)
+        starts, sizes = (np.concatenate([x[:n], x[n:][order]]) for x in (starts, sizes))
+
+        def rows(part: pa.Table) -> pa.RecordBatch:
+            coded = [gather(values, starts, sizes, unpacked(cell)) for cell in part.column("numbers").to_pylist()]
+            ends = np.cumsum([0] + [len(x) for x in coded])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*coded, np.zeros(0, np.int32)]), pa.int32()))
+            return pa.RecordBatch.from_arrays(
+                [part.column("doc_id").combine_chunks(), lists, pa.array([x.astype("<u4").tobytes() for x in coded], pa.binary()),
+                 pa.array([b"".join(map(of.__getitem__, x.tolist())) for x in coded], pa.binary())], names=["doc_id", "ids", "id_bytes", "decoded"])
+
+        # small batches: working arrays and what the JVM takes at once stay small
+        return pa.Table.from_batches([rows(pa.Table.from_batches([part])) for batch in docs.to_batches() for part in slices(batch, "numbers", PART_BYTES)])
 
     # a slice of empty texts has no words, but rows on the left
-    found = found.withColumnRenamed("slice", "of")
-    return parts.select("slice", "doc_id", "numbers").groupBy("slice").cogroup(found.groupBy("of")).applyInArrow(join, CODED)
+    return parts.select("slice", "doc_id", "numbers", "far").groupBy("slice").cogroup(found.groupBy("of")).applyInArrow(join, CODED)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, ids, id_bytes, decoded): the ids of every whole text, the same as little-endian unsigned
-    32-bit integers, and the bytes decoded from them.  Sets the session's
-    ``spark.sql.maxPlanStringLength``, which only shortens plan texts, to ``PLAN_TEXT``."""
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
+    32-bit integers, and the bytes decoded from them."""
     common = learn_common(docs, ranks, pattern)
     parts = split(docs, ranks, pattern, common.words)
-    return assemble(parts, word_ids(parts, ranks, len(common.words)), ranks, common)
+    return assemble(parts, word_ids(parts, ranks), ranks, common)

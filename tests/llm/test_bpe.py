@@ -81,3 +81,19 @@ def test_empty_table_and_repeated_rows(spark):
     rows = [r for r in odd_rows() if r[0] in (None, 30)]
     got = bpe.encode(documents(spark, rows), RANKS, P.PATTERN).collect()
     assert len(got) == 4 and sorted((r.doc_id is not None, bytes(r.decoded)) for r in got) == sorted((d is not None, t.encode()) for d, t in rows)
+
+
+def test_words_travel_in_packets_and_documents_stay_where_they_are(spark, library):
+    """The documents are read in buckets of their slices, ids come back packed, and no plan holds the rank map."""
+    rows = [(i, f"word{i % 7} zqx{i} \x00 a\x00b vwk{i % 11}") for i in range(300)]
+    docs = documents(spark, rows).coalesce(2)
+    coded = bpe.encode(docs, RANKS, P.PATTERN)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    left = plan.split("Exchange")[0]
+    assert "Bucketed: true" in left and left.count("FileScan") == 1
+    assert len(plan) < 100_000 and plan.count("ranks#") == 1      # only the subquery reads the map, no row carries it
+    assert {r.doc_id: r.ids for r in coded.collect()} == {i: library.encode_ordinary(t) for i, t in rows}
+    parts = bpe.split(docs, RANKS, P.PATTERN, [])
+    packets = bpe.word_ids(parts, RANKS)
+    words = sum(len(w.split("\x00")) for r in parts.select("packets.words").collect() for w in r.words)
+    assert words > 300 and packets.count() <= 2 * packets.rdd.getNumPartitions() and packets.count() < words
