@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pricewise.operators import forecast, kpi, quality
+from pricewise.operators import forecast, kpi, panel, quality
 from tests.conftest import rows
 
 
@@ -251,3 +251,47 @@ def test_baselines_with_carried_lags_equal_those_by_windows(spark):
     assert close(got) == close(want)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan[:plan.index("Generate explode(sequence(_from")]
+
+
+def _gappy(rng, length):
+    """A filled price series, as the AR models see it."""
+    at = np.unique(np.concatenate([[0], rng.integers(0, length, 12), [length - 1]]))
+    return np.interp(np.arange(length), at, np.round(rng.uniform(5, 90, len(at)), 2))
+
+
+def test_many_series_are_fitted_as_one_by_one():
+    rng = np.random.default_rng(5)
+    series = [_gappy(rng, int(n)) for n in [*range(2, 40), *range(150, 166), *rng.integers(8, 500, 30)]]
+    series += [np.cumsum(rng.normal(0, 1, int(n))) for n in rng.integers(40, 300, 20)] + [np.full(30, 4.0), np.array([3.0]), np.arange(1.0, 60.0), np.tile([1.0, 5.0], 40)]
+    series += [50 + 10 * np.sin(np.arange(300) * 2 * np.pi / 7) + rng.normal(0, 1, 300) for _ in range(5)]
+    for season, horizon in ((7, 7), (52, 1)):
+        alone = 0
+        for y, (f, kind) in zip(series, forecast.fit_ar_many(series, horizon, season)):
+            g, same = forecast.fit_ar(y, horizon, season)
+            assert kind == same and (f == g).all()
+            usable, first = forecast._usable(len(y), season)
+            alone += bool(usable) and np.ptp(y) > 0 and forecast._fit_group([y], tuple(usable), first, horizon, season)[0] is None
+        assert alone < 50           # few series need to go alone
+        for (f, kind), (g, same) in zip(forecast.fit_ar_many(series, horizon, season, refit=False), forecast.fit_ar_many(series, horizon, season)):
+            assert kind == same and np.allclose(f, g, rtol=1e-6, atol=1e-8)
+
+
+def test_dense_values_are_the_panels(spark):
+    """Bit for bit ``filled_panel``, and forecasts of the filled values without its rows."""
+    rng = np.random.default_rng(6)
+    start = dt.date(2020, 1, 1)
+    obs = [(f"s{i}", start + dt.timedelta(days=int(d)), round(float(rng.uniform(1, 9)), 3)) for i in range(12) for d in np.unique(rng.integers(0, 400, 9))]
+    obs += [("flat", start + dt.timedelta(days=d), 2.5) for d in (3, 50, 200)] + [("none", start + dt.timedelta(days=5), None), (None, start, 1.0), ("one", start + dt.timedelta(days=9), 7.0)]
+    df = spark.createDataFrame(obs, "k string, t date, y double")
+    span = panel.bounds(df)
+    filled = panel.filled_over(df, ["k"], "day", "y", "v", span, lagged="before")
+    two = forecast.baseline_forecasts(filled, ["k"], "v", "day", 7, 7, ylag="before", t_last=span[1])
+    one = forecast.dense_forecasts(df, ["k"], "y", "day", 7, 7, span)
+    assert one.columns == two.columns
+    order = lambda x: sorted((tuple(r) for r in x.collect()), key=lambda r: (r[0] or "", r[1]))
+    one, two = order(one), order(two)
+    assert len(one) == len(two) == 7 * 16
+    for a, b in zip(one, two):
+        assert a[:6] == b[:6] and all((x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-9, abs=1e-9)) for x, y in zip(a[6:], b[6:]))
+    plan = forecast.dense_forecasts(df, ["k"], "y", "day", 7, 7, span)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan or "explode(sequence(1, 7" in plan       # no row a day
